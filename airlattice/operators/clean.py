@@ -63,25 +63,30 @@ def drop_null_rows(df: DataFrame, cols: list[str], how: str = "all") -> DataFram
 
 
 # ---------------------------------------------------------------- W3 / W7
-def dedup_keep_last(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """One row per key, the one with the largest ``order`` value (last ingested).
+def _desc(order) -> list:
+    order = [order] if isinstance(order, str) else list(order)
+    return [F.col(o).desc() for o in order]
+
+
+def dedup_keep_last(df: DataFrame, keys: list[str], order) -> DataFrame:
+    """One row per key, the one with the largest ``order`` value(s) (last ingested).
 
     The window is partitioned by the full natural key (sensor, time), so a partition
     holds only the copies of one reading; no hot group can form.
     """
-    w = Window.partitionBy(*keys).orderBy(F.col(order).desc())
+    w = Window.partitionBy(*keys).orderBy(*_desc(order))
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
 def collapse_identical(df: DataFrame, group_keys: list[str], value_cols: list[str],
-                       order: str) -> DataFrame:
+                       order) -> DataFrame:
     """Rows identical on every value column collapse to the latest one.
 
     Reproduces the reference's full-row de-duplication (different hours with the same
     readings keep only the later hour). Partitioned by series key and all values, so
     each partition only holds identical copies.
     """
-    w = Window.partitionBy(*group_keys, *value_cols).orderBy(F.col(order).desc())
+    w = Window.partitionBy(*group_keys, *value_cols).orderBy(*_desc(order))
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
@@ -100,6 +105,12 @@ def new_rows(new: DataFrame, old: DataFrame, keys: list[str]) -> DataFrame:
     return new.join(old.select(*keys), cond, "left_anti").select(*common_columns(new, old))
 
 
+def merge_snapshots(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
+    """Concatenate two copies of a store; per key the second copy's row wins."""
+    both = union_sparse(first.withColumn("_src", F.lit(0)), second.withColumn("_src", F.lit(1)))
+    return dedup_keep_last(both, keys, "_src").drop("_src")
+
+
 def union_sparse(*frames: DataFrame) -> DataFrame:
     """Union by name, columns missing on one side become null."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
@@ -150,7 +161,7 @@ def with_aqi(df: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- M1
 def process(raw: DataFrame, processed: DataFrame | None, keys: list[str], time_col: str,
-            collection: str, order: str | None = None) -> DataFrame:
+            collection: str, order: str | None = None, scale: int | None = None) -> DataFrame:
     """M1: the cleaning pipeline over every series at once; returns the rows to append.
 
     raw/processed carry the series keys; steps: keep new rows, union stored, rename,
@@ -167,7 +178,7 @@ def process(raw: DataFrame, processed: DataFrame | None, keys: list[str], time_c
     value_cols = [c for c in df.columns if c not in set(keys + [time_col] + NON_NUMERIC)]
     df = coerce(df, value_cols)
     df = drop_null_rows(df, value_cols, "all")
-    df = fill_mean(df, keys, value_cols)
+    df = fill_mean(df, keys, value_cols, scale)
     pols = [p for p in POLLUTANTS if p != "aqi" and p in df.columns]
     df = mask_constant(df, keys, pols)
     if collection != "weather":
