@@ -8,8 +8,8 @@ Mapping (fixed):
     value.
   * hourly wide readings: per (sensor_id, hour) the mean of each pollutant; ``co`` is
     never measured, so it is an all-null column.
-  * catalogue: ``region`` = country, ``nation`` = city, ``supplier`` = sensor,
-    ``customer`` = query points. Coordinates are derived from keys.
+  * catalogue: ``region`` = country, ``nation`` = city, ``customer`` = sensor (its key
+    is the events' user_id), ``supplier`` = query points. Coordinates derive from keys.
 """
 
 from __future__ import annotations
@@ -100,32 +100,28 @@ def cities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sensors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sensor catalogue from ``supplier``: sensor_id, city_key, status, lat, lon, position.
-
-    Status is INACTIVE for a negative account balance.
-    """
-    s = table(spark, sf_dir, "supplier")
-    lat = coord(F.col("s_suppkey"), 97, 41)
-    lon = coord(F.col("s_suppkey"), 89, 20)
-    return s.select(
-        F.col("s_suppkey").alias("sensor_id"),
-        F.col("s_nationkey").alias("city_key"),
-        F.when(F.col("s_acctbal") < 0, "INACTIVE").otherwise("ACTIVE").alias("status"),
-        lat.alias("lat"),
-        lon.alias("lon"),
-    )
-
-
-def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Query coordinates from ``customer``: point_id, lat, lon."""
+    """Sensor catalogue from ``customer`` (c_custkey = events.user_id = sensor_id):
+    sensor_id, city_key, status (INACTIVE for a negative balance), lat, lon."""
     c = table(spark, sf_dir, "customer")
     return c.select(
-        F.col("c_custkey").alias("point_id"),
+        F.col("c_custkey").alias("sensor_id"),
+        F.col("c_nationkey").alias("city_key"),
+        F.when(F.col("c_acctbal") < 0, "INACTIVE").otherwise("ACTIVE").alias("status"),
         coord(F.col("c_custkey"), 97, 41).alias("lat"),
         coord(F.col("c_custkey"), 89, 20).alias("lon"),
     )
 
 
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Query coordinates from ``supplier``: point_id, lat, lon (offset half a grid step)."""
+    s = table(spark, sf_dir, "supplier")
+    return s.select(
+        F.col("s_suppkey").alias("point_id"),
+        coord(F.col("s_suppkey") * 3, 97, 41).alias("lat"),
+        coord(F.col("s_suppkey") * 7, 89, 20).alias("lon"),
+    )
+
+
 # ----------------------------------------------------------------------------- SQL
 def _case_pollutant() -> str:
     whens = " ".join(f"WHEN event_type = '{e}' THEN '{p}'" for e, p in EVENT_POLLUTANT.items())
@@ -164,12 +160,12 @@ SQL_CITIES = (
 )
 
 SQL_SENSORS = (
-    "SELECT s_suppkey AS sensor_id, s_nationkey AS city_key, "
-    "CASE WHEN s_acctbal < 0 THEN 'INACTIVE' ELSE 'ACTIVE' END AS status, "
-    f"{_sql_coord('s_suppkey', 97, 41)} AS lat, {_sql_coord('s_suppkey', 89, 20)} AS lon FROM supplier"
+    "SELECT c_custkey AS sensor_id, c_nationkey AS city_key, "
+    "CASE WHEN c_acctbal < 0 THEN 'INACTIVE' ELSE 'ACTIVE' END AS status, "
+    f"{_sql_coord('c_custkey', 97, 41)} AS lat, {_sql_coord('c_custkey', 89, 20)} AS lon FROM customer"
 )
 
 SQL_POINTS = (
-    "SELECT c_custkey AS point_id, "
-    f"{_sql_coord('c_custkey', 97, 41)} AS lat, {_sql_coord('c_custkey', 89, 20)} AS lon FROM customer"
+    "SELECT s_suppkey AS point_id, "
+    f"{_sql_coord('(s_suppkey * 3)', 97, 41)} AS lat, {_sql_coord('(s_suppkey * 7)', 89, 20)} AS lon FROM supplier"
 )
