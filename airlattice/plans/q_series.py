@@ -1 +1,150 @@
-"""Queries (filled in below)."""
+"""Series queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from airlattice.functions.stats import sql_exact_avg
+from airlattice.operators import series as S
+from airlattice.plans import views as V
+from airlattice.plans.registry import query
+
+K = ["sensor_id", "pollutant"]
+AS_OF = "2024-01-20 12:00:00"
+LOOKBACK_AS_OF = "2024-01-25 00:00:00"
+L = 24
+
+
+@query("summary_join", f"""
+WITH w AS (SELECT user_id AS sensor_id, date_trunc('hour', ts) AS ts,
+                  CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS DOUBLE) / count(*) AS temp
+           FROM events WHERE event_type IN ('click', 'view') GROUP BY 1, 2),
+p AS ({V.SQL_HOURLY_WIDE})
+SELECT w.sensor_id, w.ts, temp, co, no2, o3, pm2_5, pm10, so2 FROM w JOIN p ON w.sensor_id = p.sensor_id AND w.ts = p.ts
+""")
+def summary_join(spark, sf_dir):
+    ev = V.table(spark, sf_dir, "events").filter(F.col("event_type").isin("click", "view"))
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    weather = (ev.groupBy(F.col("user_id").alias("sensor_id"), F.date_trunc("hour", "ts").alias("ts"))
+                 .agg((F.sum(k).cast("double") / F.count(F.lit(1))).alias("temp")))
+    return S.summary(weather, V.hourly_wide(spark, sf_dir), ["sensor_id", "ts"])
+
+
+@query("training_cutoff", f"SELECT * FROM ({V.SQL_SERIES_LONG}) s WHERE ts <= TIMESTAMP '{AS_OF}'")
+def training_cutoff(spark, sf_dir):
+    return S.cutoff(V.series_long(spark, sf_dir), "ts", AS_OF)
+
+
+@query("lookback_window", f"""SELECT * FROM ({V.SQL_SERIES_LONG}) s
+WHERE ts >= TIMESTAMP '{LOOKBACK_AS_OF}' - INTERVAL 364 DAY AND ts <= TIMESTAMP '{LOOKBACK_AS_OF}'""")
+def lookback_window(spark, sf_dir):
+    return S.lookback(V.series_long(spark, sf_dir), "ts", LOOKBACK_AS_OF)
+
+
+@query("lag_features", f"""
+SELECT pollutant, ts, value, {", ".join(f"lag(value, {k}) OVER (PARTITION BY pollutant ORDER BY ts) AS lag_{k}" for k in range(1, L + 1))}
+FROM ({V.SQL_NETWORK_SERIES}) n
+""")
+def lag_features(spark, sf_dir):
+    return S.lags(V.network_series(spark, sf_dir), ["pollutant"], "ts", "value", L)
+
+
+@query("lead_align", f"""
+WITH s AS (SELECT sensor_id, pollutant, ts, value,
+             lead(value) OVER (PARTITION BY sensor_id, pollutant ORDER BY ts) AS f_value,
+             lead(CAST(hour(ts) AS INTEGER)) OVER (PARTITION BY sensor_id, pollutant ORDER BY ts) AS f_hour,
+             row_number() OVER (PARTITION BY sensor_id, pollutant ORDER BY ts DESC) AS rl
+           FROM ({V.SQL_SERIES_LONG}) x)
+SELECT sensor_id, pollutant, ts, value, f_value, f_hour FROM s WHERE rl > 1
+""")
+def lead_align(spark, sf_dir):
+    s = V.series_long(spark, sf_dir).withColumns({"f_value": F.col("value"), "f_hour": F.hour("ts")})
+    return S.lead_align(s, K, "ts", ["f_value", "f_hour"])
+
+
+@query("tail_n", f"""
+SELECT sensor_id, pollutant, ts, value FROM (
+  SELECT *, row_number() OVER (PARTITION BY pollutant ORDER BY ts DESC) AS rn FROM ({V.SQL_NETWORK_SERIES}) n) t
+WHERE rn <= 51
+""".replace("SELECT sensor_id, pollutant", "SELECT pollutant"))
+def tail_n(spark, sf_dir):
+    return S.tail(V.network_series(spark, sf_dir), ["pollutant"], "ts", 51)
+
+
+@query("chrono_split", f"""
+SELECT sensor_id, pollutant, ts, value,
+  row_number() OVER (PARTITION BY sensor_id, pollutant ORDER BY ts)
+    <= floor(count(*) OVER (PARTITION BY sensor_id, pollutant) * 0.75) AS is_train
+FROM ({V.SQL_SERIES_LONG}) s
+""")
+def chrono_split(spark, sf_dir):
+    return S.chrono_split(V.series_long(spark, sf_dir), K, "ts")
+
+
+@query("autocovariance", f"""
+WITH n AS ({V.SQL_NETWORK_SERIES}),
+m AS (SELECT pollutant, {sql_exact_avg('value', 6)} AS mu, count(value) AS cnt FROM n GROUP BY pollutant),
+d AS (SELECT n.pollutant, ts, value - mu AS d, cnt FROM n JOIN m ON n.pollutant = m.pollutant),
+l AS (SELECT pollutant, cnt, d, {", ".join(f"lag(d, {k}) OVER (PARTITION BY pollutant ORDER BY ts) AS l{k}" for k in range(1, L + 1))} FROM d),
+s AS (SELECT pollutant, any_value(cnt) AS cnt, sum(d * d) AS s0, {", ".join(f"sum(d * l{k}) AS s{k}" for k in range(1, L + 1))}
+      FROM l GROUP BY pollutant)
+SELECT pollutant, k, round(r, 6) AS r_k FROM (
+  {" UNION ALL ".join(f"SELECT pollutant, {k} AS k, coalesce(s{k}, 0.0) / (cnt - {k}) AS r FROM s" for k in range(0, L + 1))}) u
+""")
+def autocovariance(spark, sf_dir):
+    a = S.autocov(V.network_series(spark, sf_dir), ["pollutant"], "ts", "value", L)
+    e = a.select("pollutant", F.posexplode("acov").alias("k", "r"))
+    return e.select("pollutant", F.col("k").cast("int").alias("k"), F.round("r", 6).alias("r_k"))
+
+
+def _scale_sql(kind: str) -> str:
+    if kind == "min_max":
+        a, b = "min(value)", "max(value) - min(value)"
+    elif kind == "standard":
+        a, b = sql_exact_avg("value", 6), "stddev_pop(value)"
+    else:
+        a, b = "quantile_cont(value, 0.5)", "quantile_cont(value, 0.75) - quantile_cont(value, 0.25)"
+    return f"""
+WITH s AS ({V.SQL_SERIES_LONG}),
+st AS (SELECT sensor_id, pollutant, {a} AS a, {b} AS b FROM s GROUP BY sensor_id, pollutant)
+SELECT s.sensor_id, s.pollutant, ts,
+  round((value - a) / CASE WHEN b = 0 THEN 1.0 ELSE b END, 9) + 0.0 AS value
+FROM s JOIN st ON s.sensor_id = st.sensor_id AND s.pollutant = st.pollutant
+"""
+
+
+def _scaled(kind):
+    def run(spark, sf_dir):
+        out = S.scale(V.series_long(spark, sf_dir), K, ["value"], kind, scale_digits=6)
+        return out.withColumn("value", F.round("value", 9) + F.lit(0.0))
+    run.__name__ = f"scale_{kind}"
+    return run
+
+
+query("scale_minmax", _scale_sql("min_max"))(_scaled("min_max"))
+query("scale_standard", _scale_sql("standard"))(_scaled("standard"))
+query("scale_robust", _scale_sql("robust"))(_scaled("robust"))
+
+_X = ["lag_1", "lag_2", "lag_3"]
+
+
+def _gram_terms():
+    terms = [("n", "count(*)::DOUBLE"), ("s_value", "sum(value)"), ("s_value_value", "sum(value * value)")]
+    for i, a in enumerate(_X):
+        terms.append((f"s_{a}", f"sum({a})"))
+        terms.append((f"s_{a}_value", f"sum({a} * value)"))
+        for b in _X[i:]:
+            terms.append((f"s_{a}_{b}", f"sum({a} * {b})"))
+    return terms
+
+
+@query("gram_sums", f"""
+WITH l AS (SELECT pollutant, ts, value, {", ".join(f"lag(value, {k}) OVER (PARTITION BY pollutant ORDER BY ts) AS lag_{k}" for k in (1, 2, 3))}
+           FROM ({V.SQL_NETWORK_SERIES}) n)
+SELECT pollutant, {", ".join(f"round({e}, 4) AS {n}" for n, e in _gram_terms())}
+FROM l WHERE lag_1 IS NOT NULL AND lag_2 IS NOT NULL AND lag_3 IS NOT NULL GROUP BY pollutant
+""")
+def gram_sums(spark, sf_dir):
+    l = S.lags(V.network_series(spark, sf_dir), ["pollutant"], "ts", "value", 3)
+    g = S.gram_sums(l, ["pollutant"], _X, "value")
+    return g.select("pollutant", *[F.round(c, 4).alias(c) for c in g.columns if c != "pollutant"])

@@ -169,3 +169,43 @@ SQL_POINTS = (
     "SELECT s_suppkey AS point_id, "
     f"{_sql_coord('(s_suppkey * 3)', 97, 41)} AS lat, {_sql_coord('(s_suppkey * 7)', 89, 20)} AS lon FROM supplier"
 )
+
+
+# ----------------------------------------------------------------------------- series
+def _micro_mean(value: str = "value") -> F.Column:
+    n = f"count({value})"
+    s4 = f"sum(CAST(round({value} * 10000) AS BIGINT))"
+    return F.expr(f"CASE WHEN {n} > 0 THEN CAST(({s4} * 100) div {n} AS DOUBLE) / 1000000D END")
+
+
+def _sql_micro_mean(value: str = "value") -> str:
+    n = f"count({value})"
+    s4 = f"sum(CAST(round({value} * 10000) AS BIGINT))"
+    return f"CASE WHEN {n} > 0 THEN CAST(({s4} * 100) // {n} AS DOUBLE) / CAST(1000000 AS DOUBLE) END"
+
+
+def series_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly series per (sensor_id, pollutant): ts (hour), value (micro-grid mean)."""
+    ev = table(spark, sf_dir, "events").select("user_id", "ts", "event_type", "value")
+    return (ev.groupBy(F.col("user_id").alias("sensor_id"), _pollutant_col().alias("pollutant"),
+                       F.date_trunc("hour", "ts").alias("ts"))
+              .agg(_micro_mean().alias("value")))
+
+
+SQL_SERIES_LONG = (
+    f"SELECT user_id AS sensor_id, {_case_pollutant()} AS pollutant, date_trunc('hour', ts) AS ts, "
+    f"{_sql_micro_mean()} AS value FROM events GROUP BY 1, 2, 3"
+)
+
+
+def network_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole-network hourly series per pollutant: pollutant, ts, value."""
+    ev = table(spark, sf_dir, "events").select("ts", "event_type", "value")
+    return (ev.groupBy(_pollutant_col().alias("pollutant"), F.date_trunc("hour", "ts").alias("ts"))
+              .agg(_micro_mean().alias("value")))
+
+
+SQL_NETWORK_SERIES = (
+    f"SELECT {_case_pollutant()} AS pollutant, date_trunc('hour', ts) AS ts, "
+    f"{_sql_micro_mean()} AS value FROM events GROUP BY 1, 2"
+)
