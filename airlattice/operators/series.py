@@ -7,6 +7,7 @@ how many raw readings a sensor sends, so no window partition grows with data vol
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -130,3 +131,55 @@ def gram_sums(df: DataFrame, keys: list[str], x: list[str], y: str) -> DataFrame
         for b in x[i:]:
             aggs.append(F.sum(F.col(a) * F.col(b)).alias(f"s_{a}_{b}"))
     return complete.groupBy(*keys).agg(*aggs)
+
+
+def _durbin_levinson(r: list[float]) -> list[float]:
+    """PACF values 0..L from autocovariances r_0..r_L (Yule-Walker recursion)."""
+    L = len(r) - 1
+    out = [1.0]
+    if L < 1 or not r[0]:
+        return out + [float("nan")] * L
+    phi_prev: list[float] = []
+    for k in range(1, L + 1):
+        num = r[k] - sum(phi_prev[j] * r[k - 1 - j] for j in range(k - 1))
+        den = r[0] - sum(phi_prev[j] * r[j + 1] for j in range(k - 1))
+        kk = num / den if den else float("nan")
+        phi = [phi_prev[j] - kk * phi_prev[k - 2 - j] for j in range(k - 1)] + [kk]
+        out.append(kk)
+        phi_prev = phi
+    return out
+
+
+def pacf(acov: DataFrame, keys: list[str], max_lag: int) -> DataFrame:
+    """Partial autocorrelations per series from ``autocov`` output (one row per
+    series, so the Python step handles arrays of at most max_lag + 1 numbers).
+
+    The lag count follows the reference: max_lag if max_lag < n // 2, else n // 2 - 1.
+    """
+    @F.pandas_udf("array<double>")
+    def dl(ac: pd.Series, n: pd.Series) -> pd.Series:
+        res = []
+        for a, m in zip(ac, n):
+            lags = max_lag if max_lag < m // 2 else m // 2 - 1
+            vals = [float(v) if v is not None else float("nan") for v in list(a)[: max(lags, 0) + 1]]
+            res.append(_durbin_levinson(vals) if lags >= 1 else [1.0])
+        return pd.Series(res)
+
+    return acov.select(*keys, "n", dl(F.col("acov"), F.col("n")).alias("pacf"))
+
+
+def selected_lags(pacf_df: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """Lags k >= 1 whose |PACF(k)| >= threshold, per series (array column ``lags``)."""
+    idx = F.filter(F.sequence(F.lit(1), F.greatest(F.size("pacf") - 1, F.lit(1))),
+                   lambda k: (F.size("pacf") > k) & (F.abs(F.element_at("pacf", k + 1)) >= threshold))
+    return pacf_df.select(*keys, idx.alias("lags"))
+
+
+def lag_features(df: DataFrame, keys: list[str], order: str, value: str, max_lag: int,
+                 threshold: float, scale: int | None = 6) -> DataFrame:
+    """All lags 1..L computed once, nulled where the series' PACF does not
+    select that lag; rows keep a ``lags`` array naming the selected ones."""
+    sel = selected_lags(pacf(autocov(df, keys, order, value, max_lag, scale), keys, max_lag), keys, threshold)
+    out = lags(df, keys, order, value, max_lag).join(sel, on=keys, how="left")
+    return out.withColumns({f"lag_{k}": F.when(F.array_contains("lags", k), F.col(f"lag_{k}"))
+                            for k in range(1, max_lag + 1)})
