@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def exact_avg(c, scale: int | None = None) -> Column:
+def exact_avg(c, scale: int | None = None, over=None) -> Column:
     """Mean of a column; with ``scale`` the sum is taken in DECIMAL(38, scale).
 
     A decimal sum does not depend on the order rows arrive in, so the mean is the same
@@ -14,10 +14,14 @@ def exact_avg(c, scale: int | None = None) -> Column:
     lie on a 10^-scale grid.
     """
     col = F.col(c) if isinstance(c, str) else c
+
+    def w(agg: Column) -> Column:
+        return agg.over(over) if over is not None else agg
+
     if scale is None:
-        return F.avg(col)
-    n = F.count(col)
-    return F.when(n > 0, F.sum(col.cast(f"decimal(38,{scale})")).cast("double") / n)
+        return w(F.avg(col))
+    n = w(F.count(col))
+    return F.when(n > 0, w(F.sum(col.cast(f"decimal(38,{scale})"))).cast("double") / n)
 
 
 def sql_exact_avg(c: str, scale: int) -> str:

@@ -120,14 +120,13 @@ def union_sparse(*frames: DataFrame) -> DataFrame:
 def fill_mean(df: DataFrame, keys: list[str], cols: list[str], scale: int | None = None) -> DataFrame:
     """A2: nulls take the mean of their column within the series.
 
-    Per-series means are a grouped aggregate (partial aggregation map-side, one small
-    shuffle) joined back on the keys; a column with no value stays null. ``scale``
-    makes the mean order-independent (decimal sum), see ``exact_avg``.
+    The mean is an unordered window aggregate over the series' rows: the frame is
+    read once (no second scan for a statistics side) and a window partition holds one
+    series, whose rows are bounded by its hours. ``scale`` makes the mean
+    order-independent (decimal sum), see ``exact_avg``.
     """
-    stats = df.groupBy(*keys).agg(*[exact_avg(c, scale).alias(f"_mean_{c}") for c in cols])
-    out = join_stats(df, stats, keys)
-    return out.withColumns({c: F.coalesce(F.col(c), F.col(f"_mean_{c}")) for c in cols}) \
-              .drop(*[f"_mean_{c}" for c in cols])
+    w = Window.partitionBy(*keys)
+    return df.withColumns({c: F.coalesce(F.col(c), exact_avg(c, scale, over=w)) for c in cols})
 
 
 def fill_mode(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
@@ -148,10 +147,9 @@ def mask_constant(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
 
     (The reference fails the whole unit; we null the column and go on.)
     """
-    stats = df.groupBy(*keys).agg(*[F.stddev_samp(c).alias(f"_sd_{c}") for c in cols])
-    out = join_stats(df, stats, keys)
-    return out.withColumns({c: F.when(~(F.col(f"_sd_{c}") == 0) | F.col(f"_sd_{c}").isNull(), F.col(c))
-                            for c in cols}).drop(*[f"_sd_{c}" for c in cols])
+    w = Window.partitionBy(*keys)
+    return df.withColumns({c: F.when(F.coalesce(F.stddev_samp(c).over(w) != 0, F.lit(True)), F.col(c))
+                           for c in cols})
 
 
 def with_aqi(df: DataFrame) -> DataFrame:

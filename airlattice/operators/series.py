@@ -75,8 +75,9 @@ def autocov(df: DataFrame, keys: list[str], order: str, value: str, max_lag: int
 
     Returns one row per series with an array ``acov`` (index k) and ``n``.
     """
-    stats = df.groupBy(*keys).agg(exact_avg(value, scale).alias("_m"), F.count(value).alias("_n"))
-    d = join_stats(df, stats, keys).withColumn("_d", F.col(value) - F.col("_m"))
+    whole = Window.partitionBy(*keys)
+    d = df.withColumns({"_m": exact_avg(value, scale, over=whole), "_n": F.count(value).over(whole)}) \
+          .withColumn("_d", F.col(value) - F.col("_m"))
     w = _w(keys, order)
     d = d.withColumns({f"_l{k}": F.lag("_d", k).over(w) for k in range(1, max_lag + 1)})
     sums = [F.sum(F.col("_d") * F.col("_d")).alias("_s0")] + \
@@ -90,23 +91,31 @@ def autocov(df: DataFrame, keys: list[str], order: str, value: str, max_lag: int
 SCALERS = ("min_max", "standard", "robust")
 
 
+def _scale_exprs(c: str, kind: str, scale: int | None, over=None) -> tuple[Column, Column]:
+    """A4: (centre, spread) aggregates of a scaler; any unknown ``kind`` means robust.
+    ``over`` turns them into window aggregates."""
+    def w(agg: Column) -> Column:
+        return agg.over(over) if over is not None else agg
+
+    if kind == "min_max":
+        return w(F.min(c)), w(F.max(c)) - w(F.min(c))
+    if kind == "standard":
+        return exact_avg(c, scale, over), w(F.stddev_pop(c))
+    return w(F.percentile(c, 0.5)), w(F.percentile(c, 0.75)) - w(F.percentile(c, 0.25))
+
+
 def scale_stats(df: DataFrame, keys: list[str], cols: list[str], kind: str = "robust",
                 scale: int | None = None) -> DataFrame:
-    """A4: per-series statistics for a scaler; any unknown ``kind`` means robust."""
+    """A4: per-series scaler statistics as a table (to store with a model)."""
     aggs = []
     for c in cols:
-        if kind == "min_max":
-            aggs += [F.min(c).alias(f"_a_{c}"), (F.max(c) - F.min(c)).alias(f"_b_{c}")]
-        elif kind == "standard":
-            aggs += [exact_avg(c, scale).alias(f"_a_{c}"), F.stddev_pop(c).alias(f"_b_{c}")]
-        else:
-            aggs += [F.percentile(c, 0.5).alias(f"_a_{c}"),
-                     (F.percentile(c, 0.75) - F.percentile(c, 0.25)).alias(f"_b_{c}")]
+        a, b = _scale_exprs(c, kind, scale)
+        aggs += [a.alias(f"_a_{c}"), b.alias(f"_b_{c}")]
     return df.groupBy(*keys).agg(*aggs)
 
 
 def apply_scale(df: DataFrame, stats: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
-    """M4: (x - a) / b with b = 1 where the spread is 0."""
+    """M4: (x - a) / b with stored statistics; b = 1 where the spread is 0."""
     j = join_stats(df, stats, keys)
     return j.withColumns({c: (F.col(c) - F.col(f"_a_{c}")) /
                           F.when(F.col(f"_b_{c}") == 0, F.lit(1.0)).otherwise(F.col(f"_b_{c}"))
@@ -115,8 +124,13 @@ def apply_scale(df: DataFrame, stats: DataFrame, keys: list[str], cols: list[str
 
 def scale(df: DataFrame, keys: list[str], cols: list[str], kind: str = "robust",
           scale_digits: int | None = None) -> DataFrame:
-    """M4: fit per-series scaler statistics and apply them."""
-    return apply_scale(df, scale_stats(df, keys, cols, kind, scale_digits), keys, cols)
+    """M4: fit per-series scaler statistics and apply them in one window pass."""
+    w = Window.partitionBy(*keys)
+    out = {}
+    for c in cols:
+        a, b = _scale_exprs(c, kind, scale_digits, w)
+        out[c] = (F.col(c) - a) / F.when(b == 0, F.lit(1.0)).otherwise(b)
+    return df.withColumns(out)
 
 
 def gram_sums(df: DataFrame, keys: list[str], x: list[str], y: str) -> DataFrame:
