@@ -133,17 +133,32 @@ def scale(df: DataFrame, keys: list[str], cols: list[str], kind: str = "robust",
     return df.withColumns(out)
 
 
-def gram_sums(df: DataFrame, keys: list[str], x: list[str], y: str) -> DataFrame:
+def gram_sums(df: DataFrame, keys: list[str], x: list[str], y: str, scale: int | None = None,
+              digits: int | None = None) -> DataFrame:
     """M6: sufficient statistics of an OLS fit with constant, per series, in one pass:
-    n, sum x_i, sum x_i x_j (i <= j), sum x_i y, sum y, sum y^2 over complete rows."""
+    n, sum x_i, sum x_i x_j (i <= j), sum x_i y, sum y, sum y^2 over complete rows.
+
+    With ``scale`` (values on a 10^-scale grid) every sum is exact in decimal, so the
+    result does not depend on row order; ``digits`` rounds it before the cast to double.
+    """
     complete = df.dropna(subset=x + [y])
-    aggs = [F.count(F.lit(1)).cast("double").alias("n"), F.sum(y).alias(f"s_{y}"),
-            F.sum(F.col(y) * F.col(y)).alias(f"s_{y}_{y}")]
+
+    def col(c):
+        return F.col(c).cast(f"decimal(18,{scale})") if scale is not None else F.col(c)
+
+    def total(e):
+        s = F.sum(e)
+        if scale is not None and digits is not None:
+            s = F.round(s, digits)
+        return s.cast("double")
+
+    aggs = [F.count(F.lit(1)).cast("double").alias("n"), total(col(y)).alias(f"s_{y}"),
+            total(col(y) * col(y)).alias(f"s_{y}_{y}")]
     for i, a in enumerate(x):
-        aggs.append(F.sum(a).alias(f"s_{a}"))
-        aggs.append(F.sum(F.col(a) * F.col(y)).alias(f"s_{a}_{y}"))
+        aggs.append(total(col(a)).alias(f"s_{a}"))
+        aggs.append(total(col(a) * col(y)).alias(f"s_{a}_{y}"))
         for b in x[i:]:
-            aggs.append(F.sum(F.col(a) * F.col(b)).alias(f"s_{a}_{b}"))
+            aggs.append(total(col(a) * col(b)).alias(f"s_{a}_{b}"))
     return complete.groupBy(*keys).agg(*aggs)
 
 

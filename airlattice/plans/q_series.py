@@ -129,22 +129,27 @@ _X = ["lag_1", "lag_2", "lag_3"]
 
 
 def _gram_terms():
-    terms = [("n", "count(*)::DOUBLE"), ("s_value", "sum(value)"), ("s_value_value", "sum(value * value)")]
+    def d(c):
+        return f"CAST({c} AS DECIMAL(18,6))"
+
+    def t(e):
+        return f"CAST(round(sum({e}), 4) AS DOUBLE)"
+
+    terms = [("n", "count(*)::DOUBLE"), ("s_value", t(d("value"))), ("s_value_value", t(f"{d('value')} * {d('value')}"))]
     for i, a in enumerate(_X):
-        terms.append((f"s_{a}", f"sum({a})"))
-        terms.append((f"s_{a}_value", f"sum({a} * value)"))
+        terms.append((f"s_{a}", t(d(a))))
+        terms.append((f"s_{a}_value", t(f"{d(a)} * {d('value')}")))
         for b in _X[i:]:
-            terms.append((f"s_{a}_{b}", f"sum({a} * {b})"))
+            terms.append((f"s_{a}_{b}", t(f"{d(a)} * {d(b)}")))
     return terms
 
 
 @query("gram_sums", f"""
 WITH l AS (SELECT pollutant, ts, value, {", ".join(f"lag(value, {k}) OVER (PARTITION BY pollutant ORDER BY ts) AS lag_{k}" for k in (1, 2, 3))}
            FROM ({V.SQL_NETWORK_SERIES}) n)
-SELECT pollutant, {", ".join(f"round({e}, 4) AS {n}" for n, e in _gram_terms())}
+SELECT pollutant, {", ".join(f"{e} AS {n}" for n, e in _gram_terms())}
 FROM l WHERE lag_1 IS NOT NULL AND lag_2 IS NOT NULL AND lag_3 IS NOT NULL GROUP BY pollutant
 """)
 def gram_sums(spark, sf_dir):
     l = S.lags(V.network_series(spark, sf_dir), ["pollutant"], "ts", "value", 3)
-    g = S.gram_sums(l, ["pollutant"], _X, "value")
-    return g.select("pollutant", *[F.round(c, 4).alias(c) for c in g.columns if c != "pollutant"])
+    return S.gram_sums(l, ["pollutant"], _X, "value", scale=6, digits=4)
