@@ -111,3 +111,15 @@ def worklist(units: DataFrame, pollutants: list[str], registry: DataFrame, with_
     status = (F.when(F.col("_t").isNotNull() & (age < lifetime_s), "fresh")
                .when(F.col("_has").isNull(), "no_data").otherwise("train"))
     return j.select(*k, F.col("_t").alias("trained_at"), status.alias("status"))
+
+
+def write_errors(errors: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
+    """Store the error table; only the partitions present are replaced."""
+    (errors.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+           .partitionBy(*(partition_by or [])).parquet(path))
+
+
+def write_holdout(predictions: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
+    """Store holdout predictions (time, actual, predicted per series and model)."""
+    (predictions.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+                .partitionBy(*(partition_by or [])).parquet(path))

@@ -53,3 +53,16 @@ def direct_labels(df: DataFrame, keys: list[str], ts: str, value: str, steps: in
     """Labels for direct multi-horizon models: label_h = value h rows ahead."""
     w = Window.partitionBy(*keys).orderBy(ts)
     return df.withColumns({f"label_{h}": F.lead(value, h).over(w) for h in range(1, steps + 1)})
+
+
+def publish(spark, forecasts: DataFrame, path: str, keys: list[str]) -> DataFrame:
+    """Upsert the newest forecast per key into the predictions store (replace
+    semantics) and return what was written. Published after computing (the reference
+    publishes the previous run's file first)."""
+    from airlattice.sources import store
+
+    stored = store.read_store(spark, path)
+    merged = forecasts if stored is None else store.upsert(stored, forecasts, keys, "replace")
+    merged = merged.checkpoint()  # materialise before overwriting the folder it was read from
+    merged.write.mode("overwrite").parquet(path)
+    return merged

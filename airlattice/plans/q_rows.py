@@ -70,7 +70,7 @@ def recursive_forecast(spark, sf_dir):
     frame, cols = _training(spark, sf_dir)
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import LinearRegression
-    lr = LinearRegression(featuresCol="features", labelCol="label", regParam=0.01)
+    lr = LinearRegression(featuresCol="features", labelCol="label", regParam=0.01, solver="normal")
     fitted = lr.fit(VectorAssembler(inputCols=cols, outputCol="features").transform(frame))
     history = V.series_long(spark, sf_dir)
     return M.recursive_forecast(spark, history, fitted, ["sensor_id", "pollutant"], "ts", "value", 3,
@@ -137,3 +137,9 @@ def stream_aqi(spark, sf_dir):
     q = R.sink_parquet(R.with_aqi(stream), out, scratch(spark, "ckpt"))
     q.awaitTermination()
     return spark.read.parquet(out)
+
+
+@query("direct_forecast")
+def direct_forecast(spark, sf_dir):
+    """One model per horizon over the network series (24 horizons)."""
+    return M.direct_forecast(V.network_series(spark, sf_dir), ["pollutant"], "ts", "value", 3)
