@@ -82,9 +82,10 @@ def backfill_files(spark, sf_dir):
     """S8 + S6: hourly readings dropped as CSV files per sensor and collection are read
     back in one scan (sensor and collection from the path) and appended by key."""
     root = scratch(spark, "dropped")
-    hw = V.hourly_wide(spark, sf_dir).withColumn("time", F.unix_seconds("ts")).drop("ts")
-    (hw.withColumn("collection", F.lit("pollution")).withColumnRenamed("sensor_id", "sensor")
-       .write.partitionBy("sensor", "collection").option("header", "true").csv(root))
+    hw = V.hourly_wide(spark, sf_dir)
+    dropped = hw.select(F.col("sensor_id").alias("sensor"), F.lit("pollution").alias("collection"),
+                        F.unix_seconds("ts").alias("time"), "co", "no2", "o3", "pm2_5", "pm10", "so2")
+    dropped.write.partitionBy("sensor", "collection").option("header", "true").csv(root)
     schema = "time long, co double, no2 double, o3 double, pm2_5 double, pm10 double, so2 double"
     back = files.backfill(spark, root, schema)
     target = scratch(spark, "store")
@@ -109,7 +110,7 @@ def stream_ingest(spark, sf_dir):
     target = scratch(spark, "readings")
     q = R.ingest(spark, stream, target, ["user_id", "ts"], scratch(spark, "ckpt"), ["event_type"])
     q.awaitTermination()
-    return spark.read.parquet(target)
+    return spark.read.parquet(target).select("event_id", "user_id", "event_type", "ts", "value", "props")
 
 
 @query("stream_dedup")
@@ -143,3 +144,23 @@ def stream_aqi(spark, sf_dir):
 def direct_forecast(spark, sf_dir):
     """One model per horizon over the network series (24 horizons)."""
     return M.direct_forecast(V.network_series(spark, sf_dir), ["pollutant"], "ts", "value", 3)
+
+
+# Oracles for the file / stream round trips whose end state SQL can state.
+from airlattice.functions.aqi import sub_index_sql  # noqa: E402
+from airlattice.plans.registry import ORACLE  # noqa: E402
+
+ORACLE["stream_ingest"] = """
+SELECT event_id, user_id, event_type, CAST(ts AS TIMESTAMP) AS ts, value, props
+FROM events QUALIFY row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id) = 1
+"""
+ORACLE["stream_dedup"] = """
+SELECT event_id, user_id, event_type, CAST(ts AS TIMESTAMP) AS ts, value
+FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type, ts ORDER BY event_id) = 1
+"""
+ORACLE["stream_aqi"] = (
+    f"SELECT *, greatest({', '.join(sub_index_sql(p, p) for p in V.WIDE_POLLUTANTS)}) AS aqi "
+    f"FROM ({V.SQL_HOURLY_WIDE}) hw")
+ORACLE["backfill_files"] = (
+    "SELECT CAST(sensor_id AS VARCHAR) AS sensor, CAST(epoch(ts) AS BIGINT) AS time, co, no2, o3, pm2_5, pm10, so2, "
+    f"'pollution' AS collection FROM ({V.SQL_HOURLY_WIDE}) hw")
