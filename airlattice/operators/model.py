@@ -17,7 +17,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRegression,
-                                   RandomForestRegressor)
+                                   LinearRegressionModel, RandomForestRegressor)
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +27,7 @@ from airlattice.functions import timefeat as T
 from airlattice.operators import evaluate as E
 from airlattice.operators.forecast import non_negative
 from airlattice.operators.series import chrono_split
+from airlattice.session import cut_lineage
 
 # model families by name; the two gradient-boosting families of the reference
 # both map to Spark's GBT with their own grids. Unknown names raise KeyError.
@@ -156,52 +157,88 @@ def load(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
+def _linear_terms(model, feat_cols: list[str]):
+    """(intercept, [(column, coefficient)]) of a fitted linear model, else None."""
+    if isinstance(model, LinearRegressionModel):
+        return float(model.intercept), list(zip(feat_cols, map(float, model.coefficients.toArray())))
+    return None
+
+
+def _linear_sql(linear, lags: int, cats: dict, step, hist: str = "hist") -> str:
+    """SQL text of a linear model's prediction from ``hist`` (the last ``lags`` values)
+    for the step ``step`` (a number or an SQL variable)."""
+    b0, coef = linear
+    c = dict(coef)
+    t = f"(_t0 + make_interval(0, 0, 0, 0, {step}, 0, 0))"
+    terms = [repr(b0)]
+    terms += [f"{c[f'lag_{k}']!r} * try_element_at({hist}, -{k})" for k in range(1, lags + 1)]
+    for name, part, m in (("hour", f"hour({t})", 24), ("dow", f"weekday({t})", 7)):
+        ang = f"((2.0D * pi() * CAST({part} AS DOUBLE)) / {float(m)!r}D)"
+        terms += [f"{c[f'{name}_cos']!r} * cos({ang})", f"{c[f'{name}_sin']!r} * sin({ang})"]
+    for col, vals in cats.items():
+        whens = " ".join(f"WHEN '{v}' THEN {c[f'{col}_{v}']!r}" for v in vals)
+        terms.append(f"(CASE `{col}` {whens} ELSE 0.0D END)")
+    return " + ".join(f"({x})" for x in terms)
+
+
 def recursive_forecast(spark, history: DataFrame, model, keys: list[str], ts: str, value: str,
                        lags: int, categories: dict[str, list[str]] | None = None,
                        steps: int = FORECAST_STEPS, checkpoint_every: int = 5) -> DataFrame:
     """Every series forecast together, one step at a time.
 
-    Each series keeps only its last ``lags`` values in an array; a step builds the
-    feature row from that array, predicts with ``model``, and shifts the prediction
-    in. The loop runs ``steps`` times whatever the number of series; lineage is cut
-    with a reliable checkpoint every ``checkpoint_every`` steps. A negative or invalid
-    prediction becomes null for that step (the array keeps the raw value so later
-    steps still have inputs); the first step is dropped, as in the reference.
+    Each series is one state row: its last ``lags`` values (``hist``) and the
+    predictions so far (``preds``, at most ``steps`` numbers). A step builds the
+    feature row from ``hist``, predicts with ``model`` and shifts the prediction in.
+    For a linear model the whole recursion is a fold (``aggregate``) over the steps
+    inside one projection. Other models loop ``steps`` times whatever the number of
+    series; every ``checkpoint_every`` steps the state is written to the shared
+    checkpoint folder and read back, so the plan never grows beyond that many steps. The
+    result is the final state exploded: a negative or invalid prediction becomes null
+    for that step (later steps still use the raw value), and the first step is dropped
+    as in the reference.
     """
     w = Window.partitionBy(*keys).orderBy(F.col(ts).desc())
     tailrows = history.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= lags)
     state = (tailrows.groupBy(*keys)
-                     .agg(F.max(ts).alias(ts),
+                     .agg(F.max(ts).alias("_t0"),
                           F.array_sort(F.collect_list(F.struct(F.col(ts).alias("t"), F.col(value).alias("v"))))
                           .alias("_h"))
                      .withColumn("hist", F.transform("_h", lambda s: s["v"])).drop("_h")
-                     .filter(F.size("hist") == lags))
+                     .filter(F.size("hist") == lags)
+                     .withColumn("preds", F.array().cast("array<double>")))
     cats = categories or {}
     feat_cols = [f"lag_{k}" for k in range(1, lags + 1)] + ["hour_cos", "hour_sin", "dow_cos", "dow_sin"] + \
         [f"{c}_{v}" for c, vals in cats.items() for v in vals]
     asm = VectorAssembler(inputCols=feat_cols, outputCol="features", handleInvalid="keep")
-    outputs = []
-    ckpt = spark.conf.get("spark.checkpoint.dir", None)
-    for step in range(1, steps + 1):
-        nxt = state.withColumn(ts, F.col(ts) + F.expr("INTERVAL 1 HOUR"))
-        hc, hs = T.cyclic(F.hour(ts), 24)
-        dc, ds = T.cyclic(F.weekday(ts), 7)
-        feats = nxt.withColumns({f"lag_{k}": F.element_at("hist", -k) for k in range(1, lags + 1)})
-        feats = feats.withColumns({"hour_cos": hc, "hour_sin": hs, "dow_cos": dc, "dow_sin": ds})
-        for c, vals in cats.items():
-            for v in vals:
-                feats = feats.withColumn(f"{c}_{v}", (F.col(c) == v).cast("double"))
-        pred = model.transform(asm.transform(feats)).select(
-            *keys, ts, F.lit(step).alias("step"), F.col("prediction"),
-            F.slice(F.concat("hist", F.array(F.col("prediction"))), 2, lags).alias("hist"))
-        if ckpt and step % checkpoint_every == 0:
-            pred = pred.checkpoint()
-        outputs.append(pred.select(*keys, "step", ts, non_negative("prediction").alias("value")))
-        state = pred.select(*keys, ts, "hist")
-    out = outputs[0]
-    for o in outputs[1:]:
-        out = out.unionByName(o)
-    return out.filter("step > 1")
+    linear = _linear_terms(model, feat_cols)
+    if linear is not None:
+        # A linear model's recursion is one expression per series: a fold over the
+        # steps whose accumulator carries (hist, preds). One projection, one pass, no
+        # loop of jobs and no lineage growth.
+        p = _linear_sql(linear, lags, cats, "s", "acc.hist")
+        fold = (f"aggregate(sequence(1, {steps}), named_struct('hist', hist, 'preds', CAST(array() AS array<double>)), "
+                f"(acc, s) -> named_struct('hist', slice(concat(acc.hist, array({p})), 2, {lags}), "
+                f"'preds', concat(acc.preds, array({p})))).preds AS preds")
+        state = state.selectExpr(*keys, "_t0", fold)
+    else:
+        for step in range(1, steps + 1):
+            t = F.col("_t0") + F.make_interval(hours=F.lit(step))
+            hc, hs = T.cyclic(F.hour(t), 24)
+            dc, ds = T.cyclic(F.weekday(t), 7)
+            feats = state.withColumns({f"lag_{k}": F.element_at("hist", -k) for k in range(1, lags + 1)})
+            feats = feats.withColumns({"hour_cos": hc, "hour_sin": hs, "dow_cos": dc, "dow_sin": ds})
+            for c, vals in cats.items():
+                for v in vals:
+                    feats = feats.withColumn(f"{c}_{v}", (F.col(c) == v).cast("double"))
+            state = model.transform(asm.transform(feats)).selectExpr(
+                *keys, "_t0", f"slice(concat(hist, array(prediction)), 2, {lags}) AS hist",
+                "concat(preds, array(prediction)) AS preds")
+            if step % checkpoint_every == 0:
+                state = cut_lineage(state)
+    out = state.select(*keys, "_t0", F.posexplode("preds").alias("_i", "_p"))
+    return out.select(*keys, (F.col("_i") + 1).alias("step"),
+                      (F.col("_t0") + F.make_interval(hours=F.col("_i") + 1)).alias(ts),
+                      non_negative("_p").alias("value")).filter("step > 1")
 
 
 def direct_forecast(series: DataFrame, keys: list[str], ts: str, value: str, lags: int,

@@ -58,3 +58,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(current)
     return current
+
+
+def cut_lineage(df):
+    """Materialise ``df`` as parquet under the shared checkpoint folder and read it back.
+
+    One job writes it (a reliable RDD checkpoint would compute the data twice unless
+    cached); the returned frame's plan starts at those files, so it survives the loss
+    of any executor and stops the plan from growing in iterative loops.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/lineage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
