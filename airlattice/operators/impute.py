@@ -5,9 +5,11 @@ multi-resolution grid: at level l the attribute space is cut into cubes of side
 w_l; a row's candidates are the rows in its 3^d surrounding cubes, which contain every
 row within distance w_l. If at least K candidates lie within w_l, the K nearest are
 exact (ties at the K-th distance are all inside too); otherwise the row moves to the
-next, coarser level. The last level's cube spans the whole data range, so every row
-resolves. Between levels the unresolved rows are checkpointed to the shared
-checkpoint folder so the plan does not grow.
+next level, whose cubes are twice as wide. The first side is set from the data's
+density so that about K rows fall within reach, so most rows resolve at once and the
+candidates per row stay near K even in dense regions. The last level's cube spans the whole data range, so every row
+resolves. Between levels the resolved neighbours and the unresolved rows are written
+to the shared checkpoint folder and read back, so the plan does not grow.
 
 Duplicates are pre-aggregated: of rows with identical attributes only the K + 1
 lowest ids can ever be chosen (ties go to the lower id), so a hot group of identical
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 
 from airlattice.constants import KNN_MISSING_THRESHOLD
 from airlattice.functions import distance as D
+from airlattice.session import cut_lineage
 
 METHODS = ("mean", "median", "mode")
 
@@ -55,7 +58,7 @@ def _top_per_group(df: DataFrame, group: list[str], order: str, k: int, salts: i
 
 def knn(df: DataFrame, id_col: str, target: str, attrs: list[str], k: int, how: str = "mean",
         metric: str = "euclidean", threshold: float = KNN_MISSING_THRESHOLD,
-        levels: int = 4, out: str | None = None) -> DataFrame:
+        max_levels: int = 12, out: str | None = None) -> DataFrame:
     """M5: fill null ``target`` values from the K nearest rows (by ``attrs``).
 
     A row stays null when at least ``threshold * k`` of its neighbours are missing the
@@ -74,24 +77,29 @@ def knn(df: DataFrame, id_col: str, target: str, attrs: list[str], k: int, how:
 
     base = df.select(id_col, target, *[F.coalesce(F.col(a).cast("double"), F.lit(stats[f"mean_{a}"]))
                                        .alias(a) for a in attrs])
-    span = max((stats[f"max_{a}"] - stats[f"min_{a}"]) or 0.0 for a in attrs) or 1.0
+    ranges = [max((stats[f"max_{a}"] - stats[f"min_{a}"]) or 0.0, 0.0) for a in attrs]
+    span = max(ranges) or 1.0
     mins = {a: stats[f"min_{a}"] for a in attrs}
+    # first cube side: about k rows expected within reach if rows were spread evenly
+    volume = 1.0
+    for r in ranges:
+        volume *= max(r, span * 1e-6)
+    w = min(0.5 * (k * volume / max(stats["n"], 1)) ** (1.0 / len(attrs)), span)
 
     # duplicate attribute vectors: only the k + 1 lowest ids can be chosen
-    cands = _top_per_group(base, attrs, id_col, k + 1)
+    cands = cut_lineage(_top_per_group(base, attrs, id_col, k + 1))
     queries = base.filter(F.col(target).isNull()).select(id_col, *[F.col(a).alias(f"q_{a}") for a in attrs])
 
     deltas = F.array(*[F.array(*[F.lit(x) for x in combo])
                        for combo in itertools.product((-1, 0, 1), repeat=len(attrs))])
-    ckpt_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if ckpt_dir and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(ckpt_dir)
 
     resolved = None
     remaining = queries
-    for level in range(levels + 1):
-        w = span / (4 ** (levels - level)) * 1.000001
-        cell = lambda c, a: F.floor((F.col(c) - F.lit(mins[a])) / F.lit(w)).cast("long")
+    for level in range(max_levels + 1):
+        final = w >= span or level == max_levels
+        if final:
+            w = span * 1.000001  # one cube row per axis covers everything: all resolve
+        cell = lambda c, a, w=w: F.floor((F.col(c) - F.lit(mins[a])) / F.lit(w)).cast("long")
         qc = remaining.withColumn("_d", F.explode(deltas)).select(
             id_col, *[f"q_{a}" for a in attrs],
             *[(cell(f"q_{a}", a) + F.col("_d")[i]).alias(f"_c{i}") for i, a in enumerate(attrs)])
@@ -100,7 +108,7 @@ def knn(df: DataFrame, id_col: str, target: str, attrs: list[str], k: int, how:
                           *[cell(a, a).alias(f"_c{i}") for i, a in enumerate(attrs)])
         pairs = qc.join(cc, on=[f"_c{i}" for i in range(len(attrs))]).filter(F.col(id_col) != F.col("_j"))
         pairs = pairs.withColumn("_dist", D.numeric([f"q_{a}" for a in attrs], [f"b_{a}" for a in attrs], metric))
-        if level < levels:
+        if not final:
             pairs = pairs.filter(F.col("_dist") <= F.lit(w))
         win = Window.partitionBy(id_col)
         ranked = (pairs.withColumn("_cnt", F.count(F.lit(1)).over(win))
@@ -108,12 +116,14 @@ def knn(df: DataFrame, id_col: str, target: str, attrs: list[str], k: int, how:
                        .withColumn("_r", F.row_number().over(win.orderBy("_dist", "_j")))
                        .filter(F.col("_r") <= k)
                        .select(id_col, "_j", "_t", "_dist"))
-        ranked = ranked.checkpoint() if ckpt_dir else ranked
+        ranked = cut_lineage(ranked)
         resolved = ranked if resolved is None else resolved.unionByName(ranked)
-        if level < levels:
-            done_ids = ranked.select(id_col).distinct()
-            remaining = remaining.join(done_ids, on=id_col, how="left_anti")
-            remaining = remaining.checkpoint() if ckpt_dir else remaining
+        if final:
+            break
+        remaining = cut_lineage(remaining.join(ranked.select(id_col).distinct(), on=id_col, how="left_anti"))
+        if remaining.isEmpty():
+            break
+        w *= 2
 
     agg = resolved.groupBy(id_col).agg(
         F.count_if(F.col("_t").isNull()).alias("_missing"),
