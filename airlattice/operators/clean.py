@@ -63,19 +63,30 @@ def drop_null_rows(df: DataFrame, cols: list[str], how: str = "all") -> DataFram
 
 
 # ---------------------------------------------------------------- W3 / W7
-def _desc(order) -> list:
+def _order_key(order) -> Column:
+    """Sort key for "latest": a struct of (is-not-null, value) per order column, so a
+    null order ranks lowest and the struct itself is never null."""
     order = [order] if isinstance(order, str) else list(order)
-    return [F.col(o).desc() for o in order]
+    return F.struct(*[x for o in order for x in (F.col(o).isNotNull().alias(f"_nn_{o}"), F.col(o).alias(f"_v_{o}"))])
 
 
-def dedup_keep_last(df: DataFrame, keys: list[str], order) -> DataFrame:
-    """One row per key, the one with the largest ``order`` value(s) (last ingested).
+def latest_per_key(df: DataFrame, keys: list[str], order) -> DataFrame:
+    """One row per key: the row with the largest ``order`` value(s).
 
-    The window is partitioned by the full natural key (sensor, time), so a partition
-    holds only the copies of one reading; no hot group can form.
+    An aggregation (``max_by``), not a window: map-side partial aggregation keeps one
+    candidate per key per task before the shuffle, so a hot key whose copies make up a
+    large share of the data never lands whole in one task.
     """
-    w = Window.partitionBy(*keys).orderBy(*_desc(order))
-    return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    rest = [c for c in df.columns if c not in keys]
+    if not rest:
+        return df.dropDuplicates(keys)
+    best = df.groupBy(*keys).agg(F.max_by(F.struct(*[F.col(c) for c in rest]), _order_key(order)).alias("_row"))
+    return best.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest]).select(*df.columns)
+
+
+def dedup_keep_last(df: DataFrame, keys: list[str], order) -> DataFrame:
+    """One row per natural key (sensor, time), the last ingested (largest ``order``)."""
+    return latest_per_key(df, keys, order)
 
 
 def collapse_identical(df: DataFrame, group_keys: list[str], value_cols: list[str],
@@ -83,11 +94,10 @@ def collapse_identical(df: DataFrame, group_keys: list[str], value_cols: list[st
     """Rows identical on every value column collapse to the latest one.
 
     Reproduces the reference's full-row de-duplication (different hours with the same
-    readings keep only the later hour). Partitioned by series key and all values, so
-    each partition only holds identical copies.
+    readings keep only the later hour); opt-in, see D1. Nulls compare equal, as in
+    pandas.
     """
-    w = Window.partitionBy(*group_keys, *value_cols).orderBy(*_desc(order))
-    return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    return latest_per_key(df, group_keys + value_cols, order)
 
 
 # ---------------------------------------------------------------- J2 / U1 / U5

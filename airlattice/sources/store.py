@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -19,10 +19,11 @@ def upsert(stored: DataFrame, new: DataFrame, keys: list[str], mode: str = "repl
     (``mode='replace'``, document-store behaviour) or merge fields, keeping stored
     values where the new record has none (``mode='merge'``)."""
     if mode == "replace":
+        from airlattice.operators.clean import latest_per_key
+
         both = stored.withColumn("_src", F.lit(0)).unionByName(
             new.withColumn("_src", F.lit(1)), allowMissingColumns=True)
-        w = Window.partitionBy(*keys).orderBy(F.col("_src").desc())
-        return both.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn", "_src")
+        return latest_per_key(both, keys, "_src").drop("_src")
     if mode == "merge":
         s, n = stored.alias("s"), new.alias("n")
         joined = s.join(n, on=keys, how="full_outer")
