@@ -148,9 +148,17 @@ def train_best(frame: DataFrame, feature_cols: list[str], keys: list[str], ts: s
     return TrainResult(errors=errors, models=models, best=best_name)
 
 
-def register(model, features: list[str], path: str) -> None:
-    """Save a fitted model (overwrite) under ``path``; features go to the registry."""
+def register(spark, model, features: list[str], path: str, meta: dict) -> DataFrame:
+    """Save a fitted model (overwrite) under ``path`` and return its registry row
+    (``meta`` keys such as city / sensor / pollutant / model, plus path, features and
+    trained_at) for upserting into the registry table."""
+    from datetime import datetime, timezone
+
     model.write().overwrite().save(path)
+    row = {**{k: str(v) for k, v in meta.items()}, "path": path, "features": list(features),
+           "trained_at": datetime.now(timezone.utc).replace(tzinfo=None)}
+    schema = ", ".join(f"`{k}` string" for k in meta) + ", path string, features array<string>, trained_at timestamp"
+    return spark.createDataFrame([tuple(row.values())], schema)
 
 
 def load(path: str) -> PipelineModel:

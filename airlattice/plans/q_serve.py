@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from airlattice.constants import POLLUTANTS
+from airlattice.constants import COUNTRY_ZONES, POLLUTANTS
 from airlattice.functions.aqi import aqi, sub_index_sql
 from airlattice.operators import forecast as FC
 from airlattice.operators import serve
@@ -71,13 +71,26 @@ def exogenous_lookup(spark, sf_dir):
 _ZONES = V.REGION_CODES
 
 
+_ZONES_SQL = "SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{z}')" for c, z in COUNTRY_ZONES.items()) + \
+    ") z(country_code, zone)"
+
+
 @query("forecast_pivot", f"""
 WITH f AS ({SQL_FORECAST_LONG}),
-w AS (PIVOT (SELECT sensor_id, ts, pollutant, value FROM f WHERE step > 1) ON pollutant IN ({", ".join(f"'{p}'" for p in MEASURED)}) USING first(value))
-SELECT sensor_id, ts, {", ".join(f"CASE WHEN {p} >= 0 AND NOT isnan({p}) THEN {p} END AS {p}" for p in MEASURED)} FROM w
+w AS (PIVOT (SELECT sensor_id, ts, pollutant, value FROM f WHERE step > 1) ON pollutant IN ({", ".join(f"'{p}'" for p in MEASURED)}) USING first(value)),
+s AS ({V.SQL_SENSORS}), c AS ({V.SQL_CITIES}), z AS ({_ZONES_SQL})
+SELECT w.sensor_id, w.ts, timezone(z.zone, w.ts AT TIME ZONE 'UTC') AS local_ts,
+  {", ".join(f"CASE WHEN {p} >= 0 AND NOT isnan({p}) THEN {p} END AS {p}" for p in MEASURED)}
+FROM w JOIN s ON w.sensor_id = s.sensor_id JOIN c ON s.city_key = c.city_key JOIN z ON z.country_code = c.country_code
 """)
 def forecast_pivot(spark, sf_dir):
-    return FC.assemble(forecast_long(spark, sf_dir), ["sensor_id"], MEASURED)
+    wide = FC.assemble(forecast_long(spark, sf_dir), ["sensor_id"], MEASURED)
+    s = V.sensors(spark, sf_dir).select("sensor_id", "city_key")
+    c = V.cities(spark, sf_dir).select("city_key", "country_code")
+    zones = spark.createDataFrame(list(COUNTRY_ZONES.items()), "country_code string, zone string")
+    geo = s.join(F.broadcast(c), "city_key").join(F.broadcast(zones), "country_code")
+    j = wide.join(geo, "sensor_id")
+    return j.select("sensor_id", "ts", F.from_utc_timestamp("ts", F.col("zone")).alias("local_ts"), *MEASURED)
 
 
 NEXT_HOUR = "2024-01-31 01:00:00"

@@ -51,3 +51,36 @@ def test_train_best_marks_a_best_model(spark):
     rows = res.errors.collect()
     assert len(rows) == 2 and sum(r.is_best for r in rows) == 1
     assert res.best in ("Linear", "DecisionTree")
+
+
+def test_direct_forecast_matches_least_squares(spark):
+    import pandas as pd
+    series = _sine(spark, 120)
+    out = M.direct_forecast(series, ["sensor_id", "pollutant"], "ts", "value", 2, steps=3).orderBy("step").collect()
+    assert [r.step for r in out] == [1, 2, 3]
+    pdf = series.orderBy("ts").toPandas()
+    v = pdf["value"].to_numpy()
+    ts = pd.to_datetime(pdf["ts"])
+    hour, dow = ts.dt.hour.to_numpy(), ts.dt.dayofweek.to_numpy()
+    X = np.column_stack([np.ones(len(v)), np.roll(v, 1), np.roll(v, 2),
+                         np.cos(2 * np.pi * hour / 24), np.sin(2 * np.pi * hour / 24),
+                         np.cos(2 * np.pi * dow / 7), np.sin(2 * np.pi * dow / 7)])
+    for h in (1, 2, 3):
+        rows = np.arange(2, len(v) - h)
+        beta = np.linalg.lstsq(X[rows], v[rows + h], rcond=None)[0]
+        assert abs(out[h - 1].value - X[-1] @ beta) < 1e-6
+
+
+def test_register_round_trip(spark, tmp_path):
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+    series = _sine(spark, 100)
+    frame, cols = M.feature_frame(series, ["sensor_id", "pollutant"], "ts", "value", 2)
+    asm = VectorAssembler(inputCols=cols, outputCol="features")
+    pm = PipelineModel(stages=[asm, LinearRegression(featuresCol="features", labelCol="label").fit(asm.transform(frame))])
+    reg = M.register(spark, pm, cols, str(tmp_path / "m"), {"sensor": 1, "pollutant": "pm2_5", "model": "Linear"})
+    row = reg.first()
+    assert row.features == cols and row.sensor == "1"
+    again = M.load(row.path)
+    assert again.transform(frame).count() == frame.count()
