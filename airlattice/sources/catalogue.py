@@ -37,13 +37,12 @@ SCHEMAS = {"countries": COUNTRY, "cities": CITY, "sensors": SENSOR}
 
 def read_catalogue(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """Read a catalogue document (a JSON array or one object per line)."""
+    from airlattice.sources.store import path_exists
+
     schema = SCHEMAS[kind]
-    try:
-        return spark.read.schema(schema).option("multiLine", "true").json(path)
-    except Exception as exc:  # noqa: BLE001 - a missing file is the expected case
-        if "PATH_NOT_FOUND" in str(exc) or "does not exist" in str(exc):
-            return spark.createDataFrame([], schema)
-        raise
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("multiLine", "true").json(path)
 
 
 def city_points(cities: DataFrame) -> DataFrame:

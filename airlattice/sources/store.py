@@ -64,15 +64,21 @@ def insert(df: DataFrame, path: str, partition_by: list[str] | None = None,
     writer.parquet(path)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` exists, asked of the path's own Hadoop file system (local,
+    HDFS or object store alike)."""
+    jvm = spark.sparkContext._jvm
+    jpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.exists(jpath))
+
+
 def read_store(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
     """Read a store folder; None when it does not exist yet."""
-    try:
-        reader = spark.read.schema(schema) if schema is not None else spark.read
-        return reader.parquet(path)
-    except Exception as exc:  # noqa: BLE001 - missing path is the only expected case
-        if "PATH_NOT_FOUND" in str(exc) or "does not exist" in str(exc):
-            return None
-        raise
+    if not path_exists(spark, path):
+        return None
+    reader = spark.read.schema(schema) if schema is not None else spark.read
+    return reader.parquet(path)
 
 
 def append_new(spark: SparkSession, new: DataFrame, path: str, keys: list[str],
