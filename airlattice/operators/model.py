@@ -61,7 +61,7 @@ def grid(name: str, est) -> list:
     elif name == "RandomForest":
         g = g.addGrid(est.numTrees, [10, 20, 50]).addGrid(est.maxDepth, [3, 5, 8])
     else:
-        g = g.addGrid(est.maxIter, [10, 20, 40]).addGrid(est.maxDepth, [3, 5]).addGrid(est.stepSize, [0.05, 0.1])
+        g = g.addGrid(est.maxIter, [10, 20]).addGrid(est.maxDepth, [3, 4]).addGrid(est.stepSize, [0.1, 0.2])
     return g.build()
 
 
