@@ -194,3 +194,14 @@ def process(raw: DataFrame, processed: DataFrame | None, keys: list[str], time_c
     if processed is not None:
         df = new_rows(df, processed, keys + [time_col])
     return df
+
+
+def outcomes(raw: DataFrame, appended: DataFrame, keys: list[str], job: str) -> DataFrame:
+    """M1 outcome per unit: 'done' when rows were appended, 'skipped' when the unit had
+    raw rows but nothing new. (Failures are per-job in a Spark plan: an exception fails
+    the job, not one unit.) Output: job, keys, outcome - ready for ``evaluate.tally``."""
+    units = raw.select(*keys).distinct()
+    wrote = appended.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    j = units.join(wrote, on=keys, how="left")
+    return j.select(F.lit(job).alias("job"), *keys,
+                    F.when(F.col("_n") > 0, "done").otherwise("skipped").alias("outcome"))

@@ -74,3 +74,12 @@ def test_merge_snapshots_second_wins(spark):
     b = spark.createDataFrame([(2, 20.0), (3, 30.0)], "time long, v double")
     out = clean.merge_snapshots(a, b, ["time"]).orderBy("time").collect()
     assert [(r.time, r.v) for r in out] == [(1, 1.0), (2, 20.0), (3, 30.0)]
+
+
+def test_process_outcomes(spark):
+    raw = spark.createDataFrame([(1, 100, 5.0), (1, 200, 6.0), (2, 100, 7.0)], "sensorId long, time long, pm2_5 double")
+    processed = spark.createDataFrame([(2, 100, 7.0, 29)], "sensorId long, time long, pm2_5 double, aqi int")
+    new = clean.process(raw, processed, ["sensorId"], "time", "pollution")
+    assert sorted((r.sensorId, r.time) for r in new.collect()) == [(1, 100), (1, 200)]
+    out = {r.sensorId: r.outcome for r in clean.outcomes(raw, new, ["sensorId"], "process").collect()}
+    assert out == {1: "done", 2: "skipped"}
