@@ -54,10 +54,20 @@ def best(errors: DataFrame, keys: list[str], model: str = "model", order: str |
 
 
 def best_rows(errors: DataFrame, other: DataFrame, keys: list[str], model: str = "model", **kw) -> DataFrame:
-    """Rows of ``other`` (errors or holdout series) that belong to the best model."""
+    """Rows of ``other`` (e.g. holdout series) that belong to each key's best model."""
     return other.join(best(errors, keys, model, **kw), on=keys + [model], how="inner")
 
 
+def best_error_rows(errors: DataFrame, keys: list[str], model: str = "model", order: str | None = None,
+                    metric: str = "mae") -> DataFrame:
+    """Each key's best-model error row, chosen in one pass (window over the key's
+    few model rows) instead of joining the errors with their own minimum."""
+    tie = F.col(order) if order else F.col(model)
+    w = Window.partitionBy(*keys).orderBy(F.col(metric).asc(), tie)
+    ranked = errors.filter(F.col(metric).isNotNull()).withColumn("_r", F.row_number().over(w))
+    return ranked.filter("_r = 1").drop("_r")
+
+
 def leaderboard(errors: DataFrame, keys: list[str], model: str = "model") -> DataFrame:
     """Per key and metric, models ranked by value (largest first), the axis limit
     (max + 10 - max % 10) and a one-decimal label; null metrics are left out."""

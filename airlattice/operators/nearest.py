@@ -5,7 +5,8 @@ point looks up its own cell, and only those candidate pairs are measured. Cells
 ``radius`` high (in degrees of latitude) and, per latitude band, wide enough in
 longitude to cover the radius at the band's highest latitude, so any pair within the
 radius shares a cell. The nearest candidate per point is a grouped ``min`` over
-(distance, place order) -- partial aggregation, no sort of all candidates.
+(distance, place order) over a left join, so points without a candidate still get
+their (null) row; partial aggregation, no sort of all candidates.
 """
 
 from __future__ import annotations
@@ -52,12 +53,13 @@ def nearest(points: DataFrame, places: DataFrame, point_key: str, place_key: str
               .withColumn("_cj", F.floor(F.col("_qlon") / _lon_width(F.col("_ci"), h)) + F.col("_dj"))
               .drop("_di", "_dj"))
 
-    cand = pts.join(plc, on=["_ci", "_cj"], how="inner")
-    cand = cand.withColumn("_d", haversine("_plat", "_plon", "_qlat", "_qlon")) \
-               .filter(F.col("_d") <= radius_km)
-    best = cand.groupBy(point_key).agg(F.min(F.struct(
-        F.round("_d", 9).alias("d9"), F.col(place_key).alias("k"), F.col("_d").alias("d"),
-        *[F.col(c).alias(c) for c in keep])).alias("_b"))
-    out = points.select(point_key).join(best, on=point_key, how="left")
-    return out.select(point_key, F.col("_b.k").alias(place_key), F.col("_b.d").alias("dist_km"),
-                      *[F.col(f"_b.{c}").alias(c) for c in keep])
+    # left join: a point with no place in its cells still yields one (null) row, so the
+    # per-point minimum below already covers every point - no join back to the points
+    cand = pts.join(plc, on=["_ci", "_cj"], how="left")
+    d = haversine("_plat", "_plon", "_qlat", "_qlon")
+    within = F.col(place_key).isNotNull() & (d <= radius_km)
+    best = cand.groupBy(point_key).agg(F.min(F.when(within, F.struct(
+        F.round(d, 9).alias("d9"), F.col(place_key).alias("k"), d.alias("d"),
+        *[F.col(c).alias(c) for c in keep]))).alias("_b"))
+    return best.select(point_key, F.col("_b.k").alias(place_key), F.col("_b.d").alias("dist_km"),
+                       *[F.col(f"_b.{c}").alias(c) for c in keep])

@@ -113,7 +113,7 @@ SELECT e.sensor_id, e.pollutant, e.model, e.mae, CASE WHEN isnan(e.mape) THEN NU
 FROM e JOIN b ON e.sensor_id = b.sensor_id AND e.pollutant = b.pollutant AND e.model = b.model
 """)
 def evaluation_report(spark, sf_dir):
-    rep = E.best_rows(rounded_errors(spark, sf_dir), rounded_errors(spark, sf_dir), K)
+    rep = E.best_error_rows(rounded_errors(spark, sf_dir), K)
     return rep.withColumn("mape", E.nan_to_null("mape")).select(*K, "model", "mae", "mape", "mse", "rmse")
 
 
