@@ -133,3 +133,24 @@ def write_holdout(predictions: DataFrame, path: str, partition_by: list[str] | N
     """Store holdout predictions (time, actual, predicted per series and model)."""
     (predictions.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
                 .partitionBy(*(partition_by or [])).parquet(path))
+
+
+def best_series_rows(holdout: DataFrame, keys: list[str], model: str = "model", actual: str = "actual",
+                     predicted: str = "predicted", digits: int | None = None) -> DataFrame:
+    """J10 in one pass over the holdout rows: each series' rows of the model with the
+    smallest MAE over valid pairs (ties: smaller model name).
+
+    The rows are hash-partitioned by the series keys once; both windows (per series and
+    model, then per series) reuse that partitioning, and a series holds only its
+    models' holdout rows.
+    """
+    ok = finite(actual) & finite(predicted)
+    err = F.abs(F.col(actual) - F.col(predicted))
+    mae = F.avg(F.when(ok, err)).over(Window.partitionBy(*keys, model))
+    if digits is not None:
+        mae = F.round(mae, digits)
+    rows = holdout.repartition(*keys).withColumn("_mae", mae)
+    best_model = F.min(F.when(F.col("_mae").isNotNull(), F.struct(F.col("_mae"), F.col(model)))) \
+        .over(Window.partitionBy(*keys))
+    return rows.withColumn("_best", best_model).filter(F.col(model) == F.col(f"_best.{model}")) \
+               .drop("_mae", "_best")

@@ -88,7 +88,7 @@ SELECT h.sensor_id, h.pollutant, h.model, h.ts, h.actual, h.predicted FROM h
 JOIN b ON h.sensor_id = b.sensor_id AND h.pollutant = b.pollutant AND h.model = b.model
 """)
 def best_model_series(spark, sf_dir):
-    return E.best_rows(rounded_errors(spark, sf_dir), holdout(spark, sf_dir), K)
+    return E.best_series_rows(holdout(spark, sf_dir), K, digits=6)
 
 
 @query("error_leaderboard", f"""
