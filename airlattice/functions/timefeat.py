@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from airlattice.constants import DAYS_IN_MONTH, QUARTERS_IN_YEAR, SEASON_CODES, SEASONS, SESSION_LABELS
@@ -116,17 +116,21 @@ def time_features(df: DataFrame, ts: str, digits: int | None = 9) -> DataFrame:
 
 
 def codes(df: DataFrame, cols: list[str]) -> DataFrame:
-    """H9: text columns -> 0-based codes in sorted order of their distinct values.
+    """H9: text columns -> 0-based codes in sorted order of their distinct values; null
+    -> -1 (pandas category codes).
 
-    The ranking runs over the distinct values only (bounded by the column's
-    cardinality), and the code table is joined back; AQE broadcasts it when small.
+    ``StringIndexer(stringOrderType='alphabetAsc')``: the fit gathers the distinct
+    labels (bounded by the columns' cardinality), the transform is a map-side lookup
+    with no shuffle.
     """
-    out = df
-    for c in cols:
-        vals = df.select(c).where(F.col(c).isNotNull()).distinct()
-        ranked = vals.withColumn(f"_{c}_code", (F.row_number().over(Window.orderBy(c)) - 1).cast("int"))
-        out = out.join(ranked, on=c, how="left").withColumn(c, F.col(f"_{c}_code")).drop(f"_{c}_code")
-    return out
+    from pyspark.ml.feature import StringIndexer
+
+    outs = [f"_{c}_code" for c in cols]
+    model = StringIndexer(inputCols=cols, outputCols=outs, stringOrderType="alphabetAsc",
+                          handleInvalid="keep").fit(df)
+    out = model.transform(df)
+    return out.withColumns({c: F.when(F.col(c).isNull(), F.lit(-1)).otherwise(F.col(o).cast("int"))
+                            for c, o in zip(cols, outs)}).drop(*outs)
 
 
 def local_time(df: DataFrame, ts: str, zone_col: str) -> Column:
