@@ -6,7 +6,9 @@ point looks up its own cell, and only those candidate pairs are measured. Cells
 longitude to cover the radius at the band's highest latitude, so any pair within the
 radius shares a cell. The nearest candidate per point is a grouped ``min`` over
 (distance, place order) over a left join, so points without a candidate still get
-their (null) row; partial aggregation, no sort of all candidates.
+their (null) row; partial aggregation, no sort of all candidates. Identical
+coordinates are collapsed on both sides first (see ``nearest``), so piles of copies do
+not multiply the pairs in a cell.
 """
 
 from __future__ import annotations
@@ -40,26 +42,39 @@ def nearest(points: DataFrame, places: DataFrame, point_key: str, place_key: str
     on equal distance), or nulls. Returns point_key, place_key, dist_km, *keep."""
     keep = keep or []
     h = _cell_h(radius_km)
-    pband = F.floor(F.col(lat) / h)
-    pts = points.select(F.col(point_key), F.col(lat).alias("_plat"), F.col(lon).alias("_plon"),
-                        pband.alias("_ci"))
+    # Copies first: of places sharing a coordinate only the lowest key can win (ties go
+    # to the lower key), and points sharing a coordinate share the answer. Both sides
+    # are reduced with partial aggregation before any pairing, so a pile of identical
+    # coordinates never multiplies the candidate pairs.
+    places = (places.groupBy(F.col(lat).alias("_qlat"), F.col(lon).alias("_qlon"))
+                    .agg(F.min(F.struct(F.col(place_key).alias("k"), *[F.col(c).alias(c) for c in keep]))
+                         .alias("_p"))
+                    .select(F.col("_p.k").alias(place_key), "_qlat", "_qlon",
+                            *[F.col(f"_p.{c}").alias(c) for c in keep]))
+    coords = points.select(F.col(lat).alias("_plat"), F.col(lon).alias("_plon")).distinct()
+    pband = F.floor(F.col("_plat") / h)
+    pts = coords.withColumn("_ci", pband)
     pts = pts.withColumn("_cj", F.floor(F.col("_plon") / _lon_width(F.col("_ci"), h)))
 
     d = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    plc = places.select(F.col(place_key), F.col(lat).alias("_qlat"), F.col(lon).alias("_qlon"), *keep)
+    plc = places
     plc = (plc.withColumn("_di", F.explode(d))
               .withColumn("_ci", F.floor(F.col("_qlat") / h) + F.col("_di"))
               .withColumn("_dj", F.explode(d))
               .withColumn("_cj", F.floor(F.col("_qlon") / _lon_width(F.col("_ci"), h)) + F.col("_dj"))
               .drop("_di", "_dj"))
 
-    # left join: a point with no place in its cells still yields one (null) row, so the
-    # per-point minimum below already covers every point - no join back to the points
+    # left join: a coordinate with no place in its cells still yields one (null) row, so
+    # the per-coordinate minimum below covers every coordinate
     cand = pts.join(plc, on=["_ci", "_cj"], how="left")
-    d = haversine("_plat", "_plon", "_qlat", "_qlon")
-    within = F.col(place_key).isNotNull() & (d <= radius_km)
-    best = cand.groupBy(point_key).agg(F.min(F.when(within, F.struct(
-        F.round(d, 9).alias("d9"), F.col(place_key).alias("k"), d.alias("d"),
+    dist = haversine("_plat", "_plon", "_qlat", "_qlon")
+    within = F.col(place_key).isNotNull() & (dist <= radius_km)
+    best = cand.groupBy("_plat", "_plon").agg(F.min(F.when(within, F.struct(
+        F.round(dist, 9).alias("d9"), F.col(place_key).alias("k"), dist.alias("d"),
         *[F.col(c).alias(c) for c in keep]))).alias("_b"))
-    return best.select(point_key, F.col("_b.k").alias(place_key), F.col("_b.d").alias("dist_km"),
-                       *[F.col(f"_b.{c}").alias(c) for c in keep])
+    pts_all = points.select(point_key, F.col(lat).alias("_plat"), F.col(lon).alias("_plon"))
+    # null-safe: a point without coordinates gets no place
+    out = pts_all.join(best, on=[pts_all["_plat"].eqNullSafe(best["_plat"]),
+                                 pts_all["_plon"].eqNullSafe(best["_plon"])], how="left")
+    return out.select(point_key, F.col("_b.k").alias(place_key), F.col("_b.d").alias("dist_km"),
+                      *[F.col(f"_b.{c}").alias(c) for c in keep])

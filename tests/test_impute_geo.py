@@ -119,3 +119,14 @@ def test_weighted_hamming_matches_definition(spark):
             col = [r[k] for r in rows]
             per.append(col.count(rows[i][k]) / 4 if rows[i][k] == rows[j][k] else 1.0)
         assert got[(i, j)] == pytest.approx(2 / sum(1 / v for v in per))
+
+
+def test_nearest_with_copies(spark):
+    places = spark.createDataFrame([(5, 60.0, 10.0), (3, 60.0, 10.0), (7, 60.001, 10.0)] +
+                                   [(100 + i, 60.0, 10.0) for i in range(200)],
+                                   "place_id long, lat double, lon double")
+    points = spark.createDataFrame([(i, 60.0001, 10.0) for i in range(300)] + [(999, 10.0, 10.0),
+                                    (1000, None, None)], "point_id long, lat double, lon double")
+    got = {r.point_id: r.place_id for r in nearest(points, places, "point_id", "place_id").collect()}
+    assert all(got[i] == 3 for i in range(300))
+    assert got[999] is None and got[1000] is None and len(got) == 302
