@@ -144,7 +144,10 @@ def knn(df: DataFrame, id_col: str, target: str, attrs: list[str], k: int, how:
 
 
 def relative_frequency(df: DataFrame, col: str, alias: str | None = None) -> DataFrame:
-    """Share of rows holding each value of ``col``: value, frequency."""
-    n = df.count()
-    return (df.groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
-              .select(col, (F.col("_n") / F.lit(float(n))).alias(alias or f"{col}_freq")))
+    """Share of rows holding each value of ``col``: value, frequency.
+
+    One scan: per-value counts (partial aggregation), then the total over the value
+    counts only (their number is the column's cardinality)."""
+    counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
+    total = F.sum("_n").over(Window.partitionBy())
+    return counts.select(col, (F.col("_n") / total.cast("double")).alias(alias or f"{col}_freq"))
