@@ -7,7 +7,6 @@ row in key order (a window), and the KNN queries use the grid search in
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from airlattice.functions import distance as D
