@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airlattice.session import ensure_checkpoint_dir
+from airlattice.session import ensure_checkpoint_dir, ship_package
 
 # A word is a run of anything but space, tab, newline, vertical tab, form feed and return.
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
@@ -32,6 +32,8 @@ def fold(key: Column, modulus: int) -> Column:
 
 
 def small_batches(spark: SparkSession) -> None:
+    """Before Python tasks over texts: ship the package, keep Arrow batches small."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 

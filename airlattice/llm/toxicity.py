@@ -19,14 +19,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from airlattice.llm.common import Scratch, small_batches
+from airlattice.llm.graph import Forest
 from airlattice.llm.labelled import sample
 from airlattice.llm.lexical import PREFIXES, Lookup, blocks, hashed_words, newton_logistic
+from airlattice.llm.shingles import shingle_minima
 
-PER_CLASS = 3000          # sampled labelled texts per class
+PER_CLASS = 6000          # sampled labelled texts per class
 LEXICON = 400             # entries per kind at most
 KINDS = 1 + len(PREFIXES)
 VOTERS = 2 * KINDS + 4    # per kind: strict and wide; repeated, dense, shouting, distinct hits
@@ -48,15 +50,41 @@ def hits(texts, lookups: list[Lookup]) -> tuple[list[list[tuple[int, int, int]]]
     return [[(k, e, t) for (k, e), t in f.items()] for f in found], n_words
 
 
+def independent(some: DataFrame) -> DataFrame:
+    """The sampled texts with copies and near copies of one another removed: (doc_id, label, fake, text).
+
+    Words of one text that was copied are no evidence of a lexicon. Two texts are taken as copies
+    when they share both minima of one of four pairs of shingle hashes; ``fake`` deals the labels out
+    anew at random, as a measure of what chance alone gives. The sample is bounded, and
+    only its ids and hashes come to the driver.
+    """
+    def sketch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            low = [shingle_minima(t, 8) for t in pdf["text"]]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "low": low})
+    rows = (some.mapInPandas(sketch, "doc_id long, label int, low array<long>").toPandas()
+            .sort_values("doc_id", ignore_index=True))
+    forest, first = Forest(len(rows)), {}
+    for i, low in enumerate(rows["low"]):
+        for band in range(len(low) // 2):
+            forest.union(first.setdefault((band, low[2 * band], low[2 * band + 1]), i), i)
+    kept = rows[[forest.find(i) == i for i in range(len(rows))]].copy()
+    kept["fake"] = np.random.default_rng(23).permutation(kept["label"].to_numpy())
+    ids = some.sparkSession.createDataFrame(kept[["doc_id", "fake"]].astype({"doc_id": "int64", "fake": "int32"}),
+                                            "doc_id long, fake int")
+    return some.join(F.broadcast(ids), "doc_id")
+
+
 def learn_lexicons(some: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
     """Per kind: hashes of the entries and their log-odds, from the labelled sample.
 
-    Document counts by class of every feature, combined before the shuffle; the best
-    ``LEXICON`` entries of a kind come to the driver.
+    Document counts by class of every feature, combined before the shuffle. An entry must tell
+    the classes apart better (likelihood ratio) than any feature does under the
+    labels dealt at random; the best ``LEXICON`` entries of a kind come to the driver.
     """
     def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            label = pdf["label"].to_numpy()
+            label, fake = pdf["label"].to_numpy(np.int64), pdf["fake"].to_numpy(np.int64)
             parts: dict[int, list[pd.DataFrame]] = {k: [] for k in range(KINDS)}
             for block in blocks(pdf["text"].tolist()):
                 doc, runs, hashes = hashed_words(block)
@@ -65,22 +93,34 @@ def learn_lexicons(some: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
             for kind, frames_of in parts.items():
                 if frames_of:
                     each = pd.concat(frames_of).drop_duplicates()
-                    each["toxic"] = label[each["doc"]].astype(np.int64)
-                    out = each.groupby("h", as_index=False)["toxic"].agg(["sum", "count"])
-                    yield pd.DataFrame({"kind": np.int32(kind), "h": out["h"], "toxic": out["sum"], "n": out["count"]})
+                    each["toxic"], each["fake"], each["n"] = label[each["doc"]], fake[each["doc"]], 1
+                    out = each.groupby("h", as_index=False)[["toxic", "fake", "n"]].sum()
+                    out.insert(0, "kind", np.int32(kind))
+                    yield out
     size = {r["label"]: r["n"] for r in some.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     pos, neg = size.get(1, 0), size.get(0, 0)
     if not pos or not neg:
         return []
-    counted = (some.mapInPandas(partial, "kind int, h long, toxic long, n long").groupBy("kind", "h")
-               .agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n")))
-    odds = (F.log((F.col("toxic") + 0.2) / (pos + 0.4)) - F.log((F.col("n") - F.col("toxic") + 0.2) / (neg + 0.4)))
-    gain = F.col("toxic") * F.col("odds")
-    best = (counted.where(F.col("toxic") >= 3).withColumn("odds", odds).where("odds > 1.6")
-            .withColumn("gain", gain))
+    counted = (independent(some).mapInPandas(partial, "kind int, h long, toxic long, fake long, n long")
+               .groupBy("kind", "h").agg(*[F.sum(c).alias(c) for c in ("toxic", "fake", "n")]))
+    base = pos / (pos + neg)
+
+    def ratio(t):
+        rest = F.col("n") - t
+        part = lambda k, p: F.when(k > 0, k * F.log(k / (F.col("n") * p))).otherwise(0.0)
+        return F.when(t > F.col("n") * base, 2 * (part(t, base) + part(rest, 1 - base))).otherwise(0.0)
+    # Odds as if one more clean text held it: rare entries must earn their place.
+    odds = F.log((F.col("toxic") + 0.2) / (pos + 0.4)) - F.log((F.col("n") - F.col("toxic") + 1.0) / (neg + 1.0))
+    scored = counted.select("kind", "h", "toxic", odds.alias("odds"), ratio(F.col("toxic")).alias("gain"),
+                            ratio(F.col("fake")).alias("chance"))
+    per_kind = scored.groupBy("kind").agg(F.max("chance").alias("chance_most"))
+    best = (scored.join(F.broadcast(per_kind), "kind")
+            .where("toxic >= 3 and odds > 3 and gain > chance_most")
+            .withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("gain"), "h")))
+            .where(F.col("place") <= LEXICON).collect())
     out = []
     for kind in range(KINDS):
-        rows = best.where(F.col("kind") == kind).orderBy(F.desc("gain"), "h").limit(LEXICON).select("h", "odds").collect()
+        rows = [r for r in best if r["kind"] == kind]
         h = np.array([r["h"] for r in rows], np.int64).view(np.uint64)
         w = np.array([r["odds"] for r in rows], np.float64)
         order = np.argsort(h)
