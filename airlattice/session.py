@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -45,6 +46,25 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers once per Spark application.
+
+    Functions that run inside tasks import it there, wherever the driver was started.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_airlattice_shipped", False):
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="airlattice-py-"), "airlattice_package.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(home):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                full = os.path.join(folder, name)
+                out.write(full, os.path.join("airlattice", os.path.relpath(full, home)))
+    context.addPyFile(archive)
+    context._airlattice_shipped = True
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
