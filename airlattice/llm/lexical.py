@@ -12,10 +12,11 @@ ROOT = 0x9E3779B97F4A7C15     # odd, so it has an inverse modulo 2^64
 PREFIXES = (3, 4, 5, 6)       # bytes
 
 
-def blocks(texts: Iterable[str | None], size: int = BLOCK) -> Iterator[list[tuple[int, bytes]]]:
+def blocks(texts: Iterable[str | None], size: int = BLOCK, overlap: int = 0) -> Iterator[list[tuple[int, bytes]]]:
     """(text number, lower-cased UTF-8 bytes) pieces, at most about ``size`` bytes at a time.
 
-    Long texts are cut at a space (a word longer than a block anywhere), never shortened.
+    Long texts are cut at a space (a word longer than a block anywhere), never shortened; a piece
+    repeats the last ``overlap`` words before it.
     """
     held: list[tuple[int, bytes]] = []
     n = 0
@@ -26,7 +27,12 @@ def blocks(texts: Iterable[str | None], size: int = BLOCK) -> Iterator[list[tupl
             if cut > size:
                 cut = rest.rfind(b" ", 1, size)
                 cut = cut if cut > 0 else size
-            part, rest = rest[:cut], rest[cut:]
+            back = cut
+            if cut < len(rest) and overlap:
+                for _ in range(overlap):
+                    back = max(rest.rfind(b" ", 0, back), 0)
+                back = back if back > cut // 2 else cut      # so that every piece gets on
+            part, rest = rest[:cut], rest[back:]
             if held and n + len(part) > size:
                 yield held
                 held, n = [], 0
@@ -49,7 +55,8 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return letter, np.cumprod(power), np.cumprod(inverse)
 
 
-def hashed_words(block: list[tuple[int, bytes]]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+def hashed_words(block: list[tuple[int, bytes]], prefixes: tuple[int, ...] = PREFIXES,
+                 shortest: int = 2) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
     """Of every letter run in a block: its text number, and per feature kind (whole word,
     then each prefix length) the run numbers that have one and their 64-bit hashes."""
     letter, power, inverse = _tables()
@@ -66,8 +73,8 @@ def hashed_words(block: list[tuple[int, bytes]]) -> tuple[np.ndarray, list[np.nd
     sums[0] = 0
     np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * power[:len(buf)], out=sums[1:])
     runs, hashes = [], []
-    for kind, k in enumerate((0, *PREFIXES)):
-        own = np.flatnonzero(ends - starts >= max(k, 2))
+    for kind, k in enumerate((0, *prefixes)):
+        own = np.flatnonzero(ends - starts >= max(k, shortest))
         stop = ends[own] if not k else starts[own] + k
         h = (sums[stop] - sums[starts[own]]) * inverse[starts[own]]
         h ^= np.uint64((kind + 1) * 0x632BE59BD9B4E019 & (1 << 64) - 1)
