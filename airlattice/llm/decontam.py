@@ -151,8 +151,8 @@ class Index:
             h = hashes(text)
             if not len(h):
                 continue
-            question, answer = question_and_answer(text)
-            self.items.append((item_id, shingled(hashes(question)), shingled(hashes(answer))))
+            question, answer = map(hashes, question_and_answer(text))
+            self.items.append((item_id, question, answer))
             for part in np.array_split(h, -(-len(h) // PART)):
                 self.owner.append(len(self.items) - 1)
                 parts.append(part)
@@ -217,11 +217,13 @@ class Index:
         for (d, part), s in best.items():
             yield d, part, s
 
-    def verify(self, text: str, item: int) -> tuple[float, float]:
-        """Shares of the item's question and answer shingles that the text holds."""
+    def verify(self, words: np.ndarray, item: int) -> tuple[float, float]:
+        """Shares of the item's question and answer shingles that a text of these word hashes holds."""
+        def share(own: np.ndarray) -> float:
+            k = min(SHINGLE, len(own))
+            return float(np.isin(shingled(own, k), shingled(words, k)).mean()) if k and len(words) >= k else float(not k)
         _, question, answer = self.items[item]
-        held = shingled(hashes(text))
-        return tuple(float(np.isin(s, held).mean()) if len(s) else 1.0 for s in (question, answer))
+        return share(question), share(answer)
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, *, overlap: float = OVERLAP, threshold: float = THRESHOLD) -> DataFrame:
@@ -258,8 +260,9 @@ def _scan(docs: DataFrame, index: Index, overlap: float) -> DataFrame:
                 key = d, index.owner[part]
                 best[key] = max(best.get(key, 0.0), s)
             rows = []
+            held = {d: hashes(texts[d]) for d, _ in best}
             for (d, item), s in best.items():
-                question, answer = index.verify(texts[d], item)
+                question, answer = index.verify(held[d], item)
                 if question >= overlap and answer >= overlap:
                     rows.append((ids[d], index.items[item][0], s, question, answer))
             if rows:
