@@ -251,22 +251,41 @@ def slices(items: DataFrame) -> list[list[tuple[int, str]]]:
     return parts
 
 
+def leaks_in(index: Index, texts: list[str | None], overlap: float) -> list[tuple[int, int, float, float, float]]:
+    """(text number, item number, score, question and answer share) of every confirmed leak."""
+    best: dict[tuple[int, int], float] = {}
+    for d, part, s in index.hits(texts):
+        key = d, index.owner[part]
+        best[key] = max(best.get(key, 0.0), s)
+    held = {d: hashes(texts[d]) for d in {d for d, _ in best}}
+    found = ((d, item, s, *index.verify(held[d], item)) for (d, item), s in sorted(best.items()))
+    return [row for row in found if row[3] >= overlap and row[4] >= overlap]
+
+
 def _scan(docs: DataFrame, index: Index, overlap: float) -> DataFrame:
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            texts, ids = pdf["text"].tolist(), pdf["doc_id"].tolist()
-            best: dict[tuple[int, int], float] = {}
-            for d, part, s in index.hits(texts):
-                key = d, index.owner[part]
-                best[key] = max(best.get(key, 0.0), s)
-            rows = []
-            held = {d: hashes(texts[d]) for d, _ in best}
-            for (d, item), s in best.items():
-                question, answer = index.verify(held[d], item)
-                if question >= overlap and answer >= overlap:
-                    rows.append((ids[d], index.items[item][0], s, question, answer))
+            ids = pdf["doc_id"].tolist()
+            rows = [(None if pd.isna(ids[d]) else int(ids[d]), index.items[item][0], s, question, answer)
+                    for d, item, s, question, answer in leaks_in(index, pdf["text"].tolist(), overlap)]
             if rows:
                 out = pd.DataFrame(rows, columns=["doc_id", "item_id", "bm25", "question_overlap", "answer_overlap"])
                 yield out.astype({"doc_id": "Int64", "item_id": "Int64"})
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
         search, "doc_id long, item_id long, bm25 double, question_overlap double, answer_overlap double")
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, *, overlap: float = OVERLAP, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that leak no test item, with all their columns."""
+    small_batches(docs.sparkSession)
+
+    def keep(index: Index):
+        def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in frames:
+                clean = np.ones(len(pdf), bool)
+                clean[[row[0] for row in leaks_in(index, pdf["text"].tolist(), overlap)]] = False
+                yield pdf[clean]
+        return work
+    for part in slices(items):
+        docs = docs.mapInPandas(keep(Index(part, threshold)), docs.schema)
+    return docs

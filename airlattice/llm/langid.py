@@ -122,13 +122,13 @@ def fit(train: DataFrame, *, lang: str = "lang", per_language: int = PER_LANGUAG
     idf covers every training text; the centroids come from a seeded sample of at most about
     ``per_language`` texts of each language, clustered in one task per language.
     """
-    train = train.where(F.col(lang).isNotNull())
+    train = train.where(F.col(lang).isNotNull()).select("doc_id", "text", F.col(lang).alias("lang"))
     df, n = document_frequencies(train)
     idf = np.log((n + 1) / (df + 1)) + 1
-    sizes = train.groupBy(lang).agg((F.lit(float(per_language)) / F.count(F.lit(1))).alias("part"))
+    sizes = train.groupBy("lang").agg((F.lit(float(per_language)) / F.count(F.lit(1))).alias("part"))
     draw = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    some = (train.withColumn("draw", draw).join(F.broadcast(sizes), lang).where("draw < part")
-            .select(F.col(lang).alias("lang"), "text"))
+    some = (train.withColumn("draw", draw).join(F.broadcast(sizes), "lang").where("draw < part")
+            .select("lang", "text"))
 
     def centres(key, pdf: pd.DataFrame) -> pd.DataFrame:
         x = [vector(tf, idf) for tf in map(counts, pdf["text"]) if tf is not None]

@@ -148,14 +148,18 @@ def redact(docs: DataFrame, found: DataFrame) -> DataFrame:
 
     The secrets of one document are gathered as its own text holds them, longest first.
     """
-    secret = (found.where("is_secret").groupBy("doc_id")
-              .agg(F.sort_array(F.collect_set(F.struct(F.length("value").alias("n"), "value")), asc=False).alias("secrets")))
+    sure = found.where("is_secret")
+    secret = sure.groupBy("doc_id").agg(F.sort_array(
+        F.collect_set(F.struct(F.length("value").alias("n"), "value")), asc=False).alias("_secrets"))
     # Sent to all tasks only while it is small; otherwise joined by document.
-    if found.where("is_secret").count() <= 50_000:
+    if sure.count() <= 50_000:
         secret = F.broadcast(secret)
-    masked = F.aggregate(F.col("secrets.value"), F.col("text"), lambda t, s: F.replace(t, s, F.lit(MASK)))
-    joined = docs.join(secret, "doc_id", "left")
-    new = F.when(F.col("secrets").isNull(), F.col("text")).otherwise(masked)
-    return joined.select(*[(new.alias("text") if c == "text" else
-                            F.when(F.col("secrets").isNull(), F.col(c)).otherwise(F.length(new)).cast(docs.schema[c].dataType).alias(c)
-                            if c == "n_chars" else F.col(c)) for c in docs.columns])
+    rows = docs.join(secret, "doc_id", "left")
+    held = F.col("_secrets").isNotNull()
+    new = F.when(held, F.aggregate(F.col("_secrets.value"), F.col("text"),
+                                   lambda t, s: F.replace(t, s, F.lit(MASK)))).otherwise(F.col("text"))
+    out = {c: F.col(c) for c in docs.columns}
+    out["text"] = new.alias("text")
+    if "n_chars" in out:
+        out["n_chars"] = F.when(held, F.length(new).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")).alias("n_chars")
+    return rows.select(*out.values())

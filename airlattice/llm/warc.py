@@ -50,7 +50,8 @@ def records(captures: DataFrame, min_bytes: int = 0) -> DataFrame:
     The smallest id per payload is found by a grouped minimum and joined back; a payload held by
     very many captures is combined before the shuffle and split by the skew join after it.
     """
-    body = captures.withColumn("payload", F.coalesce(F.col("payload").cast("binary"), F.lit(b""))) \
+    body = captures.select("id", "url", F.coalesce("captured", F.timestamp_seconds(F.lit(0))).alias("captured"),
+                           F.coalesce(F.col("payload").cast("binary"), F.lit(b"")).alias("payload")) \
         .withColumn("bytes", F.length("payload").cast("long")).withColumn("digest", base32_sha1(F.col("payload")))
     first = body.where(F.col("bytes") >= min_bytes).groupBy("digest", "bytes").agg(F.min("id").alias("first"))
     revisit = (F.col("bytes") >= min_bytes) & F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))

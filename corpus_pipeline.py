@@ -1,12 +1,51 @@
-"""Corpus pipeline: each stage reads what the one before it kept, written as Parquet between them."""
+"""Corpus pipeline: each stage reads what the one before it kept, written as Parquet between them.
+
+quality -> near duplicates -> decontamination -> secrets -> mixing. All stages but the last return the
+columns of documents. Null and empty texts: rated like any text, never duplicates, never
+leaks; documents without an id pass the stages that go by id. An empty table stays empty.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airlattice.llm.common import Scratch
+from airlattice.llm.common import Scratch, fold
+from airlattice.llm.decontam import without_leaks
 from airlattice.llm.mixing import mix
+from airlattice.llm.neardup import near_duplicates
+from airlattice.llm.quality import keep_good, learn
+from airlattice.llm.secrets import redact, scan
+
+DROPPED_ROWS = 1_000_000   # ids of 8 bytes that may be sent to every task
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rates good; it learns from four of five folds of the labels."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return keep_good(docs, learn(docs, labels.where(fold(F.col("doc_id"), 5) != 0)))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group (5-word shingles, similarity 0.8): the smallest id."""
+    found = near_duplicates(docs, Scratch(spark), words=5, percent=80)
+    again = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("doc_id IS NOT NULL AND n > 1")
+    if not again.isEmpty():     # rows that repeat an id are one document
+        docs = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
+    dropped = found.where("NOT kept").select("doc_id")
+    if dropped.count() <= DROPPED_ROWS:
+        dropped = F.broadcast(dropped)
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with confirmed secrets masked."""
+    return redact(docs, scan(docs, Scratch(spark)))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,7 +53,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mix(docs, Scratch(spark)).where(F.col("taken") > 0)
 
 
-STAGES = [("mixing", mixing)]
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontamination", decontamination),
+          ("secrets", secrets), ("mixing", mixing)]
 
 # The stages fit models and match fuzzily, which SQL does not state.
 ORACLE_SQL = None
