@@ -1,0 +1,65 @@
+from pyspark.sql import functions as F
+
+from airlattice.llm.common import Scratch
+from airlattice.llm.secrets import MASK, candidates, redact, scan
+from tests.llm.util import awkward, docs
+
+KEYS = [f"{i:040x}"[::-1].replace("0", "a7", 3)[:40] for i in range(1_000_003, 1_000_003 + 977 * 40, 977)]
+
+
+def secret_rows():
+    rows = []
+    for i, key in enumerate(KEYS):
+        rows.append((100 + i, f'some words here token = "{key}" and more words', "en", "app/settings.py", 0))
+        rows.append((200 + i, f"call 4785380592{i:06d} or 152.143.{i}.131 or mail someone.{i}23@mail7.example.com now", "en", "a", 0))
+    rows.append((400, f'words words {KEYS[0]} and {KEYS[0]}!! api_key: "{KEYS[1]}"', "en", "a", 0))
+    return rows + awkward()
+
+
+def test_offsets_and_neighbours(spark):
+    rows = secret_rows()
+    text = {r[0]: r[1] for r in rows if r[0] is not None}
+    found = candidates(docs(spark, rows, clash=False).withColumn("path", F.col("source")), "doc_id").collect()
+    assert len(found) > 120
+    for r in found:
+        if r["doc_id"] is not None:
+            t, s = text[r["doc_id"]], r["start"]
+            assert t[s:s + len(r["value"])] == r["value"]
+            assert t[:s].endswith(r["left"]) and t[s + len(r["value"]):].startswith(r["right"])
+
+
+def test_forest_tells_secrets_from_other_numbers(spark):
+    rows = secret_rows()
+    got = scan(docs(spark, rows), Scratch(spark)).collect()
+    secret = {(r["doc_id"], r["value"]) for r in got if r["is_secret"]}
+    assert {(100 + i, k) for i, k in enumerate(KEYS)} <= secret
+    assert not any(200 <= (d or 0) < 300 for d, _ in secret)
+
+
+def test_labelled_findings_train_the_forest(spark):
+    rows = secret_rows()
+    d = docs(spark, rows)
+    marks = [(100 + i, rows[2 * i][1].index(k), int(i < 20)) for i, k in enumerate(KEYS)]
+    got = scan(d, Scratch(spark), findings=spark.createDataFrame(marks, "doc_id long, start long, label int")).collect()
+    assert len(got) > 0 and all(0 <= r["probability"] <= 1 for r in got)
+    only = scan(d, Scratch(spark), findings=spark.createDataFrame([], "doc_id long, start long, label int")).collect()
+    assert {r["probability"] for r in only} == {0.5}
+
+
+def test_redaction(spark):
+    rows = secret_rows()
+    d = docs(spark, rows)
+    found = scan(d, Scratch(spark))
+    out = redact(d, found)
+    assert out.columns == d.columns and out.count() == d.count()
+    text = {r["doc_id"]: r for r in out.collect() if r["doc_id"] is not None}
+    for i, k in enumerate(KEYS):
+        assert k not in text[100 + i]["text"] and MASK in text[100 + i]["text"]
+        assert text[100 + i]["n_chars"] == len(text[100 + i]["text"])
+        assert text[200 + i]["text"] == rows[2 * i + 1][1]
+    assert text[4]["text"] is None and text[5]["text"] == ""
+
+
+def test_empty(spark):
+    assert scan(docs(spark, []), Scratch(spark)).count() == 0
+    assert scan(docs(spark, [(1, "nothing here", None, None, 0)]), Scratch(spark)).count() == 0
