@@ -26,7 +26,7 @@ def numeric(a: list[str], b: list[str], metric: str = "euclidean") -> Column:
         return F.sqrt(_sum([(F.col(x) - F.col(y)) * (F.col(x) - F.col(y)) for x, y in zip(a, b)]))
     if metric == "cityblock":
         return _sum([F.abs(F.col(x) - F.col(y)) for x, y in zip(a, b)])
-    raise ValueError(f"The continuous distance {metric} is not supported.")
+    raise ValueError(f"unknown numeric distance {metric!r}; one of {', '.join(NUMERIC)}")
 
 
 def differing(a: list[str], b: list[str]) -> Column:
@@ -45,7 +45,7 @@ def categorical(a: list[str], b: list[str], metric: str = "jaccard") -> Column:
         return (F.lit(2.0) * d) / (F.lit(m) + d)
     if metric == "euclidean":
         return F.sqrt(F.lit(2.0) * d)
-    raise ValueError(f"The binary distance {metric} is not supported.")
+    raise ValueError(f"unknown categorical distance {metric!r}")
 
 
 def weighted_hamming(a: list[str], b: list[str], freq_a: list[str]) -> Column:

@@ -106,13 +106,19 @@ def common_columns(new: DataFrame, old: DataFrame) -> list[str]:
     return [c for c in new.columns if c in old.columns]
 
 
-def new_rows(new: DataFrame, old: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``new`` whose key is absent from ``old`` (null-safe), common columns.
+def unseen(new: DataFrame, old: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``new`` whose key is absent from ``old`` (null-safe), all their columns.
 
     Only the key columns of ``old`` are read, so the anti join ships keys alone.
     """
-    cond = reduce(lambda a, b: a & b, [new[k].eqNullSafe(old[k]) for k in keys])
-    return new.join(old.select(*keys), cond, "left_anti").select(*common_columns(new, old))
+    known = old.select(*[F.col(k).alias(f"_old_{k}") for k in keys])
+    cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_old_{k}")) for k in keys])
+    return new.join(known, cond, "left_anti")
+
+
+def new_rows(new: DataFrame, old: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``new`` whose key is absent from ``old`` (null-safe), common columns."""
+    return unseen(new, old, keys).select(*common_columns(new, old))
 
 
 def merge_snapshots(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
@@ -169,21 +175,25 @@ def with_aqi(df: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- M1
 def process(raw: DataFrame, processed: DataFrame | None, keys: list[str], time_col: str,
-            collection: str, order: str | None = None, scale: int | None = None) -> DataFrame:
+            collection: str, order: str, scale: int | None = None) -> DataFrame:
     """M1: the cleaning pipeline over every series at once; returns the rows to append.
 
-    raw/processed carry the series keys; steps: keep new rows, union stored, rename,
-    drop, trim (W3), coerce, mean-fill, mask constant pollutants, AQI (pollution only),
-    keep only rows not yet processed.
+    raw/processed carry the series keys; ``order`` is the ingest order of raw rows (a
+    column of ``raw``, not returned): of copies of one reading the last ingested stays.
+    Copies with equal order keep the one with the largest values, so the result does
+    not depend on how rows were read. Steps: keep new rows, union stored, rename, drop,
+    trim (W3), coerce, mean-fill, mask constant pollutants, AQI (pollution only), keep
+    only the new rows (marked once by the first step, no second look-up).
     """
-    df = raw
+    natural = keys + [time_col]
+    df = raw.withColumnRenamed(order, "_order").withColumn("_new", F.lit(True))
     if processed is not None:
-        df = union_sparse(processed, new_rows(raw, processed, keys + [time_col]))
+        df = unseen(df, processed, natural).select(*[c for c in df.columns if c in processed.columns], "_order", "_new")
+        df = union_sparse(processed.withColumn("_new", F.lit(False)), df)
     df = drop_unneeded(rename(df))
-    if order is None:
-        order = time_col
-    df = dedup_keep_last(df, keys + [time_col], order)
-    value_cols = [c for c in df.columns if c not in set(keys + [time_col] + NON_NUMERIC)]
+    values = [c for c in df.columns if c not in set(natural + ["_order", "_new"])]
+    df = dedup_keep_last(df, natural, ["_order", *values]).drop("_order")
+    value_cols = [c for c in df.columns if c not in set(natural + NON_NUMERIC + ["_new"])]
     df = coerce(df, value_cols)
     df = drop_null_rows(df, value_cols, "all")
     df = fill_mean(df, keys, value_cols, scale)
@@ -191,9 +201,7 @@ def process(raw: DataFrame, processed: DataFrame | None, keys: list[str], time_c
     df = mask_constant(df, keys, pols)
     if collection != "weather":
         df = with_aqi(df)
-    if processed is not None:
-        df = new_rows(df, processed, keys + [time_col])
-    return df
+    return df.filter("_new").drop("_new")
 
 
 def outcomes(raw: DataFrame, appended: DataFrame, keys: list[str], job: str) -> DataFrame:

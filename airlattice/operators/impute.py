@@ -34,15 +34,15 @@ def _check(n: int, k: int, how: str, numeric_target: bool, metric: str) -> bool:
     """A14 guards: False when there are too few rows (no imputation); bad arguments
     raise ValueError."""
     if how not in METHODS:
-        raise ValueError("The aggregation method is incorrect.")
+        raise ValueError(f"unknown fill {how!r}; one of {', '.join(METHODS)}")
     if not numeric_target and how != "mode":
-        raise ValueError("The only method allowed for categorical target variable is the mode.")
+        raise ValueError("a target that is not numeric can only be filled by its mode")
     if metric not in D.NUMERIC:
-        raise ValueError(f"The continuous distance {metric} is not supported.")
+        raise ValueError(f"unknown numeric distance {metric!r}; one of {', '.join(D.NUMERIC)}")
     if n < 3:
         return False
     if k > n or k < 1:
-        raise ValueError("The range of the number of neighbors is incorrect.")
+        raise ValueError(f"k must lie between 1 and the {n} rows, not {k}")
     return True
 
 
@@ -125,10 +125,9 @@ def knn(df: DataFrame, id_col: str, target: str, attrs: list[str], k: int, how:
             break
         w *= 2
 
-    agg = resolved.groupBy(id_col).agg(
-        F.count_if(F.col("_t").isNull()).alias("_missing"),
-        F.avg("_t").alias("_mean"),
-        F.median("_t").alias("_median"))
+    asked = {"mean": [F.avg("_t").alias("_mean")], "median": [F.median("_t").alias("_median")]}.get(how, []) \
+        if numeric_target else []
+    agg = resolved.groupBy(id_col).agg(F.count_if(F.col("_t").isNull()).alias("_missing"), *asked)
     if how == "mode":
         # most frequent neighbour value, smallest on ties (at most k rows per query)
         counts = resolved.filter(F.col("_t").isNotNull()).groupBy(id_col, "_t").agg(F.count(F.lit(1)).alias("_n"))
@@ -139,15 +138,17 @@ def knn(df: DataFrame, id_col: str, target: str, attrs: list[str], k: int, how:
     value = F.col(f"_{how}")
     fill = agg.select(id_col, F.when(F.col("_missing") < F.lit(threshold * k), value).alias("_fill"))
     res = df.join(fill, on=id_col, how="left")
-    res = res.withColumn(out, F.coalesce(F.col(target).cast("double"), F.col("_fill").cast("double")))
+    kind = "double" if numeric_target else df.schema[target].dataType
+    res = res.withColumn(out, F.coalesce(F.col(target).cast(kind), F.col("_fill").cast(kind)))
     return res.drop("_fill")
 
 
 def relative_frequency(df: DataFrame, col: str, alias: str | None = None) -> DataFrame:
     """Share of rows holding each value of ``col``: value, frequency.
 
-    One scan: per-value counts (partial aggregation), then the total over the value
-    counts only (their number is the column's cardinality)."""
-    counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
-    total = F.sum("_n").over(Window.partitionBy())
-    return counts.select(col, (F.col("_n") / total.cast("double")).alias(alias or f"{col}_freq"))
+    Per-value counts and the one-row total are partial aggregations; no value list is
+    gathered in one task, however many values the column has."""
+    counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("_n")).withColumn("_one", F.lit(1))
+    total = df.agg(F.count(F.lit(1)).alias("_total")).withColumn("_one", F.lit(1))  # one row
+    return counts.join(F.broadcast(total), "_one").select(
+        col, (F.col("_n") / F.col("_total").cast("double")).alias(alias or f"{col}_freq"))

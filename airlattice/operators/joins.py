@@ -1,8 +1,7 @@
 """Join helpers shared by the operators.
 
-Small sides are broadcast only when their size is bounded: either a fixed constant
-table (bands, names, zones) or a side whose row count is checked here against an
-explicit limit. Data-derived small sides (per-sensor statistics) are left to AQE, which
+Only tables built from constants (bands, names, zones) are broadcast by a hint.
+Data-derived small sides (per-sensor statistics, catalogues) are left to AQE, which
 measures the materialised shuffle output at run time and converts the join to a
 broadcast only under ``spark.sql.adaptive.autoBroadcastJoinThreshold``; above it the
 sort-merge join stays, and AQE's skew-join split handles a hot key.
@@ -13,9 +12,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Fixed-size tables (a few dozen rows at most) are always safe to broadcast.
-CONSTANT_TABLE_MAX_ROWS = 10_000
-
 
 def broadcast_constant(df: DataFrame) -> DataFrame:
     """Broadcast a table built from constants (size known when the plan is written)."""

@@ -191,7 +191,7 @@ def _linear_sql(linear, lags: int, cats: dict, step, hist: str = "hist") -> str:
 
 def recursive_forecast(spark, history: DataFrame, model, keys: list[str], ts: str, value: str,
                        lags: int, categories: dict[str, list[str]] | None = None,
-                       steps: int = FORECAST_STEPS, checkpoint_every: int = 5) -> DataFrame:
+                       steps: int = FORECAST_STEPS, checkpoint_every: int = 5, as_of=None) -> DataFrame:
     """Every series forecast together, one step at a time.
 
     Each series is one state row: its last ``lags`` values (``hist``) and the
@@ -203,8 +203,12 @@ def recursive_forecast(spark, history: DataFrame, model, keys: list[str], ts: st
     checkpoint folder and read back, so the plan never grows beyond that many steps. The
     result is the final state exploded: a negative or invalid prediction becomes null
     for that step (later steps still use the raw value), and the first step is dropped
-    as in the reference.
+    as in the reference. A series with fewer than ``lags`` values keeps its rows, with
+    null predictions. With ``as_of`` every series starts at that hour, also one whose
+    last value is older, and later values are not used; otherwise at its own last row.
     """
+    if as_of is not None:
+        history = history.filter(F.col(ts) <= F.lit(as_of).cast(history.schema[ts].dataType))
     w = Window.partitionBy(*keys).orderBy(F.col(ts).desc())
     tailrows = history.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= lags)
     state = (tailrows.groupBy(*keys)
@@ -212,8 +216,11 @@ def recursive_forecast(spark, history: DataFrame, model, keys: list[str], ts: st
                           F.array_sort(F.collect_list(F.struct(F.col(ts).alias("t"), F.col(value).alias("v"))))
                           .alias("_h"))
                      .withColumn("hist", F.transform("_h", lambda s: s["v"])).drop("_h")
-                     .filter(F.size("hist") == lags)
+                     # a series shorter than the lags stays, with null steps
+                     .withColumn("hist", F.expr(f"concat(array_repeat(CAST(NULL AS DOUBLE), {lags} - size(hist)), hist)"))
                      .withColumn("preds", F.array().cast("array<double>")))
+    if as_of is not None:
+        state = state.withColumn("_t0", F.date_trunc("hour", F.lit(as_of).cast("timestamp")))
     cats = categories or {}
     feat_cols = [f"lag_{k}" for k in range(1, lags + 1)] + ["hour_cos", "hour_sin", "dow_cos", "dow_sin"] + \
         [f"{c}_{v}" for c, vals in cats.items() for v in vals]
@@ -224,9 +231,11 @@ def recursive_forecast(spark, history: DataFrame, model, keys: list[str], ts: st
         # steps whose accumulator carries (hist, preds). One projection, one pass, no
         # loop of jobs and no lineage growth.
         p = _linear_sql(linear, lags, cats, "s", "acc.hist")
+        # the prediction is computed once per step: a one-element array carries it into the state
         fold = (f"aggregate(sequence(1, {steps}), named_struct('hist', hist, 'preds', CAST(array() AS array<double>)), "
-                f"(acc, s) -> named_struct('hist', slice(concat(acc.hist, array({p})), 2, {lags}), "
-                f"'preds', concat(acc.preds, array({p})))).preds AS preds")
+                f"(acc, s) -> element_at(transform(array({p}), p -> named_struct("
+                f"'hist', slice(concat(acc.hist, array(p)), 2, {lags}), 'preds', concat(acc.preds, array(p)))), 1)"
+                f").preds AS preds")
         state = state.selectExpr(*keys, "_t0", fold)
     else:
         for step in range(1, steps + 1):
@@ -238,9 +247,10 @@ def recursive_forecast(spark, history: DataFrame, model, keys: list[str], ts: st
             for c, vals in cats.items():
                 for v in vals:
                     feats = feats.withColumn(f"{c}_{v}", (F.col(c) == v).cast("double"))
+            step_value = "IF(forall(hist, x -> x IS NOT NULL), prediction, CAST(NULL AS DOUBLE))"
             state = model.transform(asm.transform(feats)).selectExpr(
-                *keys, "_t0", f"slice(concat(hist, array(prediction)), 2, {lags}) AS hist",
-                "concat(preds, array(prediction)) AS preds")
+                *keys, "_t0", f"slice(concat(hist, array({step_value})), 2, {lags}) AS hist",
+                f"concat(preds, array({step_value})) AS preds")
             if step % checkpoint_every == 0:
                 state = cut_lineage(state)
     out = state.select(*keys, "_t0", F.posexplode("preds").alias("_i", "_p"))

@@ -2,9 +2,10 @@
 
 No cross join: every place is copied into the 3x3 block of cells around it, every
 point looks up its own cell, and only those candidate pairs are measured. Cells are
-``radius`` high (in degrees of latitude) and, per latitude band, wide enough in
-longitude to cover the radius at the band's highest latitude, so any pair within the
-radius shares a cell. The nearest candidate per point is a grouped ``min`` over
+``radius`` high (in degrees of latitude); a latitude band is cut into a whole number of
+cells, each wide enough in longitude to cover the radius at the band's highest latitude,
+and the last cell of a band borders on its first (longitude 180). Bands that reach a
+pole are one cell. So any pair within the radius shares a cell. The nearest candidate per point is a grouped ``min`` over
 (distance, place order) over a left join, so points without a candidate still get
 their (null) row; partial aggregation, no sort of all candidates. Identical
 coordinates are collapsed on both sides first (see ``nearest``), so piles of copies do
@@ -28,11 +29,18 @@ def _cell_h(radius_km: float) -> float:
     return radius_km / KM_PER_DEG * 1.01
 
 
-def _lon_width(band: Column, h: float) -> Column:
-    """Longitude cell width for a latitude band (clamped near the poles)."""
+def _columns(band: Column, h: float) -> Column:
+    """Number of cells around a latitude band; one where the band or its neighbour
+    touches a pole."""
     edge = F.greatest(F.abs(band * h), F.abs((band + 1) * h)) + F.lit(h)
-    w = F.lit(h) / F.cos(F.radians(F.least(F.lit(89.9), edge)))
-    return F.least(w * 1.01, F.lit(360.0))
+    w = F.lit(h * 1.01) / F.cos(F.radians(F.least(F.lit(89.0), edge)))
+    return F.when(edge >= 89.0, F.lit(1)).otherwise(F.greatest(F.lit(1), F.floor(360.0 / w))).cast("long")
+
+
+def _column(lon: Column, n: Column) -> Column:
+    """Cell of a longitude (any range) among ``n`` around the band."""
+    turn = F.pmod(lon + F.lit(180.0), F.lit(360.0)) / 360.0
+    return F.least(F.floor(turn * n), n - 1).cast("long")
 
 
 def nearest(points: DataFrame, places: DataFrame, point_key: str, place_key: str,
@@ -54,15 +62,14 @@ def nearest(points: DataFrame, places: DataFrame, point_key: str, place_key: str
     coords = points.select(F.col(lat).alias("_plat"), F.col(lon).alias("_plon")).distinct()
     pband = F.floor(F.col("_plat") / h)
     pts = coords.withColumn("_ci", pband)
-    pts = pts.withColumn("_cj", F.floor(F.col("_plon") / _lon_width(F.col("_ci"), h)))
+    pts = pts.withColumn("_cj", _column(F.col("_plon"), _columns(F.col("_ci"), h)))
 
     d = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    plc = places
-    plc = (plc.withColumn("_di", F.explode(d))
-              .withColumn("_ci", F.floor(F.col("_qlat") / h) + F.col("_di"))
-              .withColumn("_dj", F.explode(d))
-              .withColumn("_cj", F.floor(F.col("_qlon") / _lon_width(F.col("_ci"), h)) + F.col("_dj"))
-              .drop("_di", "_dj"))
+    plc = places.withColumn("_di", F.explode(d)).withColumn("_ci", F.floor(F.col("_qlat") / h) + F.col("_di"))
+    plc = plc.withColumn("_n", _columns(F.col("_ci"), h)).withColumn("_j", _column(F.col("_qlon"), F.col("_n")))
+    # neighbours wrap around the band; in a band of one or two cells they coincide
+    around = F.array_distinct(F.array(*[F.pmod(F.col("_j") + k, F.col("_n")) for k in (-1, 0, 1)]))
+    plc = plc.withColumn("_cj", F.explode(around)).drop("_di", "_n", "_j")
 
     # left join: a coordinate with no place in its cells still yields one (null) row, so
     # the per-coordinate minimum below covers every coordinate

@@ -3,7 +3,7 @@
 The data are read once: ``series.gram_sums`` reduces every series to its sufficient
 statistics (n, sums, cross-products) in one grouped aggregation. The elimination
 then runs on those few numbers per series (one row per series, numpy inside
-``applyInPandas``), so it never rescans the readings however many rounds it takes.
+``mapInPandas``), so it never rescans the readings however many rounds it takes.
 """
 
 from __future__ import annotations
@@ -18,43 +18,32 @@ from airlattice.constants import SIGNIFICANCE_LEVEL
 from airlattice.operators.series import gram_sums
 
 
-def _betacf(a: float, b: float, x: float) -> float:
-    """Continued fraction of the regularized incomplete beta (modified Lentz)."""
-    tiny, eps = 1e-300, 3e-16
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c, d = 1.0, 1.0 - qab * x / qap
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    h = d
-    for m in range(1, 500):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c
-        c = c if abs(c) > tiny else tiny
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c
-        c = c if abs(c) > tiny else tiny
-        delta = d * c
-        h *= delta
-        if abs(delta - 1.0) < eps:
-            break
-    return h
+def _tail_fraction(a: float, b: float, x: float, depth: int = 400) -> float:
+    """The continued fraction 1 / (1 + d1 x / (1 + d2 x / ...)) of the incomplete beta.
+
+    d(2m) = m (b - m) / ((a + 2m - 1)(a + 2m)),
+    d(2m + 1) = -(a + m)(a + b + m) / ((a + 2m)(a + 2m + 1)); evaluated from the far end.
+    """
+    value = 1.0
+    for n in range(depth, 0, -1):
+        m = n // 2
+        if n % 2:
+            d = -(a + m) * (a + b + m) / ((a + 2 * m) * (a + 2 * m + 1))
+        else:
+            d = m * (b - m) / ((a + 2 * m - 1) * (a + 2 * m))
+        value = 1.0 + d * x / value
+    return 1.0 / value
 
 
 def betainc(a: float, b: float, x: float) -> float:
-    if x <= 0.0:
-        return 0.0
-    if x >= 1.0:
-        return 1.0
-    lbeta = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-    front = math.exp(lbeta + a * math.log(x) + b * math.log(1.0 - x))
-    if x < (a + 1.0) / (a + b + 2.0):
-        return front * _betacf(a, b, x) / a
-    return 1.0 - front * _betacf(b, a, 1.0 - x) / b
+    """Regularised incomplete beta: x^a (1 - x)^b / (a B(a, b)) times the fraction, which
+    converges fast below the mean; above it the symmetric form is used."""
+    if x <= 0.0 or x >= 1.0:
+        return float(x >= 1.0)
+    if x > (a + 1.0) / (a + b + 2.0):
+        return 1.0 - betainc(b, a, 1.0 - x)
+    log_scale = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
+    return math.exp(log_scale) * _tail_fraction(a, b, x) / a
 
 
 def t_two_sided(t: float, dof: float) -> float:
@@ -118,12 +107,14 @@ def select_features(df: DataFrame, keys: list[str], x: list[str], y: str,
     schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys) + \
         ", selected array<string>, p_values array<double>"
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for _, row in pdf.iterrows():
-            xtx, xty, yty, n = _matrices(row, x, y)
-            sel, pv = backward(xtx, xty, yty, n, x, alpha)
-            rows.append({**{k: row[k] for k in keys}, "selected": sel, "p_values": pv})
-        return pd.DataFrame(rows, columns=keys + ["selected", "p_values"])
-
-    return g.groupBy(*keys).applyInPandas(run, schema)
+    def run(frames):
+        for pdf in frames:
+            rows = []
+            for _, row in pdf.iterrows():
+                xtx, xty, yty, n = _matrices(row, x, y)
+                sel, pv = backward(xtx, xty, yty, n, x, alpha)
+                rows.append({**{k: row[k] for k in keys}, "selected": sel, "p_values": pv})
+            yield pd.DataFrame(rows, columns=keys + ["selected", "p_values"])
+
+    # the grouped sums are one row per series already: no further grouping
+    return g.mapInPandas(run, schema)

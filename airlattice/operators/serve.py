@@ -59,8 +59,15 @@ def history(readings: DataFrame, start_epoch: int | None = None, end_epoch: int
         raise ValueError("start is after end")
     if end_epoch - start_epoch > HISTORY_SPAN_SECONDS:
         raise ValueError("range longer than one week")
-    t = F.unix_seconds(F.col(ts_col).cast("timestamp"))
-    return readings.filter((t >= start_epoch) & (t <= end_epoch))
+    return between(readings, start_epoch, end_epoch, ts_col)
+
+
+def between(df: DataFrame, start_epoch: int, end_epoch: int, ts_col: str = "ts") -> DataFrame:
+    """Rows with ``start <= ts <= end``: the column itself against literals of its own
+    type, so that the scan can skip by it."""
+    kind = df.schema[ts_col].dataType
+    lo, hi = (F.timestamp_seconds(F.lit(e)).cast(kind) for e in (start_epoch, end_epoch))
+    return df.filter((F.col(ts_col) >= lo) & (F.col(ts_col) <= hi))
 
 
 def available_pollutants(long: DataFrame, keys: list[str], spark) -> DataFrame:

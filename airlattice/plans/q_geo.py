@@ -108,7 +108,7 @@ FROM ({V.SQL_SENSORS}) s JOIN ({V.SQL_CITIES}) c ON s.city_key = c.city_key
 def haversine(spark, sf_dir):
     s = V.sensors(spark, sf_dir)
     c = V.cities(spark, sf_dir).select("city_key", F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"))
-    j = s.join(F.broadcast(c), "city_key")  # the city catalogue is a fixed 25-row table
+    j = s.join(c, "city_key")  # AQE broadcasts the cities while they are small
     return j.select("sensor_id", "city_key", F.round(geo.haversine("lat", "lon", "c_lat", "c_lon"), 6).alias("dist_km"))
 
 
@@ -151,6 +151,7 @@ def coordinate_history(spark, sf_dir):
     sensors = serve.active(V.sensors(spark, sf_dir))
     nn = nearest(V.points(spark, sf_dir), sensors, "point_id", "sensor_id", keep=["lat", "lon"])
     nn = nn.filter(F.col("sensor_id").isNotNull()).drop("dist_km")
-    hist = serve.history(V.hourly_wide(spark, sf_dir), HIST_START, HIST_END)
+    # only the sensors that are some point's nearest, only the hours asked for
+    hist = serve.history(V.hourly_wide(spark, sf_dir, HIST_START, HIST_END, nn), HIST_START, HIST_END)
     hist = hist.select("sensor_id", "ts", aqi().alias("aqi"))
     return nn.join(hist, "sensor_id").select("point_id", "sensor_id", "lat", "lon", "ts", "aqi")

@@ -155,7 +155,7 @@ def flatten_props(spark, sf_dir):
         F.array(F.struct(F.col("value").alias("v"), F.col("event_type").alias("secret")),
                 F.struct((F.col("value") * 2).alias("v"), F.col("event_type").alias("secret"))).alias("pair"),
     )
-    return landing.flatten(nested, exclude=("secret",), max_items=2)
+    return landing.flatten(nested, exclude=("secret",))
 
 
 # ------------------------------------------------------------------ S5
@@ -291,14 +291,14 @@ FROM events WHERE event_type = 'click'
 UNION ALL
 SELECT user_id, CAST(ts AS TIMESTAMP), NULL, value, NULL, NULL FROM events WHERE event_type = 'purchase'
 UNION ALL
-SELECT user_id, CAST(ts AS TIMESTAMP), NULL, NULL, value, props FROM events WHERE event_type = 'signup'
+SELECT user_id, CAST(ts AS TIMESTAMP), NULL, NULL, value, props FROM events WHERE event_type NOT IN ('click', 'purchase')
 """)
 def union_sparse(spark, sf_dir):
     ev = V.table(spark, sf_dir, "events").select(
         F.col("user_id").alias("sensor_id"), F.col("ts").cast("timestamp").alias("ts"), "event_type", "value", "props")
     a = ev.filter("event_type = 'click'").select("sensor_id", "ts", F.col("value").alias("pm2_5"))
     b = ev.filter("event_type = 'purchase'").select("sensor_id", "ts", F.col("value").alias("no2"))
-    c = ev.filter("event_type = 'signup'").select("sensor_id", "ts", F.col("value").alias("o3"),
+    c = ev.filter("event_type NOT IN ('click', 'purchase')").select("sensor_id", "ts", F.col("value").alias("o3"),
                                                    F.col("props").alias("note"))
     return clean.union_sparse(a, b, c)
 
@@ -324,8 +324,10 @@ STORED_UNTIL = "TIMESTAMP '2024-01-15 00:00:00'"
 
 def _raw_processed(spark, sf_dir):
     hw = V.hourly_wide(spark, sf_dir)
+    # every reading arrives twice: a first copy one unit off, then the one that counts
     raw = hw.select(F.col("sensor_id").alias("sensorId"), F.unix_seconds("ts").alias("time"),
-                    *POLS, "co", F.lit("01d").alias("weatherIcon"))
+                    *POLS, "co", F.lit("01d").alias("weatherIcon"), F.explode(F.array(F.lit(0), F.lit(1))).alias("ingested"))
+    raw = raw.withColumns({p: F.col(p) + (1 - F.col("ingested")) for p in POLS})
     processed = (hw.filter(F.col("ts") < F.expr(STORED_UNTIL))
                    .select(F.col("sensor_id").alias("sensorId"), F.unix_seconds("ts").alias("time"), *POLS)
                    .withColumn("aqi", aqi({p: p for p in POLS})))
@@ -355,5 +357,5 @@ FROM g WHERE NOT EXISTS (SELECT 1 FROM processed p WHERE p.sensorId = g.sensorId
 @query("clean_pipeline", _M1_SQL)
 def clean_pipeline(spark, sf_dir):
     raw, processed = _raw_processed(spark, sf_dir)
-    out = clean.process(raw, processed, ["sensorId"], "time", "pollution", scale=6)
+    out = clean.process(raw, processed, ["sensorId"], "time", "pollution", "ingested", scale=6)
     return out.select("sensorId", "time", *POLS, "aqi")

@@ -79,15 +79,19 @@ def recursive_forecast(spark, sf_dir):
 
 @query("backfill_files")
 def backfill_files(spark, sf_dir):
-    """S8 + S6: hourly readings dropped as CSV files per sensor and collection are read
-    back in one scan (sensor and collection from the path) and appended by key."""
+    """S8 + S6: hourly readings dropped as CSV files per collection and city (a folder per
+    city, not per sensor) are read back in one scan, the collection from the path, and
+    appended by key; the replay appends nothing."""
     root = scratch(spark, "dropped")
     hw = V.hourly_wide(spark, sf_dir)
-    dropped = hw.select(F.col("sensor_id").alias("sensor"), F.lit("pollution").alias("collection"),
-                        F.unix_seconds("ts").alias("time"), "co", "no2", "o3", "pm2_5", "pm10", "so2")
-    dropped.write.partitionBy("sensor", "collection").option("header", "true").csv(root)
-    schema = "time long, co double, no2 double, o3 double, pm2_5 double, pm10 double, so2 double"
-    back = files.backfill(spark, root, schema)
+    city = V.sensors(spark, sf_dir).select("sensor_id", F.col("city_key").alias("city"))
+    dropped = hw.join(city, "sensor_id", "left").select(
+        F.lit("pollution").alias("collection"), F.coalesce("city", F.lit(-1)).alias("city"),
+        F.col("sensor_id").cast("string").alias("sensor"), F.unix_seconds("ts").alias("time"),
+        "co", "no2", "o3", "pm2_5", "pm10", "so2")
+    dropped.repartition("city").write.partitionBy("collection", "city").option("header", "true").csv(root)
+    schema = "sensor string, time long, co double, no2 double, o3 double, pm2_5 double, pm10 double, so2 double"
+    back = files.backfill(spark, root, schema, {"collection": files.PATH_KEYS["collection"]})
     target = scratch(spark, "store")
     store.append_new(spark, back, target, ["sensor", "collection", "time"], ["collection"])
     store.append_new(spark, back, target, ["sensor", "collection", "time"], ["collection"])  # replay: no-op
@@ -103,26 +107,29 @@ def _land_events(spark, sf_dir, root):
 
 @query("stream_ingest")
 def stream_ingest(spark, sf_dir):
-    """File-source stream -> per-batch anti join on (user_id, ts) -> append."""
+    """File-source stream -> per-batch anti join on (user_id, ts) -> append to a store by
+    day, of which a batch reads only its own days."""
     land = scratch(spark, "landing")
     schema = _land_events(spark, sf_dir, land)
     stream = R.read_landing(spark, land, schema, max_files=8)
     target = scratch(spark, "readings")
-    q = R.ingest(spark, stream, target, ["user_id", "ts"], scratch(spark, "ckpt"), ["event_type"])
+    q = R.ingest(spark, stream, target, ["user_id", "ts", "day"], scratch(spark, "ckpt"), ["day"], order="event_id")
     q.awaitTermination()
     return spark.read.parquet(target).select("event_id", "user_id", "event_type", "ts", "value", "props")
 
 
 @query("stream_dedup")
 def stream_dedup(spark, sf_dir):
-    """R2: duplicates of (user_id, event_type, ts) dropped within a 2-hour watermark;
-    the landed input holds every event twice."""
+    """R2: duplicates of (user_id, event_type, ts) dropped within the watermark; the landed
+    input holds every event twice. Files land in no time order and are read in several
+    batches, so the delay covers the whole input: a shorter one loses the rows that come
+    later than it (bounded state is what a watermark trades them for)."""
     land = scratch(spark, "landing")
     schema = _land_events(spark, sf_dir, land)
     _land_events(spark, sf_dir, land)  # every event lands twice
-    stream = R.read_landing(spark, land, schema).select("event_id", "user_id", "event_type", "ts", "value")
+    stream = R.read_landing(spark, land, schema, max_files=24).select("event_id", "user_id", "event_type", "ts", "value")
     out = scratch(spark, "dedup")
-    q = R.sink_parquet(R.dedup(stream, ["user_id", "event_type"], "ts"), out, scratch(spark, "ckpt"))
+    q = R.sink_parquet(R.dedup(stream, ["user_id", "event_type"], "ts", "366 days"), out, scratch(spark, "ckpt"))
     q.awaitTermination()
     return spark.read.parquet(out)
 
@@ -152,7 +159,7 @@ from airlattice.plans.registry import ORACLE  # noqa: E402
 
 ORACLE["stream_ingest"] = """
 SELECT event_id, user_id, event_type, CAST(ts AS TIMESTAMP) AS ts, value, props
-FROM events QUALIFY row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id) = 1
+FROM events QUALIFY row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id DESC) = 1
 """
 ORACLE["stream_dedup"] = """
 SELECT event_id, user_id, event_type, CAST(ts AS TIMESTAMP) AS ts, value

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import functions as F
 
+from airlattice.constants import LOOKBACK_WEEKS
 from airlattice.functions.stats import sql_exact_avg
 from airlattice.operators import series as S
 from airlattice.plans import views as V
@@ -15,15 +18,19 @@ LOOKBACK_AS_OF = "2024-01-25 00:00:00"
 L = 24
 
 
+def _epoch(text: str) -> int:
+    return int(datetime.fromisoformat(text).replace(tzinfo=timezone.utc).timestamp())
+
+
 @query("summary_join", f"""
 WITH w AS (SELECT user_id AS sensor_id, date_trunc('hour', ts) AS ts,
                   CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS DOUBLE) / count(*) AS temp
-           FROM events WHERE event_type IN ('click', 'view') GROUP BY 1, 2),
+           FROM events GROUP BY 1, 2),
 p AS ({V.SQL_HOURLY_WIDE})
 SELECT w.sensor_id, w.ts, temp, co, no2, o3, pm2_5, pm10, so2 FROM w JOIN p ON w.sensor_id = p.sensor_id AND w.ts = p.ts
 """)
 def summary_join(spark, sf_dir):
-    ev = V.table(spark, sf_dir, "events").filter(F.col("event_type").isin("click", "view"))
+    ev = V.table(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k").cast("bigint")
     weather = (ev.groupBy(F.col("user_id").alias("sensor_id"), F.date_trunc("hour", "ts").alias("ts"))
                  .agg((F.sum(k).cast("double") / F.count(F.lit(1))).alias("temp")))
@@ -32,13 +39,15 @@ def summary_join(spark, sf_dir):
 
 @query("training_cutoff", f"SELECT * FROM ({V.SQL_SERIES_LONG}) s WHERE ts <= TIMESTAMP '{AS_OF}'")
 def training_cutoff(spark, sf_dir):
-    return S.cutoff(V.series_long(spark, sf_dir), "ts", AS_OF)
+    return S.cutoff(V.series_long(spark, sf_dir, until=_epoch(AS_OF)), "ts", AS_OF)
 
 
 @query("lookback_window", f"""SELECT * FROM ({V.SQL_SERIES_LONG}) s
 WHERE ts >= TIMESTAMP '{LOOKBACK_AS_OF}' - INTERVAL 364 DAY AND ts <= TIMESTAMP '{LOOKBACK_AS_OF}'""")
 def lookback_window(spark, sf_dir):
-    return S.lookback(V.series_long(spark, sf_dir), "ts", LOOKBACK_AS_OF)
+    end = _epoch(LOOKBACK_AS_OF)
+    long = V.series_long(spark, sf_dir, end - LOOKBACK_WEEKS * 7 * 86400, end)
+    return S.lookback(long, "ts", LOOKBACK_AS_OF)
 
 
 @query("lag_features", f"""

@@ -12,6 +12,7 @@ from airlattice.constants import COUNTRY_ZONES, POLLUTANTS
 from airlattice.functions.aqi import aqi, sub_index_sql
 from airlattice.operators import forecast as FC
 from airlattice.operators import serve
+from airlattice.operators.joins import broadcast_constant
 from airlattice.plans import views as V
 from airlattice.plans.registry import query
 
@@ -88,7 +89,8 @@ def forecast_pivot(spark, sf_dir):
     s = V.sensors(spark, sf_dir).select("sensor_id", "city_key")
     c = V.cities(spark, sf_dir).select("city_key", "country_code")
     zones = spark.createDataFrame(list(COUNTRY_ZONES.items()), "country_code string, zone string")
-    geo = s.join(F.broadcast(c), "city_key").join(F.broadcast(zones), "country_code")
+    # the zones are a fixed table; cities grow with the catalogue and are left to AQE
+    geo = s.join(c, "city_key").join(broadcast_constant(zones), "country_code")
     j = wide.join(geo, "sensor_id")
     return j.select("sensor_id", "ts", F.from_utc_timestamp("ts", F.col("zone")).alias("local_ts"), *MEASURED)
 
@@ -147,7 +149,7 @@ def city_forecast(spark, sf_dir):
         F.collect_list(F.struct("pollutant", "ts", FC.non_negative("value").alias("value"))).alias("forecast"))
     sensors = serve.active(V.sensors(spark, sf_dir)).select("sensor_id", "city_key")
     cities = V.cities(spark, sf_dir).select("city_key", "city")
-    j = sensors.join(per_sensor, "sensor_id", "left").join(F.broadcast(cities), "city_key")
+    j = sensors.join(per_sensor, "sensor_id", "left").join(cities, "city_key")
     empty = F.array().cast(per_sensor.schema["forecast"].dataType)
     j = j.withColumn("forecast", F.coalesce("forecast", empty))
     return j.select("city_key", "city", "sensor_id", F.size("forecast").cast("int").alias("n_points"),
@@ -163,7 +165,7 @@ SELECT *, greatest({", ".join(sub_index_sql(p, p) for p in V.WIDE_POLLUTANTS)})
 WHERE epoch(ts) BETWEEN {H_START} AND {H_END}
 """)
 def history_range(spark, sf_dir):
-    h = serve.history(V.hourly_wide(spark, sf_dir), H_START, H_END)
+    h = serve.history(V.hourly_wide(spark, sf_dir, H_START, H_END), H_START, H_END)
     return h.withColumn("aqi", aqi())
 
 

@@ -63,13 +63,29 @@ def hourly_mean_expr(etype: str) -> F.Column:
     return F.expr(f"CASE WHEN {n} > 0 THEN CAST(({s4} * 100) div {n} AS DOUBLE) / 1000000D END")
 
 
-def hourly_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly wide readings: sensor_id, ts (hour), co, no2, o3, pm2_5, pm10, so2.
+def events_between(spark: SparkSession, sf_dir: str, since: int | None = None, until: int | None = None) -> DataFrame:
+    """Raw events that can fall in hours within [since, until] (epoch seconds): literal
+    bounds on the raw column, pushed to the scan; the hour is checked again later."""
+    ev = table(spark, sf_dir, "events")
+    kind = ev.schema["ts"].dataType
+    if since is not None:
+        ev = ev.filter(F.col("ts") >= F.timestamp_seconds(F.lit(since)).cast(kind))
+    if until is not None:
+        ev = ev.filter(F.col("ts") < F.timestamp_seconds(F.lit(until + 3600)).cast(kind))
+    return ev
+
+
+def hourly_wide(spark: SparkSession, sf_dir: str, since: int | None = None, until: int | None = None,
+                sensors: DataFrame | None = None) -> DataFrame:
+    """Hourly wide readings: sensor_id, ts (hour), co, no2, o3, pm2_5, pm10, so2; of the
+    hours that ``since`` and ``until`` bound and the ``sensors`` (sensor_id) asked for.
 
     One aggregation with conditional aggregates: a single shuffle on (sensor, hour),
     partial aggregation map-side, all inside whole-stage codegen.
     """
-    ev = table(spark, sf_dir, "events").select("user_id", "ts", "event_type", "value")
+    ev = events_between(spark, sf_dir, since, until).select("user_id", "ts", "event_type", "value")
+    if sensors is not None:
+        ev = ev.join(sensors.select(F.col("sensor_id").alias("user_id")).distinct(), "user_id", "left_semi")
     aggs = [
         hourly_mean_expr(etype).alias(pol)
         for etype, pol in EVENT_POLLUTANT.items()
@@ -184,9 +200,9 @@ def _sql_micro_mean(value: str = "value") -> str:
     return f"CASE WHEN {n} > 0 THEN CAST(({s4} * 100) // {n} AS DOUBLE) / CAST(1000000 AS DOUBLE) END"
 
 
-def series_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+def series_long(spark: SparkSession, sf_dir: str, since: int | None = None, until: int | None = None) -> DataFrame:
     """Hourly series per (sensor_id, pollutant): ts (hour), value (micro-grid mean)."""
-    ev = table(spark, sf_dir, "events").select("user_id", "ts", "event_type", "value")
+    ev = events_between(spark, sf_dir, since, until).select("user_id", "ts", "event_type", "value")
     return (ev.groupBy(F.col("user_id").alias("sensor_id"), _pollutant_col().alias("pollutant"),
                        F.date_trunc("hour", "ts").alias("ts"))
               .agg(_micro_mean().alias("value")))

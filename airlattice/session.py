@@ -69,10 +69,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     A cluster names a shared folder there; it is only filled in here when unset, as in
-    local tests, where a fresh scratch folder is taken.
+    local tests, where a fresh scratch folder is taken. On any other master an unset
+    folder is an error: executors on several hosts would each write their own.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"spark.checkpoint.dir must name a shared folder on {master}")
         current = tempfile.mkdtemp(prefix="airlattice-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     if spark.sparkContext.getCheckpointDir() is None:

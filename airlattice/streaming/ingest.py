@@ -27,15 +27,16 @@ def read_landing(spark: SparkSession, path: str, schema, fmt: str = "parquet",
 
 
 def ingest(spark: SparkSession, stream: DataFrame, store_path: str, keys: list[str], checkpoint: str,
-           partition_by: list[str] | None = None, available_now: bool = True) -> StreamingQuery:
+           partition_by: list[str] | None = None, available_now: bool = True, order=None) -> StreamingQuery:
     """Append each micro-batch's rows whose key is not stored yet.
 
-    Within a batch, copies of one key keep one row; across batches the anti join
-    against the store makes the append idempotent (a replayed batch appends nothing).
+    Within a batch, of the copies of one key the last by ``order`` stays; across batches
+    the anti join against the store makes the append idempotent (a replayed batch
+    appends nothing). With a partition column among the keys (a day), a batch reads only
+    the partitions it names, however large the store; late days are named too.
     """
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
-        fresh = batch.dropDuplicates(keys)
-        store.append_new(spark, fresh, store_path, keys, partition_by)
+        store.append_new(spark, batch, store_path, keys, partition_by, order)
 
     w = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")

@@ -11,7 +11,7 @@ def test_flatten_nested_records(spark):
     df = spark.sql("SELECT array(named_struct('x', 1)) AS a")
     assert landing.flatten(df).columns == ["a_x"]
     df = spark.sql("SELECT array(1, 2) AS a")
-    out = landing.flatten(df, max_items=2)
+    out = landing.flatten(df)
     assert out.columns == ["a_0", "a_1"] and tuple(out.first()) == (1, 2)
     df = spark.sql("SELECT 1 AS a, 2 AS secret")
     assert landing.flatten(df, exclude=("secret",)).columns == ["a"]
@@ -79,7 +79,7 @@ def test_merge_snapshots_second_wins(spark):
 def test_process_outcomes(spark):
     raw = spark.createDataFrame([(1, 100, 5.0), (1, 200, 6.0), (2, 100, 7.0)], "sensorId long, time long, pm2_5 double")
     processed = spark.createDataFrame([(2, 100, 7.0, 29)], "sensorId long, time long, pm2_5 double, aqi int")
-    new = clean.process(raw, processed, ["sensorId"], "time", "pollution")
+    new = clean.process(raw.withColumn("ingested", F.lit(1)), processed, ["sensorId"], "time", "pollution", "ingested")
     assert sorted((r.sensorId, r.time) for r in new.collect()) == [(1, 100), (1, 200)]
     out = {r.sensorId: r.outcome for r in clean.outcomes(raw, new, ["sensorId"], "process").collect()}
     assert out == {1: "done", 2: "skipped"}
