@@ -1,36 +1,40 @@
 """Imputation by nearest rows (M5, J11, W6, A3, A8, A14) without a pair product.
 
-Exact K nearest neighbours of every row with a missing target, found with a
-multi-resolution grid: at level l the attribute space is cut into cubes of side
-w_l; a row's candidates are the rows in its 3^d surrounding cubes, which contain every
-row within distance w_l. If at least K candidates lie within w_l, the K nearest are
-exact (ties at the K-th distance are all inside too); otherwise the row moves to the
-next level, whose cubes are twice as wide. The first side is set from the data's
-density so that about K rows fall within reach, so most rows resolve at once and the
-candidates per row stay near K even in dense regions. The last level's cube spans the whole data range, so every row
-resolves. Between levels the resolved neighbours and the unresolved rows are written
-to the shared checkpoint folder and read back, so the plan does not grow.
+Exact K nearest neighbours of every row with a missing target, over numeric, categorical
+or mixed attributes. Candidates are dealt to their nearest of a bounded number of pivots; a
+query first searches the partitions of its nearest pivots until they hold K rows, which bounds
+its K-th distance, and then only those partitions that the triangle inequality leaves possible
+(distance to the pivot minus the partition's radius not above the bound). Large
+partitions are dealt in blocks and queries in blocks too, so a task holds two bounded
+blocks, compares them with numpy and emits at most K rows per query. The number of visited
+partitions follows the data, not 3^d cells: for attributes without structure it grows to all
+of them, which is the query set against all rows in blocks. The weighted Hamming
+distance is no metric, so it always visits all.
 
 Duplicates are pre-aggregated: of rows with identical attributes only the K + 1
 lowest ids can ever be chosen (ties go to the lower id), so a hot group of identical
-rows shrinks to K + 1 candidates via a salted two-stage top-k before any pairing.
+rows shrinks to K + 1 candidates; its salts follow its size.
 """
 
 from __future__ import annotations
 
-import itertools
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from airlattice.constants import KNN_MISSING_THRESHOLD
 from airlattice.functions import distance as D
+from airlattice.functions.grouped import groups
 from airlattice.session import cut_lineage
 
 METHODS = ("mean", "median", "mode")
+PIVOTS = 256          # partitions at most; about sqrt(n) / 2 for fewer rows
+BLOCK = 2048          # candidates, and queries, of a block
+COPIES = 50_000       # identical rows ordered in one task
 
 
-def _check(n: int, k: int, how: str, numeric_target: bool, metric: str) -> bool:
+def _check(n: int, k: int, how: str, numeric_target: bool, metric: str, categorical: str) -> bool:
     """A14 guards: False when there are too few rows (no imputation); bad arguments
     raise ValueError."""
     if how not in METHODS:
@@ -39,6 +43,8 @@ def _check(n: int, k: int, how: str, numeric_target: bool, metric: str) -> bool:
         raise ValueError("a target that is not numeric can only be filled by its mode")
     if metric not in D.NUMERIC:
         raise ValueError(f"unknown numeric distance {metric!r}; one of {', '.join(D.NUMERIC)}")
+    if categorical not in D.CATEGORICAL:
+        raise ValueError(f"unknown categorical distance {categorical!r}; one of {', '.join(D.CATEGORICAL)}")
     if n < 3:
         return False
     if k > n or k < 1:
@@ -46,85 +52,100 @@ def _check(n: int, k: int, how: str, numeric_target: bool, metric: str) -> bool:
     return True
 
 
-def _top_per_group(df: DataFrame, group: list[str], order: str, k: int, salts: int = 16) -> DataFrame:
-    """Keep the ``k`` lowest ``order`` rows of each group in two bounded stages:
-    first per (group, salt), then per group over at most k * salts survivors."""
-    salted = df.withColumn("_salt", F.abs(F.xxhash64(order)) % salts)
+def _lowest_ids(df: DataFrame, group: list[str], order: str, k: int) -> DataFrame:
+    """Keep the ``k`` lowest ``order`` rows of each group: per salt first, then over the
+    survivors. A group has a salt per ``COPIES`` rows, so no task orders more."""
+    sizes = df.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / COPIES).cast("long").alias("_salts"))
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in group]
+    salted = df.alias("l").join(sizes.alias("r"), same).select("l.*", F.pmod(F.xxhash64(order), F.col("r._salts")).alias("_salt"))
     w1 = Window.partitionBy(*group, "_salt").orderBy(order)
-    stage1 = salted.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") <= k).drop("_r", "_salt")
+    first = salted.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") <= k).drop("_r", "_salt")
     w2 = Window.partitionBy(*group).orderBy(order)
-    return stage1.withColumn("_r", F.row_number().over(w2)).filter(F.col("_r") <= k).drop("_r")
+    return first.withColumn("_r", F.row_number().over(w2)).filter(F.col("_r") <= k).drop("_r")
 
 
-def knn(df: DataFrame, id_col: str, target: str, attrs: list[str], k: int, how: str = "mean",
-        metric: str = "euclidean", threshold: float = KNN_MISSING_THRESHOLD,
-        max_levels: int = 12, out: str | None = None) -> DataFrame:
-    """M5: fill null ``target`` values from the K nearest rows (by ``attrs``).
+class Mixed:
+    """Distance of one row to many: numeric, categorical, or both weighted by their counts.
 
-    A row stays null when at least ``threshold * k`` of its neighbours are missing the
-    target too. Returns ``df`` with ``out`` (default: ``target``) filled.
+    Rows are three arrays: numbers, category codes, and the relative frequency of each
+    category (used by the weighted Hamming distance only).
     """
-    out = out or target
-    spark = df.sparkSession
-    numeric_target = df.schema[target].dataType.typeName() in ("integer", "long", "double", "float", "short")
-    # one-row statistics (bounded: 3 numbers per attribute) drive the grid and the fill
-    stats = df.agg(F.count(F.lit(1)).alias("n"),
-                   *[F.avg(a).alias(f"mean_{a}") for a in attrs],
-                   *[F.min(a).alias(f"min_{a}") for a in attrs],
-                   *[F.max(a).alias(f"max_{a}") for a in attrs]).first()
-    if not _check(stats["n"], k, how, numeric_target, metric):
-        return df.withColumn(out, F.col(target))
 
-    base = df.select(id_col, target, *[F.coalesce(F.col(a).cast("double"), F.lit(stats[f"mean_{a}"]))
-                                       .alias(a) for a in attrs])
-    ranges = [max((stats[f"max_{a}"] - stats[f"min_{a}"]) or 0.0, 0.0) for a in attrs]
-    span = max(ranges) or 1.0
-    mins = {a: stats[f"min_{a}"] for a in attrs}
-    # first cube side: about k rows expected within reach if rows were spread evenly
-    volume = 1.0
-    for r in ranges:
-        volume *= max(r, span * 1e-6)
-    w = min(0.5 * (k * volume / max(stats["n"], 1)) ** (1.0 / len(attrs)), span)
-
-    # duplicate attribute vectors: only the k + 1 lowest ids can be chosen
-    cands = cut_lineage(_top_per_group(base, attrs, id_col, k + 1))
-    queries = base.filter(F.col(target).isNull()).select(id_col, *[F.col(a).alias(f"q_{a}") for a in attrs])
-
-    deltas = F.array(*[F.array(*[F.lit(x) for x in combo])
-                       for combo in itertools.product((-1, 0, 1), repeat=len(attrs))])
-
-    resolved = None
-    remaining = queries
-    for level in range(max_levels + 1):
-        final = w >= span or level == max_levels
-        if final:
-            w = span * 1.000001  # one cube row per axis covers everything: all resolve
-        cell = lambda c, a, w=w: F.floor((F.col(c) - F.lit(mins[a])) / F.lit(w)).cast("long")
-        qc = remaining.withColumn("_d", F.explode(deltas)).select(
-            id_col, *[f"q_{a}" for a in attrs],
-            *[(cell(f"q_{a}", a) + F.col("_d")[i]).alias(f"_c{i}") for i, a in enumerate(attrs)])
-        cc = cands.select(F.col(id_col).alias("_j"), F.col(target).alias("_t"),
-                          *[F.col(a).alias(f"b_{a}") for a in attrs],
-                          *[cell(a, a).alias(f"_c{i}") for i, a in enumerate(attrs)])
-        pairs = qc.join(cc, on=[f"_c{i}" for i in range(len(attrs))]).filter(F.col(id_col) != F.col("_j"))
-        pairs = pairs.withColumn("_dist", D.numeric([f"q_{a}" for a in attrs], [f"b_{a}" for a in attrs], metric))
-        if not final:
-            pairs = pairs.filter(F.col("_dist") <= F.lit(w))
-        win = Window.partitionBy(id_col)
-        ranked = (pairs.withColumn("_cnt", F.count(F.lit(1)).over(win))
-                       .filter(F.col("_cnt") >= k)
-                       .withColumn("_r", F.row_number().over(win.orderBy("_dist", "_j")))
-                       .filter(F.col("_r") <= k)
-                       .select(id_col, "_j", "_t", "_dist"))
-        ranked = cut_lineage(ranked)
-        resolved = ranked if resolved is None else resolved.unionByName(ranked)
-        if final:
-            break
-        remaining = cut_lineage(remaining.join(ranked.select(id_col).distinct(), on=id_col, how="left_anti"))
-        if remaining.isEmpty():
-            break
-        w *= 2
+    def __init__(self, n_num: int, n_cat: int, metric: str, categorical: str):
+        self.n_num, self.n_cat, self.metric, self.categorical = n_num, n_cat, metric, categorical
+        self.is_metric = not n_cat or categorical != "weighted-hamming"
+
+    def __call__(self, q: tuple, rows: tuple) -> np.ndarray:
+        num = cat = 0.0
+        if self.n_num:
+            gap = rows[0] - q[0]
+            num = np.sqrt((gap * gap).sum(1)) if self.metric == "euclidean" else np.abs(gap).sum(1)
+        if self.n_cat:
+            same = rows[1] == q[1]
+            m, d = float(self.n_cat), (~same).sum(1).astype(float)
+            if self.categorical == "hamming":
+                cat = d / m
+            elif self.categorical == "jaccard":
+                cat = 2.0 * d / (m + d)
+            elif self.categorical == "euclidean":
+                cat = np.sqrt(2.0 * d)
+            else:
+                cat = m / (1.0 / np.where(same, rows[2], 1.0)).sum(1)
+        if self.n_num and self.n_cat:
+            return (num * self.n_num + cat * self.n_cat) / (self.n_num + self.n_cat)
+        return num if self.n_num else cat
+
+
+def _arrays(pdf: pd.DataFrame) -> tuple:
+    return tuple(np.array(pdf[c].tolist()).reshape(len(pdf), -1) for c in ("_num", "_cat", "_freq"))
 
+
+def _rows(df: DataFrame, id_col: str, target: str, numeric: list[str], categorical: list[str], stats) -> DataFrame:
+    """id, target, numbers (missing ones at the mean; scaled when mixed), category codes
+    (missing ones at the mode) and the categories' relative frequencies."""
+    out = df.select(id_col, target, *numeric, *categorical)
+    nums = []
+    for a in numeric:
+        x = F.coalesce(F.col(a).cast("double"), F.lit(stats[f"mean_{a}"]), F.lit(0.0))
+        if categorical:
+            spread = (stats[f"max_{a}"] or 0.0) - (stats[f"min_{a}"] or 0.0)
+            x = (x - F.lit(stats[f"mean_{a}"] or 0.0)) / F.lit(spread) if spread else F.lit(0.0)
+        nums.append(x)
+    codes, freqs = [], []
+    for a in categorical:
+        counts = out.filter(F.col(a).isNotNull()).groupBy(F.col(a).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+        mode = counts.orderBy(F.col("_n").desc(), F.col("_v")).first()
+        value = F.coalesce(F.col(a), F.lit(mode["_v"] if mode else None))
+        out = out.withColumn(a, value)
+        share = relative_frequency(out, a, f"_f_{a}").withColumnRenamed(a, f"_v_{a}")
+        out = out.join(share, F.col(a).eqNullSafe(F.col(f"_v_{a}")), "left").drop(f"_v_{a}")
+        codes.append(F.xxhash64(F.col(a).cast("string")))
+        freqs.append(F.col(f"_f_{a}"))
+    empty = F.array().cast("array<double>")
+    return out.select(id_col, target, (F.array(*nums) if nums else empty).alias("_num"),
+                      (F.array(*codes) if codes else F.array().cast("array<bigint>")).alias("_cat"),
+                      (F.array(*freqs) if freqs else empty).alias("_freq"))
+
+
+def knn(df: DataFrame, id_col: str, target: str, attrs: list[str], k: int, how: str = "mean",
+        metric: str = "euclidean", threshold: float = KNN_MISSING_THRESHOLD, out: str | None = None,
+        categorical: list[str] = (), categorical_metric: str = "jaccard") -> DataFrame:
+    """M5: fill null ``target`` values from the K nearest rows.
+
+    ``attrs`` are numeric attributes, ``categorical`` the others; with both, numbers are
+    scaled by their range and the two distances are weighted by their attribute counts
+    (H15). A row stays null when at least ``threshold * k`` of its neighbours are missing
+    the target too. Returns ``df`` with ``out`` (default: ``target``) filled.
+    """
+    out, categorical = out or target, list(categorical)
+    numeric_target = df.schema[target].dataType.typeName() in ("integer", "long", "double", "float", "short", "byte", "decimal")
+    # one-row statistics (bounded: 3 numbers per attribute)
+    stats = df.agg(F.count(F.lit(1)).alias("n"), *[f(F.col(a).cast("double")).alias(f"{name}_{a}") for a in attrs
+                                                  for name, f in (("mean", F.avg), ("min", F.min), ("max", F.max))]).first()
+    if not _check(stats["n"], k, how, numeric_target, metric, categorical_metric):
+        return df.withColumn(out, F.col(target))
+    resolved = _neighbours(_rows(df, id_col, target, attrs, categorical, stats), id_col, target, k,
+                           Mixed(len(attrs), len(categorical), metric, categorical_metric))
     asked = {"mean": [F.avg("_t").alias("_mean")], "median": [F.median("_t").alias("_median")]}.get(how, []) \
         if numeric_target else []
     agg = resolved.groupBy(id_col).agg(F.count_if(F.col("_t").isNull()).alias("_missing"), *asked)
@@ -143,6 +164,106 @@ def knn(df: DataFrame, id_col: str, target: str, attrs: list[str], k: int, how:
     return res.drop("_fill")
 
 
+def _neighbours(rows: DataFrame, id_col: str, target: str, k: int, distance: Mixed) -> DataFrame:
+    """The K nearest other rows of every row without a target: id, _j, _t, _dist."""
+    spark = rows.sparkSession
+    rows = cut_lineage(rows)
+    cands = cut_lineage(_lowest_ids(rows, ["_num", "_cat"], id_col, k + 1))
+    n = cands.count()
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    few = int(min(PIVOTS, max(1, round(n ** 0.5 / 2))))
+    # pivots: the candidates of lowest hash, a bounded number
+    pivots = _arrays(cands.orderBy(F.xxhash64(F.lit(41), id_col), id_col).limit(few).select("_num", "_cat", "_freq").toPandas())
+    few = len(pivots[0])
+
+    def pivot_row(i: int) -> tuple:
+        return tuple(p[i] for p in pivots)
+
+    def to_pivots(x: tuple) -> np.ndarray:
+        """(rows, pivots) distances."""
+        return np.stack([distance(pivot_row(i), x) for i in range(few)], 1)
+
+    def assign(frames):
+        for pdf in frames:
+            d = to_pivots(_arrays(pdf))
+            pdf["_p"] = d.argmin(1).astype(np.int32)
+            pdf["_pd"] = d.min(1)
+            yield pdf
+    cols = f"{id_col} {kinds[id_col]}, {target} {kinds[target]}, _num array<double>, _cat array<bigint>, _freq array<double>"
+    dealt = cut_lineage(cands.mapInPandas(assign, f"{cols}, _p int, _pd double"))
+    size = dealt.groupBy("_p").agg(F.count(F.lit(1)).alias("n"), F.max("_pd").alias("r")).toPandas().set_index("_p")
+    count = np.array([size["n"].get(i, 0) for i in range(few)])
+    radius = np.array([size["r"].get(i, 0.0) for i in range(few)])
+    slack = 1e-9
+
+    def first(frames):
+        """Partitions of the nearest pivots, until they hold K rows besides the query."""
+        for pdf in frames:
+            near = np.argsort(to_pivots(_arrays(pdf)), 1, kind="stable")
+            enough = (np.cumsum(count[near], 1) >= k + 1).argmax(1)
+            full = np.cumsum(count[near], 1)[:, -1] >= k + 1
+            pdf["_visit"] = [v[:e + 1] if f else v for v, e, f in zip(near.astype(np.int32), enough, full)]
+            pdf["_bound"] = np.inf
+            yield pdf
+
+    def second(frames):
+        """All other partitions that can hold a row within the bound."""
+        for pdf in frames:
+            d = to_pivots(_arrays(pdf))
+            bound = pdf["_bound"].fillna(np.inf).to_numpy(float)
+            can = (d - radius <= (bound * (1 + slack) + slack)[:, None]) if distance.is_metric else np.ones_like(d, bool)
+            can &= count > 0
+            for i, seen in enumerate(pdf["_visit"]):
+                can[i, np.asarray(seen, np.int64)] = False
+            pdf["_visit"] = [np.flatnonzero(c).astype(np.int32) for c in can]
+            yield pdf
+
+    blocks = [max(1, -(-int(c) // BLOCK)) for c in count]
+    n_blocks = F.element_at(F.array(*[F.lit(b).cast("long") for b in blocks]), F.col("_p") + 1)
+    query = f"{id_col} {kinds[id_col]}, _num array<double>, _cat array<bigint>, _freq array<double>, _visit array<int>, _bound double"
+
+    def search(queries: DataFrame) -> DataFrame:
+        """The K nearest of every query in each block of the partitions it visits."""
+        asked = queries.select("*", F.explode("_visit").alias("_p")).drop("_visit")
+        load = asked.groupBy("_p").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("_q"))
+        asked = asked.join(load, "_p").withColumn("_part", F.pmod(F.xxhash64(F.lit(43), id_col), F.col("_q"))) \
+            .withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)))
+        held = dealt.join(load, "_p").withColumn("_block", F.pmod(F.xxhash64(id_col), n_blocks)) \
+            .withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_q") - 1)))
+        unit = F.xxhash64("_p", "_block", "_part").alias("_unit")
+        keep = [id_col, "_num", "_cat", "_freq"]
+        both = held.select(unit, *keep, target, F.lit(False).alias("_ask")).unionByName(
+            asked.select(unit, *keep, F.lit(None).cast(kinds[target]).alias(target), F.lit(True).alias("_ask")))
+
+        def compare(frames):
+            for pdf in groups(frames, "_unit"):
+                ask = pdf["_ask"].to_numpy(bool)
+                if ask.all() or not ask.any():
+                    continue
+                has, wants = pdf[~ask], pdf[ask]
+                x, q = _arrays(has), _arrays(wants)
+                ids, t = has[id_col].to_numpy(), has[target].to_numpy()
+                parts = []
+                for i, own in enumerate(wants[id_col].to_numpy()):
+                    d = distance(tuple(a[i] for a in q), x)
+                    order = np.lexsort((ids, d))[:k + 1]
+                    order = order[ids[order] != own][:k]
+                    parts.append(pd.DataFrame({id_col: own, "_j": ids[order], "_t": t[order], "_dist": d[order]}))
+                yield pd.concat(parts, ignore_index=True)
+        ordered = both.repartition("_unit").sortWithinPartitions("_unit")
+        return ordered.mapInPandas(compare, f"{id_col} {kinds[id_col]}, _j {kinds[id_col]}, _t {kinds[target]}, _dist double")
+
+    queries = rows.filter(F.col(target).isNull()).select(id_col, "_num", "_cat", "_freq")
+    at_first = cut_lineage(queries.mapInPandas(first, query))
+    near = cut_lineage(search(at_first))
+    nearest = Window.partitionBy(id_col).orderBy("_dist", "_j")
+    bound = (near.withColumn("_r", F.row_number().over(nearest)).filter(F.col("_r") == k)
+             .select(id_col, F.col("_dist").alias("_bound")))
+    rest = at_first.drop("_bound").join(bound, id_col, "left").select(*at_first.columns)
+    both = near.unionByName(search(rest.mapInPandas(second, query)))
+    return cut_lineage(both.withColumn("_r", F.row_number().over(nearest)).filter(F.col("_r") <= k).drop("_r"))
+
+
 def relative_frequency(df: DataFrame, col: str, alias: str | None = None) -> DataFrame:
     """Share of rows holding each value of ``col``: value, frequency.
 
