@@ -27,6 +27,7 @@ from airlattice.llm.common import Scratch, groups, small_batches
 
 ARCHIVE_BYTES = 16 << 20       # payload of an archive on average
 ARCHIVE_MOST = 512 << 20       # and at most (a single larger payload apart)
+SHARED_ROWS = 200_000          # shared payloads of some 60 bytes each sent to every task; above, a shuffle join
 RANGE_ROWS = 50_000            # index lines merged in one task
 PER_RANGE = 32                 # sampled lines per range for its borders
 INDEX = ("url_key string, captured timestamp, archive string, offset long, length long, page_id long, "
@@ -44,16 +45,20 @@ def base32_sha1(data):
     return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def records(captures: DataFrame, min_bytes: int = 0) -> DataFrame:
+def records(captures: DataFrame, scratch: Scratch, min_bytes: int = 0) -> DataFrame:
     """(id, url, captured, payload) -> plus digest, record_type, refers_to.
 
-    The smallest id per payload is found by a grouped minimum and joined back; a payload held by
-    very many captures is combined before the shuffle and split by the skew join after it.
+    Only payloads that several captures hold are looked up: their smallest id is a grouped minimum,
+    combined before the shuffle. While those are few the payloads themselves are not shuffled;
+    otherwise they are joined by digest, where the skew join splits a very common one.
     """
     body = captures.select("id", "url", F.coalesce("captured", F.timestamp_seconds(F.lit(0))).alias("captured"),
                            F.coalesce(F.col("payload").cast("binary"), F.lit(b"")).alias("payload")) \
         .withColumn("bytes", F.length("payload").cast("long")).withColumn("digest", base32_sha1(F.col("payload")))
-    first = body.where(F.col("bytes") >= min_bytes).groupBy("digest", "bytes").agg(F.min("id").alias("first"))
+    first = scratch.save(body.where(F.col("bytes") >= min_bytes).groupBy("digest", "bytes").agg(
+        F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "shared-payloads")
+    if first.count() <= SHARED_ROWS:
+        first = F.broadcast(first)
     revisit = (F.col("bytes") >= min_bytes) & F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
     return (body.join(first, ["digest", "bytes"], "left")
             .withColumn("record_type", F.when(revisit, "revisit").otherwise("response"))
@@ -256,6 +261,6 @@ def capture_history(captures: DataFrame, scratch: Scratch, *, min_bytes: int = 0
     spark = captures.sparkSession
     small_batches(spark)
     path = scratch.path("archives")
-    write(records(captures, min_bytes), path)
+    write(records(captures, scratch, min_bytes), path)
     runs = scratch.save(read_runs(spark, path), "runs")
     return scratch.save(merge_runs(runs, scratch), "history")
