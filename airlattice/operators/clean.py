@@ -121,6 +121,15 @@ def new_rows(new: DataFrame, old: DataFrame, keys: list[str]) -> DataFrame:
     return unseen(new, old, keys).select(*common_columns(new, old))
 
 
+def reconcile(local: DataFrame, stored: DataFrame, keys: list[str], units: list[str],
+              job: str = "fetch") -> tuple[DataFrame, DataFrame]:
+    """The stored rows that the local copy lacks (by key, null-safe), and an outcome
+    per unit of either side: 'done' if it gains rows, else 'skipped'."""
+    missing = unseen(stored, local, keys)
+    both = local.select(*units).unionByName(stored.select(*units))
+    return missing, outcomes(both, missing, units, job)
+
+
 def merge_snapshots(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
     """Concatenate two copies of a store; per key the second copy's row wins."""
     both = union_sparse(first.withColumn("_src", F.lit(0)), second.withColumn("_src", F.lit(1)))
@@ -210,6 +219,6 @@ def outcomes(raw: DataFrame, appended: DataFrame, keys: list[str], job: str) ->
     the job, not one unit.) Output: job, keys, outcome - ready for ``evaluate.tally``."""
     units = raw.select(*keys).distinct()
     wrote = appended.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    j = units.join(wrote, on=keys, how="left")
-    return j.select(F.lit(job).alias("job"), *keys,
+    j = units.alias("u").join(wrote.alias("w"), [F.col(f"u.{k}").eqNullSafe(F.col(f"w.{k}")) for k in keys], "left")
+    return j.select(F.lit(job).alias("job"), *[F.col(f"u.{k}") for k in keys],
                     F.when(F.col("_n") > 0, "done").otherwise("skipped").alias("outcome"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from airlattice.constants import FORECAST_STEPS
+from airlattice.session import cut_lineage
 
 
 def non_negative(c) -> Column:
@@ -55,14 +56,21 @@ def direct_labels(df: DataFrame, keys: list[str], ts: str, value: str, steps: in
     return df.withColumns({f"label_{h}": F.lead(value, h).over(w) for h in range(1, steps + 1)})
 
 
-def publish(spark, forecasts: DataFrame, path: str, keys: list[str]) -> DataFrame:
+def publish(spark, forecasts: DataFrame, path: str, keys: list[str], partition_by: list[str] | None = None,
+            order=None) -> DataFrame:
     """Upsert the newest forecast per key into the predictions store (replace
-    semantics) and return what was written. Published after computing (the reference
-    publishes the previous run's file first)."""
+    semantics) and return the store. Published after computing (the reference publishes
+    the previous run's file first).
+
+    With ``partition_by`` (part of the key) only the partitions the forecasts touch are
+    read and rewritten; the others stay as they are, also if the run is cut off."""
     from airlattice.sources import store
 
     stored = store.read_store(spark, path)
-    merged = forecasts if stored is None else store.upsert(stored, forecasts, keys, "replace")
-    merged = merged.checkpoint()  # materialise before overwriting the folder it was read from
-    merged.write.mode("overwrite").parquet(path)
-    return merged
+    if stored is not None:
+        near = store.same_partitions(stored, forecasts, partition_by) if partition_by else stored
+        forecasts = cut_lineage(store.upsert(near, forecasts, keys, "replace", order))  # read before it is overwritten
+    else:
+        forecasts = store.newest(forecasts, keys, order)
+    store.overwrite(forecasts, path, partition_by)
+    return spark.read.parquet(path)

@@ -114,6 +114,15 @@ def feature_frame(series: DataFrame, keys: list[str], ts: str, value: str, lags:
     return df, cols
 
 
+def project(frame: DataFrame, features: list[str], keep: list[str]) -> DataFrame:
+    """The saved feature list of a model, in its order, beside the ``keep`` columns.
+    A feature the frame does not have is an error, as the model cannot do without it."""
+    lacking = [c for c in features if c not in frame.columns]
+    if lacking:
+        raise ValueError(f"the frame lacks the saved features {lacking}")
+    return frame.select(*keep, *features)
+
+
 def train_best(frame: DataFrame, feature_cols: list[str], keys: list[str], ts: str,
                families: list[str], draws: int = SEARCH_DRAWS, folds: int = SEARCH_FOLDS) -> TrainResult:
     """Split each series chronologically, tune and fit every family on the

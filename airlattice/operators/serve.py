@@ -70,6 +70,18 @@ def between(df: DataFrame, start_epoch: int, end_epoch: int, ts_col: str = "ts")
     return df.filter((F.col(ts_col) >= lo) & (F.col(ts_col) <= hi))
 
 
+def city_view(cities: DataFrame, sensors: DataFrame, forecast: DataFrame) -> DataFrame:
+    """City -> its sensors -> their forecast (pollutant, ts, value in that order), nested;
+    a sensor without a forecast has an empty list. A list holds one sensor's horizon, and
+    a city's list its sensors: what the view serves."""
+    rows = forecast.groupBy("sensor_id").agg(F.array_sort(F.collect_list(F.struct("pollutant", "ts", "value"))).alias("forecast"))
+    empty = F.array().cast(rows.schema["forecast"].dataType)
+    with_rows = sensors.select("sensor_id", "city_key").join(rows, "sensor_id", "left")
+    per_city = with_rows.groupBy("city_key").agg(F.array_sort(F.collect_list(
+        F.struct("sensor_id", F.coalesce("forecast", empty).alias("forecast")))).alias("sensors"))
+    return cities.join(per_city, "city_key").select(*cities.columns, "sensors")
+
+
 def available_pollutants(long: DataFrame, keys: list[str], spark) -> DataFrame:
     """P10: (display name, column) of each pollutant a series has any value for."""
     names = spark.createDataFrame(list(POLLUTANTS.items()), "pollutant string, name string")

@@ -124,15 +124,20 @@ SELECT sensor_id, pollutant,
 FROM j
 """)
 def fresh_or_stored(spark, sf_dir):
+    return served(spark, sf_dir).select(
+        *K, "source", F.size("data").cast("int").alias("n_points"),
+        F.col("data")[0]["ts"].alias("first_ts"), F.col("data")[0]["value"].alias("first_value"))
+
+
+def served(spark, sf_dir):
+    """The list to serve per series and where it comes from."""
     fresh = _packed(forecast_long(spark, sf_dir))
     old = V.series_long(spark, sf_dir).filter(F.col("ts") < F.lit(STORED_CUT).cast("timestamp"))
     last = FC.last_rows(old, K)
     stored_long = FC.horizon(last).select(*K, "step", "ts", (F.col("value") - F.lit(2.0) * F.col("step")).alias("value"))
     stored = _packed(stored_long)
     next_epoch = 1706662800  # 2024-01-31 01:00:00 UTC
-    r = serve.fresh_or_stored(fresh, stored, K, next_epoch)
-    return r.select(*K, "source", F.size("data").cast("int").alias("n_points"),
-                    F.col("data")[0]["ts"].alias("first_ts"), F.col("data")[0]["value"].alias("first_value"))
+    return serve.fresh_or_stored(fresh, stored, K, next_epoch)
 
 
 @query("city_forecast", f"""

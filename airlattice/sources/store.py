@@ -83,6 +83,14 @@ def insert(df: DataFrame, path: str, partition_by: list[str] | None = None,
     writer.parquet(path)
 
 
+def write_sorted(df: DataFrame, path: str, keys: list[str], order: str, partition_by: list[str] | None = None) -> None:
+    """Rows of a series together and by ``order`` in their file: one shuffle by the
+    series, a sort inside each task, no global sort."""
+    ordered = df.repartition(*(partition_by or []), *keys).sortWithinPartitions(*(partition_by or []), *keys, order)
+    writer = ordered.write.mode("append")
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether ``path`` exists, asked of the path's own Hadoop file system (local,
     HDFS or object store alike)."""
