@@ -31,28 +31,37 @@ class Forest:
 def components(edges: DataFrame, scratch: Scratch, name: str = "labels") -> DataFrame:
     """(a, b) links -> (id, component): the smallest id reachable from each linked id.
 
-    Every round a vertex takes the smallest label among its neighbours and then the label
-    of its label, so a path of length n needs about log n rounds. A label table is written
-    each round; neighbours are never gathered, only their minimum is (combined before the
+    Each round every vertex points to its smallest neighbour (or itself), pointers are followed to
+    their ends, and the links are rewritten to those ends and made distinct; at most half of the
+    vertices are left, so links shrink fast and about log n rounds are enough. Tables are
+    written each round. Neighbours are never gathered, only their minimum is (combined before the
     shuffle), so a vertex with very many links stays cheap. Self links and null ends are
     ignored, repeated links are harmless, and no links give an empty table.
     """
-    e = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")) \
-             .where("a <> b").distinct()
-    both = scratch.save(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))),
-                        f"{name}-links")
-    labels = scratch.save(
-        both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m"))
-            .select("id", F.least("id", "m").alias("component")), name)
+    def tidy(e: DataFrame) -> DataFrame:
+        return e.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    open_ = scratch.save(tidy(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))),
+                         f"{name}-links")
+    labels = None
     while True:
-        near = (both.join(labels.select(F.col("id").alias("b"), "component"), "b")
-                    .groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near")))
-        hooked = labels.join(near, "id").select(
-            "id", F.col("component").alias("before"), F.least("component", "near").alias("component"))
-        jump = labels.select(F.col("id").alias("component"), F.col("component").alias("further"))
-        step = hooked.join(jump, "component", "left").select(
-            "id", "before", F.least("component", F.coalesce("further", "component")).alias("component"))
-        step = scratch.save(step, name)
-        if step.where("component <> before").isEmpty():
-            return step.select("id", "component")
-        labels = step.select("id", "component")
+        ends = open_.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(
+            open_.select(F.col("b").alias("id"), F.col("a").alias("other")))
+        points = scratch.save(ends.groupBy("id").agg(F.min("other").alias("m"))
+                              .select("id", F.least("id", "m").alias("to")), f"{name}-points")
+        while True:
+            onward = points.select(F.col("id").alias("to"), F.col("to").alias("end"))
+            step = points.join(onward, "to").select("id", "to", "end")
+            step = scratch.save(step, f"{name}-points")
+            points = step.select("id", F.col("end").alias("to"))
+            if step.where("to <> end").isEmpty():
+                break
+        labels = points.select("id", F.col("to").alias("component")) if labels is None else labels.join(
+            points.select(F.col("id").alias("component"), "to"), "component", "left").select(
+            "id", F.coalesce("to", "component").alias("component"))
+        labels = scratch.save(labels, name)
+        from_, to_ = (points.select(F.col("id").alias(c), F.col("to").alias(f"{c}_end")) for c in "ab")
+        open_ = scratch.save(tidy(open_.join(from_, "a").join(to_, "b")
+                                  .select(F.col("a_end").alias("a"), F.col("b_end").alias("b"))), f"{name}-links")
+        if open_.isEmpty():
+            return labels
