@@ -174,8 +174,17 @@ def load(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
+@dataclass
+class Coefficients:
+    """A linear model by its numbers; features it does not name count as 0."""
+    intercept: float
+    weights: dict
+
+
 def _linear_terms(model, feat_cols: list[str]):
-    """(intercept, [(column, coefficient)]) of a fitted linear model, else None."""
+    """(intercept, [(column, coefficient)]) of a linear model, else None."""
+    if isinstance(model, Coefficients):
+        return float(model.intercept), [(c, float(model.weights.get(c, 0.0))) for c in feat_cols]
     if isinstance(model, LinearRegressionModel):
         return float(model.intercept), list(zip(feat_cols, map(float, model.coefficients.toArray())))
     return None

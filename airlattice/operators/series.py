@@ -200,7 +200,8 @@ def pacf(acov: DataFrame, keys: list[str], max_lag: int) -> DataFrame:
 def selected_lags(pacf_df: DataFrame, keys: list[str], threshold: float) -> DataFrame:
     """Lags k >= 1 whose |PACF(k)| >= threshold, per series (array column ``lags``)."""
     idx = F.filter(F.sequence(F.lit(1), F.greatest(F.size("pacf") - 1, F.lit(1))),
-                   lambda k: (F.size("pacf") > k) & (F.abs(F.element_at("pacf", k + 1)) >= threshold))
+                   lambda k: (F.size("pacf") > k) & ~F.isnan(F.element_at("pacf", k + 1))
+                   & (F.abs(F.element_at("pacf", k + 1)) >= threshold))
     return pacf_df.select(*keys, idx.alias("lags"))
 
 

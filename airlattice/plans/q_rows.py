@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from airlattice.constants import PACF_THRESHOLD, TRAIN_LAGS
+from airlattice.constants import FORECAST_LAGS, FORECAST_STEPS
 from airlattice.operators import model as M
 from airlattice.operators import select as SEL
 from airlattice.operators import series as S
@@ -25,13 +25,6 @@ def scratch(spark, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-@query("pacf_lags")
-def pacf_lags(spark, sf_dir):
-    """A7 + W1 + M3: PACF-selected lag features per network series."""
-    lf = S.lag_features(V.network_series(spark, sf_dir), ["pollutant"], "ts", "value", TRAIN_LAGS, PACF_THRESHOLD)
-    return lf.select("pollutant", "ts", "value", "lags", *[f"lag_{k}" for k in range(1, TRAIN_LAGS + 1)])
-
-
 @query("backward_elimination")
 def backward_elimination(spark, sf_dir):
     """M6 + M7 per network series: candidate features lags 1-6 and hour encodings."""
@@ -77,6 +70,34 @@ def recursive_forecast(spark, sf_dir):
                                 {"pollutant": POLLUTANT_VALUES})
 
 
+# Fixed coefficients over the full feature set, so that SQL can follow the recursion.
+FIXED = {"lag_1": 0.55, "lag_2": 0.1, "lag_24": 0.25, "hour_cos": 1.5, "hour_sin": -0.75, "dow_cos": 0.25, "dow_sin": 0.5}
+_LAGGED = " + ".join(f"{c!r} * h[{FORECAST_LAGS + 1 - int(f[4:])}]" for f, c in FIXED.items() if f.startswith("lag_"))
+_CLOCK = " + ".join(f"{FIXED[f'{n}_{g}']!r} * {g}(2.0 * pi() * ({part}) / {m})" for n, part, m in (
+    ("hour", "hour(t)", 24.0), ("dow", "isodow(t) - 1", 7.0)) for g in ("cos", "sin"))
+
+
+@query("recursive_linear", f"""
+WITH RECURSIVE n AS ({V.SQL_SERIES_LONG} UNION ALL SELECT -1, pollutant, ts, value FROM ({V.SQL_NETWORK_SERIES}) w),
+q AS (SELECT *, row_number() OVER (PARTITION BY sensor_id, pollutant ORDER BY ts DESC) AS back FROM n),
+b AS (SELECT sensor_id, pollutant, max(ts) AS t0, list(value ORDER BY ts) AS v FROM q WHERE back <= {FORECAST_LAGS} GROUP BY ALL),
+r AS (
+  SELECT sensor_id, pollutant, t0, 0 AS step,
+         CASE WHEN len(v) = {FORECAST_LAGS} THEN v ELSE list_transform(range({FORECAST_LAGS}), lambda i: CAST(NULL AS DOUBLE)) END AS h, CAST(NULL AS DOUBLE) AS p FROM b
+  UNION ALL
+  SELECT sensor_id, pollutant, t0, step + 1, list_append(h[2:], p1), p1
+  FROM (SELECT *, 2.5 + {_LAGGED} + {_CLOCK} AS p1 FROM (SELECT *, t0 + (step + 1) * INTERVAL 1 HOUR AS t FROM r WHERE step < {FORECAST_STEPS}) x) y)
+SELECT sensor_id, pollutant, step, t0 + step * INTERVAL 1 HOUR AS ts, round(CASE WHEN p >= 0 THEN p END, 6) AS value FROM r WHERE step > 1
+""")
+def recursive_linear(spark, sf_dir):
+    """M13 with 25 lags and given coefficients: every sensor's series (most are shorter than the lags and
+    get null steps) and, as sensor -1, the network's."""
+    network = V.network_series(spark, sf_dir).select(F.lit(-1).cast("long").alias("sensor_id"), "pollutant", "ts", "value")
+    long = V.series_long(spark, sf_dir).select("sensor_id", "pollutant", "ts", "value").unionByName(network)
+    out = M.recursive_forecast(spark, long, M.Coefficients(2.5, FIXED), ["sensor_id", "pollutant"], "ts", "value", FORECAST_LAGS)
+    return out.withColumn("value", F.round("value", 6)).withColumn("step", F.col("step").cast("int"))
+
+
 @query("backfill_files")
 def backfill_files(spark, sf_dir):
     """S8 + S6: hourly readings dropped as CSV files per collection and city (a folder per

@@ -6,7 +6,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
 
-from airlattice.constants import LOOKBACK_WEEKS
+from airlattice.constants import LOOKBACK_WEEKS, PACF_THRESHOLD, TAIL_ROWS, TRAIN_LAGS
 from airlattice.functions.stats import sql_exact_avg
 from airlattice.operators import series as S
 from airlattice.plans import views as V
@@ -15,7 +15,7 @@ from airlattice.plans.registry import query
 K = ["sensor_id", "pollutant"]
 AS_OF = "2024-01-20 12:00:00"
 LOOKBACK_AS_OF = "2024-01-25 00:00:00"
-L = 24
+L = TRAIN_LAGS
 
 
 def _epoch(text: str) -> int:
@@ -51,11 +51,11 @@ def lookback_window(spark, sf_dir):
 
 
 @query("lag_features", f"""
-SELECT pollutant, ts, value, {", ".join(f"lag(value, {k}) OVER (PARTITION BY pollutant ORDER BY ts) AS lag_{k}" for k in range(1, L + 1))}
-FROM ({V.SQL_NETWORK_SERIES}) n
+SELECT sensor_id, pollutant, ts, value, {", ".join(f"lag(value, {k}) OVER (PARTITION BY sensor_id, pollutant ORDER BY ts) AS lag_{k}" for k in range(1, L + 1))}
+FROM ({V.SQL_SERIES_LONG}) n
 """)
 def lag_features(spark, sf_dir):
-    return S.lags(V.network_series(spark, sf_dir), ["pollutant"], "ts", "value", L)
+    return S.lags(V.series_long(spark, sf_dir), K, "ts", "value", L)
 
 
 @query("lead_align", f"""
@@ -73,11 +73,11 @@ def lead_align(spark, sf_dir):
 
 @query("tail_n", f"""
 SELECT sensor_id, pollutant, ts, value FROM (
-  SELECT *, row_number() OVER (PARTITION BY pollutant ORDER BY ts DESC) AS rn FROM ({V.SQL_NETWORK_SERIES}) n) t
-WHERE rn <= 51
-""".replace("SELECT sensor_id, pollutant", "SELECT pollutant"))
+  SELECT *, row_number() OVER (PARTITION BY sensor_id, pollutant ORDER BY ts DESC) AS rn FROM ({V.SQL_SERIES_LONG}) n) t
+WHERE rn <= {TAIL_ROWS}
+""")
 def tail_n(spark, sf_dir):
-    return S.tail(V.network_series(spark, sf_dir), ["pollutant"], "ts", 51)
+    return S.tail(V.series_long(spark, sf_dir), K, "ts", TAIL_ROWS)
 
 
 @query("chrono_split", f"""
@@ -90,20 +90,61 @@ def chrono_split(spark, sf_dir):
     return S.chrono_split(V.series_long(spark, sf_dir), K, "ts")
 
 
-@query("autocovariance", f"""
-WITH n AS ({V.SQL_NETWORK_SERIES}),
-m AS (SELECT pollutant, {sql_exact_avg('value', 6)} AS mu, count(value) AS cnt FROM n GROUP BY pollutant),
-d AS (SELECT n.pollutant, ts, value - mu AS d, cnt FROM n JOIN m ON n.pollutant = m.pollutant),
-l AS (SELECT pollutant, cnt, d, {", ".join(f"lag(d, {k}) OVER (PARTITION BY pollutant ORDER BY ts) AS l{k}" for k in range(1, L + 1))} FROM d),
-s AS (SELECT pollutant, any_value(cnt) AS cnt, sum(d * d) AS s0, {", ".join(f"sum(d * l{k}) AS s{k}" for k in range(1, L + 1))}
-      FROM l GROUP BY pollutant)
-SELECT pollutant, k, round(r, 6) AS r_k FROM (
-  {" UNION ALL ".join(f"SELECT pollutant, {k} AS k, coalesce(s{k}, 0.0) / (cnt - {k}) AS r FROM s" for k in range(0, L + 1))}) u
-""")
+SQL_ACOV = f"""
+n AS ({V.SQL_SERIES_LONG}),
+m AS (SELECT sensor_id, pollutant, {sql_exact_avg('value', 6)} AS mu, count(value) AS cnt FROM n GROUP BY ALL),
+d AS (SELECT n.sensor_id, n.pollutant, ts, value - mu AS d, cnt FROM n JOIN m ON n.sensor_id = m.sensor_id AND n.pollutant = m.pollutant),
+l AS (SELECT sensor_id, pollutant, cnt, ts, d, {", ".join(f"lag(d, {k}) OVER (PARTITION BY sensor_id, pollutant ORDER BY ts) AS l{k}" for k in range(1, L + 1))} FROM d),
+s AS (SELECT sensor_id, pollutant, any_value(cnt) AS cnt, sum(d * d ORDER BY ts) AS s0, {", ".join(f"sum(d * l{k} ORDER BY ts) AS s{k}" for k in range(1, L + 1))}
+      FROM l GROUP BY ALL),
+acov AS ({" UNION ALL ".join(f"SELECT sensor_id, pollutant, cnt, {k} AS k, CASE WHEN cnt > {k} THEN coalesce(s{k}, 0.0) / (cnt - {k}) END AS r FROM s" for k in range(0, L + 1))})
+"""
+
+
+@query("autocovariance", f"WITH {SQL_ACOV} SELECT sensor_id, pollutant, k, round(r + 1e-8, 6) AS r_k FROM acov")
 def autocovariance(spark, sf_dir):
-    a = S.autocov(V.network_series(spark, sf_dir), ["pollutant"], "ts", "value", L)
-    e = a.select("pollutant", F.posexplode("acov").alias("k", "r"))
-    return e.select("pollutant", F.col("k").cast("int").alias("k"), F.round("r", 6).alias("r_k"))
+    a = S.autocov(V.series_long(spark, sf_dir), K, "ts", "value", L)
+    e = a.select(*K, F.posexplode("acov").alias("k", "r"))
+    return e.select(*K, F.col("k").cast("int").alias("k"), F.round(F.col("r") + 1e-8, 6).alias("r_k"))
+
+
+# Durbin-Levinson over lists: one row per series and lag, phi holds the coefficients so far.
+SQL_PACF = f"""
+RECURSIVE {SQL_ACOV.strip()},
+a AS (SELECT sensor_id, pollutant, list(r ORDER BY k) AS r, any_value(CASE WHEN {L} < cnt // 2 THEN {L} ELSE cnt // 2 - 1 END) AS lags
+      FROM acov GROUP BY ALL),
+t AS (
+  SELECT sensor_id, pollutant, r, lags, 0 AS k, CAST([] AS DOUBLE[]) AS phi, CAST(1.0 AS DOUBLE) AS p FROM a
+  UNION ALL
+  SELECT sensor_id, pollutant, r, lags, k + 1,
+         list_append(list_transform(range(1, k + 1), lambda j: phi[j] - kk * phi[k + 1 - j]), kk), kk
+  FROM (SELECT *, CASE WHEN r[1] = 0 OR r[1] - den = 0 THEN CAST('nan' AS DOUBLE) ELSE (r[k + 2] - num) / (r[1] - den) END AS kk
+        FROM (SELECT *, coalesce(list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * r[k + 2 - j])), 0.0) AS num,
+                     coalesce(list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * r[j + 1])), 0.0) AS den
+              FROM t WHERE k < lags) x) y)
+"""
+
+
+@query("pacf_values", f"WITH {SQL_PACF} SELECT sensor_id, pollutant, k, round(p, 5) AS pacf FROM t")
+def pacf_values(spark, sf_dir):
+    """Partial autocorrelations per sensor and pollutant, as many as the series allows."""
+    a = S.autocov(V.series_long(spark, sf_dir), K, "ts", "value", L)
+    e = S.pacf(a, K, L).select(*K, F.posexplode("pacf").alias("k", "p"))
+    return e.select(*K, F.col("k").cast("int").alias("k"), F.round("p", 5).alias("pacf"))
+
+
+@query("pacf_lags", f"""
+WITH {SQL_PACF},
+sel AS (SELECT sensor_id, pollutant, list(k ORDER BY k) FILTER (WHERE k >= 1 AND NOT isnan(p) AND abs(p) >= {PACF_THRESHOLD}) AS lags FROM t GROUP BY ALL)
+SELECT n.sensor_id, n.pollutant, ts, value, coalesce(list_aggregate(sel.lags, 'string_agg', ','), '') AS lags,
+  {", ".join(f"CASE WHEN list_contains(sel.lags, {k}) THEN lag(value, {k}) OVER (PARTITION BY n.sensor_id, n.pollutant ORDER BY ts) END AS lag_{k}" for k in range(1, L + 1))}
+FROM n JOIN sel ON sel.sensor_id = n.sensor_id AND sel.pollutant = n.pollutant
+""")
+def pacf_lags(spark, sf_dir):
+    """A7 + W1 + M3: PACF-selected lag features per sensor and pollutant."""
+    lf = S.lag_features(V.series_long(spark, sf_dir), K, "ts", "value", L, PACF_THRESHOLD)
+    return lf.select(*K, "ts", "value", F.concat_ws(",", F.col("lags").cast("array<string>")).alias("lags"),
+                     *[f"lag_{k}" for k in range(1, L + 1)])
 
 
 def _scale_sql(kind: str) -> str:
