@@ -103,10 +103,11 @@ RENAMES = {
 }
 
 # Columns dropped after renaming: any name containing this text, plus the list below.
+# --- Fixed values: columns that are dropped ------------------------------------------
 DROP_CONTAINING = "weather"
 DROP_COLUMNS = ["precipProbability", "precipType", "ozone", "co2"]
 
-# Columns never coerced / mean-filled in the cleaning pipeline.
+# --- Fixed values: columns never coerced / mean-filled in the cleaning pipeline --------
 NON_NUMERIC = ["aqi", "icon", "precipType", "summary"]
 
 # --- Fixed values: supported countries ----------------------------------------------
@@ -164,11 +165,6 @@ DAYS_IN_MONTH = 30
 QUARTERS_IN_YEAR = 4
 
 # --- Fixed values: modelling and serving constants -----------------------------------
-REGRESSION_MODELS = {
-    "LightGBMRegressionModel": "LightGBM",
-    "RandomForestRegressionModel": "Random Forest",
-    "XGBoostRegressionModel": "XGBoost",
-}
 EARTH_RADIUS_KM = 6371.0088
 NEAREST_RADIUS_KM = 2.0
 PACF_THRESHOLD = 0.2
@@ -179,7 +175,6 @@ TAIL_ROWS = 51
 TRAIN_FRACTION = 0.75
 SIGNIFICANCE_LEVEL = 0.05
 MODEL_LIFETIME_SECONDS = 7_889_400
-LOCK_SECONDS = 3_600
 HISTORY_SPAN_SECONDS = 604_800
 LOOKBACK_WEEKS = 52
 SEARCH_DRAWS = 50

@@ -29,8 +29,8 @@ from airlattice.operators.forecast import non_negative
 from airlattice.operators.series import chrono_split
 from airlattice.session import cut_lineage
 
-# model families by name; the two gradient-boosting families of the reference
-# both map to Spark's GBT with their own grids. Unknown names raise KeyError.
+# model families by name; the two gradient-boosting families of the reference both map to
+# Spark's GBT, tuned over grids of their own (``grid``). Unknown names raise KeyError.
 FAMILIES = {
     "Linear": LinearRegression,
     "DecisionTree": DecisionTreeRegressor,
@@ -40,6 +40,18 @@ FAMILIES = {
 }
 
 
+# Every grid has more points than a search draws (50), so no draw is lost.
+GRIDS = {
+    "Linear": {"regParam": [0.0, 1e-4, 1e-3, 0.01, 0.03, 0.1, 0.3, 1.0, 3.0, 10.0, 30.0], "elasticNetParam": [0.0, 0.25, 0.5, 0.75, 1.0]},
+    "DecisionTree": {"maxDepth": [2, 3, 4, 5, 6, 8, 10, 12], "minInstancesPerNode": [1, 2, 5, 10, 20, 50, 100]},
+    "RandomForest": {"numTrees": [100, 300, 500], "maxDepth": [4, 6, 8, 10], "minInstancesPerNode": [1, 2, 5],
+                     "featureSubsetStrategy": ["onethird", "sqrt"]},
+    # shallow, slow learners with sampled rows, and deeper ones that prune by gain
+    "LightGBM": {"maxIter": [100, 300, 500], "maxDepth": [3, 4, 5], "stepSize": [0.01, 0.05, 0.1], "subsamplingRate": [0.6, 0.8]},
+    "XGBoost": {"maxIter": [100, 300, 500], "maxDepth": [6, 8, 10], "stepSize": [0.1, 0.2, 0.3], "minInfoGain": [0.0, 0.1]},
+}
+
+
 def make(name: str, features: str = "features", label: str = "label"):
     """M9: an estimator of the named family."""
     cls = FAMILIES[name]
@@ -54,14 +66,8 @@ def make(name: str, features: str = "features", label: str = "label"):
 def grid(name: str, est) -> list:
     """M9: the parameter grid of a family."""
     g = ParamGridBuilder()
-    if name == "Linear":
-        g = g.addGrid(est.regParam, [0.0, 0.01, 0.1]).addGrid(est.elasticNetParam, [0.0, 0.5])
-    elif name == "DecisionTree":
-        g = g.addGrid(est.maxDepth, [3, 5, 8]).addGrid(est.minInstancesPerNode, [1, 5])
-    elif name == "RandomForest":
-        g = g.addGrid(est.numTrees, [10, 20, 50]).addGrid(est.maxDepth, [3, 5, 8])
-    else:
-        g = g.addGrid(est.maxIter, [10, 20]).addGrid(est.maxDepth, [3, 4]).addGrid(est.stepSize, [0.1, 0.2])
+    for param, values in GRIDS[name].items():
+        g = g.addGrid(est.getParam(param), values)
     return g.build()
 
 
@@ -153,6 +159,8 @@ def train_best(frame: DataFrame, feature_cols: list[str], keys: list[str], ts: s
     refit = make(best_name).fit(asm.transform(frame), models[best_name][1])
     models["_best"] = PipelineModel(stages=[asm, refit])
     models["_best_raw"] = refit
+    errors = cut_lineage(errors)   # read while the predictions are still cached
+    pred.unpersist()
     data.unpersist()
     return TrainResult(errors=errors, models=models, best=best_name)
 

@@ -195,11 +195,11 @@ def _gram_terms():
 
 
 @query("gram_sums", f"""
-WITH l AS (SELECT pollutant, ts, value, {", ".join(f"lag(value, {k}) OVER (PARTITION BY pollutant ORDER BY ts) AS lag_{k}" for k in (1, 2, 3))}
-           FROM ({V.SQL_NETWORK_SERIES}) n)
-SELECT pollutant, {", ".join(f"{e} AS {n}" for n, e in _gram_terms())}
-FROM l WHERE lag_1 IS NOT NULL AND lag_2 IS NOT NULL AND lag_3 IS NOT NULL GROUP BY pollutant
+WITH l AS (SELECT sensor_id, pollutant, ts, value, {", ".join(f"lag(value, {k}) OVER (PARTITION BY sensor_id, pollutant ORDER BY ts) AS lag_{k}" for k in (1, 2, 3))}
+           FROM ({V.SQL_SERIES_LONG}) n)
+SELECT sensor_id, pollutant, {", ".join(f"{e} AS {n}" for n, e in _gram_terms())}
+FROM l WHERE lag_1 IS NOT NULL AND lag_2 IS NOT NULL AND lag_3 IS NOT NULL GROUP BY sensor_id, pollutant
 """)
 def gram_sums(spark, sf_dir):
-    l = S.lags(V.network_series(spark, sf_dir), ["pollutant"], "ts", "value", 3)
-    return S.gram_sums(l, ["pollutant"], _X, "value", scale=6, digits=4)
+    l = S.lags(V.series_long(spark, sf_dir), K, "ts", "value", 3)
+    return S.gram_sums(l, K, _X, "value", scale=6, digits=4)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from airlattice.constants import COUNTRY_ZONES, POLLUTANTS
+from airlattice.constants import COUNTRY_ZONES, FORECAST_STEPS, POLLUTANTS
 from airlattice.functions.aqi import aqi, sub_index_sql
 from airlattice.operators import forecast as FC
 from airlattice.operators import serve
@@ -185,8 +185,8 @@ def available_pollutants(spark, sf_dir):
 
 
 @query("direct_horizon_labels", f"""
-SELECT pollutant, ts, value, {", ".join(f"lead(value, {h}) OVER (PARTITION BY pollutant ORDER BY ts) AS label_{h}" for h in range(1, 25))}
-FROM ({V.SQL_NETWORK_SERIES}) n
+SELECT sensor_id, pollutant, ts, value, {", ".join(f"lead(value, {h}) OVER (PARTITION BY sensor_id, pollutant ORDER BY ts) AS label_{h}" for h in range(1, 25))}
+FROM ({V.SQL_SERIES_LONG}) n
 """)
 def direct_horizon_labels(spark, sf_dir):
-    return FC.direct_labels(V.network_series(spark, sf_dir), ["pollutant"], "ts", "value", 24)
+    return FC.direct_labels(V.series_long(spark, sf_dir), K, "ts", "value", FORECAST_STEPS - 1)
