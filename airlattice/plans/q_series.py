@@ -203,3 +203,36 @@ FROM l WHERE lag_1 IS NOT NULL AND lag_2 IS NOT NULL AND lag_3 IS NOT NULL GROUP
 def gram_sums(spark, sf_dir):
     l = S.lags(V.series_long(spark, sf_dir), K, "ts", "value", 3)
     return S.gram_sums(l, K, _X, "value", scale=6, digits=4)
+
+
+_FRAME_LAGS = ", ".join(f"round((CASE WHEN list_contains(sel.lags, {k}) THEN lag(value, {k}) OVER w END - va) / CASE WHEN vb = 0 THEN 1.0 ELSE vb END, 9) + 0.0 AS lag_{k}"
+                        for k in range(1, L + 1))
+
+
+@query("training_frame", f"""
+WITH {SQL_PACF},
+sel AS (SELECT sensor_id, pollutant, list(k ORDER BY k) FILTER (WHERE k >= 1 AND NOT isnan(p) AND abs(p) >= {PACF_THRESHOLD}) AS lags FROM t GROUP BY ALL),
+wx AS (SELECT user_id AS sensor_id, date_trunc('hour', ts) AS ts,
+              CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS DOUBLE) / count(*) AS temp FROM events GROUP BY 1, 2),
+x AS (SELECT n.*, wx.temp, row_number() OVER v <= floor(count(*) OVER (PARTITION BY n.sensor_id, n.pollutant) * 0.75) AS is_train
+      FROM n LEFT JOIN wx ON wx.sensor_id = n.sensor_id AND n.ts = wx.ts + INTERVAL 1 HOUR WHERE n.ts <= TIMESTAMP '{AS_OF}'
+      WINDOW v AS (PARTITION BY n.sensor_id, n.pollutant ORDER BY n.ts)),
+st AS (SELECT sensor_id, pollutant, min(value) AS va, max(value) - min(value) AS vb, min(temp) AS ta, max(temp) - min(temp) AS tb
+       FROM x WHERE is_train GROUP BY ALL)
+SELECT x.sensor_id, x.pollutant, ts, value AS label, is_train, {_FRAME_LAGS},
+       round((temp - ta) / CASE WHEN tb = 0 THEN 1.0 ELSE tb END, 9) + 0.0 AS temp,
+       round(cos(2 * pi() * hour(ts) / 24.0), 9) + 0.0 AS hour_cos, round(sin(2 * pi() * hour(ts) / 24.0), 9) + 0.0 AS hour_sin,
+       round(cos(2 * pi() * (isodow(ts) - 1) / 7.0), 9) + 0.0 AS day_of_week_cos
+FROM x JOIN sel ON sel.sensor_id = x.sensor_id AND sel.pollutant = x.pollutant
+LEFT JOIN st ON st.sensor_id = x.sensor_id AND st.pollutant = x.pollutant
+WINDOW w AS (PARTITION BY x.sensor_id, x.pollutant ORDER BY ts)
+""".replace(f"n AS ({V.SQL_SERIES_LONG})", f"n AS (SELECT * FROM ({V.SQL_SERIES_LONG}) s0 WHERE ts <= TIMESTAMP '{AS_OF}')"))
+def training_frame(spark, sf_dir):
+    """M8: PACF lags, weather of the hour before, time features, split, scaling by training rows, cut at as_of."""
+    from airlattice.operators.frame import training_frame as build
+    from airlattice.plans.q_serve import weather
+    f = build(V.series_long(spark, sf_dir, until=_epoch(AS_OF)), weather(spark, sf_dir), K, "ts", "value", L, PACF_THRESHOLD,
+              weather_keys=["sensor_id"], as_of=AS_OF)
+    lags_ = [c for c in f.features if c.startswith("lag_")]
+    shown = [*lags_, "temp", "hour_cos", "hour_sin", "day_of_week_cos"]
+    return f.rows.select(*K, "ts", "label", "is_train", *[(F.round(c, 9) + F.lit(0.0)).alias(c) for c in shown])
