@@ -18,11 +18,11 @@ ignored.
 
 from __future__ import annotations
 
+import itertools
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -32,8 +32,9 @@ from airlattice.llm.common import Scratch, small_batches, words
 from airlattice.llm.lattice import Vocabulary, marginals, prior
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-HEAVY = 20_000           # words at most that travel to every task
-HELD = 100_000           # distinct words counted in a task before they are handed on
+HEAVY = 200_000          # words at most that travel to every task
+TOGETHER = 32_768        # distinct words evaluated together
+HELD = 250_000           # distinct words counted in a task before they are handed on
 STRENGTH = 50_000.0      # tokens that the vocabulary's own scores count for
 LN10 = float(np.log(10))
 
@@ -41,35 +42,52 @@ LN10 = float(np.log(10))
 def count_words(docs: DataFrame, train: Column) -> DataFrame:
     """(word, c): every distinct word of all texts with its count in training texts."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, int] = {}
+        learned: Counter = Counter()
+        others: set[bytes] = set()
 
         def out() -> pa.RecordBatch:
-            return pa.record_batch([pa.array([w.decode("utf-8", "replace") for w in seen], pa.string()),
-                                    pa.array(list(seen.values()), pa.int64())], names=["word", "c"])
+            more = [w for w in others if w not in learned]
+            return pa.record_batch([
+                pa.array([w.decode("utf-8", "replace") for w in itertools.chain(learned, more)], pa.string()),
+                pa.array(itertools.chain(learned.values(), [0] * len(more)), pa.int64())], names=["word", "c"])
         for batch in batches:
             for text, learn in zip(batch["text"].to_pylist(), batch["learn"].to_pylist()):
-                for w, n in Counter(words(text)).items():
-                    seen[w] = seen.get(w, 0) + (n if learn else 0)
-                if len(seen) > HELD:
-                    yield out()
-                    seen.clear()
+                (learned if learn else others).update(words(text))
+            if len(learned) + len(others) > HELD:
+                yield out()
+                learned.clear()
+                others.clear()
         yield out()
     return (docs.select("text", train.alias("learn")).mapInArrow(work, "word string, c long")
             .groupBy("word").agg(F.sum("c").alias("c")))
 
 
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Larger batches, so that words of one length are many; bounded in rows and bytes."""
+    held, rows, size = [], 0, 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        size += batch.nbytes
+        if rows >= TOGETHER or size >= 64 * TOGETHER:
+            yield pa.concat_batches(held)
+            held, rows, size = [], 0, 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def learn_pieces(lexicon: DataFrame, vocabulary: Vocabulary, ends: int) -> tuple[Vocabulary, float]:
     """Vocabulary with probabilities re-estimated from the training words, and the end's log-probability."""
     pieces, byte_ids, logp = vocabulary.pieces, vocabulary.byte_ids, vocabulary.logp[:-1]
 
-    def expect(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = Vocabulary(pieces, byte_ids, logp)
         expected = np.zeros(len(pieces))
-        for pdf in frames:
-            marginals(pdf["word"], v, pdf["c"].to_numpy(float), expected)
+        for batch in gathered(batches):
+            marginals(batch["word"].to_pylist(), v, batch["c"].to_numpy().astype(float), expected)
         used = np.flatnonzero(expected)
-        yield pd.DataFrame({"piece": used.astype(np.int32), "n": expected[used]})
-    rows = lexicon.where("c > 0").mapInPandas(expect, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+        yield pa.record_batch([pa.array(used, pa.int32()), pa.array(expected[used])], names=["piece", "n"])
+    rows = lexicon.where("c > 0").mapInArrow(expect, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
     expected = np.zeros(len(pieces))       # one number per piece of a fixed vocabulary
     for r in rows:
         expected[r["piece"]] = r["n"]
@@ -94,7 +112,7 @@ def score(docs: DataFrame, held_out: Column, scratch: Scratch, *, vocabulary: st
 
     def value(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Vocabulary(names, byte_ids, logp)
-        for batch in batches:
+        for batch in gathered(batches):
             base = np.log10((batch["c"].to_numpy().astype(float) + 1) / floor)
             lm = marginals(batch["word"].to_pylist(), own) / LN10
             yield pa.record_batch([batch["word"], batch["c"], pa.array(base), pa.array(lm)],
