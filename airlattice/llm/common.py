@@ -1,12 +1,9 @@
-"""Helpers shared by the corpus operators: words, folds, saved tables, sorted groups."""
+"""Helpers shared by the corpus operators: words, folds, saved tables."""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,38 +73,3 @@ class Scratch:
         jvm = self.spark._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def groups(frames: Iterable[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
-    """Frames of one partition, sorted by ``key`` -> one frame per key value.
-
-    Only the rows of the group that is still open are held from batch to batch.
-    """
-    held: list[pd.DataFrame] = []
-    for pdf in frames:
-        if not len(pdf):
-            continue
-        k = pdf[key].to_numpy()
-        cuts = np.flatnonzero(k[1:] != k[:-1]) + 1
-        bounds = [0, *cuts.tolist(), len(pdf)]
-        if held and held[0][key].iloc[0] != k[0]:
-            yield pd.concat(held, ignore_index=True)
-            held = []
-        for start, end in zip(bounds[:-2], bounds[1:-1]):
-            part = pdf.iloc[start:end]
-            if held:
-                part = pd.concat([*held, part], ignore_index=True)
-                held = []
-            yield part
-        held.append(pdf.iloc[bounds[-2]:])
-    if held:
-        yield pd.concat(held, ignore_index=True)
-
-
-def by_key(df: DataFrame, key: str, *order: str) -> DataFrame:
-    """Rows of a key together in one partition, in order: the input ``groups`` expects."""
-    return df.repartition(key).sortWithinPartitions(key, *order)
-
-
-def sizes_for(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -128,7 +128,7 @@ def learn_lexicons(some: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def votes(found: list[tuple[int, int, int]], n_words: int, upper: float, lexicons) -> np.ndarray:
+def votes(found: list[tuple[int, int, int]], n_words: int, shouted: bool, lexicons) -> np.ndarray:
     """The voters' opinions of one text.
 
     Per kind a strict voter (toxic on an entry of high odds, else clean) and a wide one (toxic on any
@@ -145,16 +145,13 @@ def votes(found: list[tuple[int, int, int]], n_words: int, upper: float, lexicon
     most = int(times.max())
     v[-4] = TOXIC if most >= 3 else CLEAN if most == 0 else ABSTAIN
     v[-3] = TOXIC if n_words and most / n_words > 0.02 else CLEAN if most == 0 else ABSTAIN
-    v[-2] = TOXIC if most and upper > 0.5 else ABSTAIN
+    v[-2] = TOXIC if most and shouted else ABSTAIN
     v[-1] = TOXIC if len(found) >= 3 else CLEAN if not found else ABSTAIN
     return v
 
 
-def shouting(text: str | None) -> float:
-    if not text:
-        return 0.0
-    up = sum(map(str.isupper, text[:1])) if len(text) < 2 else 0
-    return 1.0 if text.isupper() else float(up)
+def shouting(text: str | None) -> bool:
+    return bool(text) and text.isupper()
 
 
 def label_model(patterns: np.ndarray, counts: np.ndarray, start: np.ndarray, prior: float,
@@ -192,7 +189,7 @@ def label_model(patterns: np.ndarray, counts: np.ndarray, start: np.ndarray, pri
     return {"prior": prior, "rates": rates, "weight": weight, "posterior": q}
 
 
-def _row(found, n_words: int, upper: float, lexicons, offsets: np.ndarray) -> np.ndarray:
+def _row(found, n_words: int, lexicons, offsets: np.ndarray) -> np.ndarray:
     """Features of the linear classifier: entries present, and four sums that carry over to rare entries."""
     x = np.zeros(int(offsets[-1]) + SHAPE)
     for k, e, _ in found:
@@ -240,7 +237,7 @@ def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch, *, label: str =
     offsets = np.cumsum([0, *[len(h) for h, _ in lexicons]])
     x, y = [], []
     for f, k, t in zip(found, n, texts):
-        x.append(_row(f, int(k), shouting(t), lexicons, offsets).astype(np.float32))
+        x.append(_row(f, int(k), lexicons, offsets).astype(np.float32))
         y.append(belief.get(votes(f, int(k), shouting(t), lexicons).tobytes(), model["prior"]))
     x, y = np.vstack(x).astype(np.float64), np.array(y)
     w = newton_logistic(x, y, ridge=0.3)
@@ -260,7 +257,7 @@ def predict(docs: DataFrame, model: dict | None, *extra: Column) -> DataFrame:
             if model is not None:
                 found, n = hits(texts, lookups)
                 for i, (f, k) in enumerate(zip(found, n)):
-                    z = float(_row(f, int(k), 0.0, lexicons, offsets) @ w[:-1] + w[-1]) if f else float(w[-1])
+                    z = float(_row(f, int(k), lexicons, offsets) @ w[:-1] + w[-1]) if f else float(w[-1])
                     p[i] = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
             out = pdf.drop(columns="text")
             out["score"], out["predicted"] = p, (p >= 0.3).astype(np.int32)
