@@ -145,13 +145,27 @@ def union_sparse(*frames: DataFrame) -> DataFrame:
 def fill_mean(df: DataFrame, keys: list[str], cols: list[str], scale: int | None = None) -> DataFrame:
     """A2: nulls take the mean of their column within the series.
 
-    The mean is an unordered window aggregate over the series' rows: the frame is
-    read once (no second scan for a statistics side) and a window partition holds one
-    series, whose rows are bounded by its hours. ``scale`` makes the mean
-    order-independent (decimal sum), see ``exact_avg``.
+    The means are a grouped aggregate, combined before the shuffle and joined back, so a
+    series with very many rows never lands whole in one task (the skew join splits it).
+    ``scale`` makes the mean order-independent (decimal sum), see ``exact_avg``.
     """
-    w = Window.partitionBy(*keys)
-    return df.withColumns({c: F.coalesce(F.col(c), exact_avg(c, scale, over=w)) for c in cols})
+    stats = df.groupBy(*keys).agg(*[exact_avg(c, scale).alias(f"_mean_{c}") for c in cols])
+    return join_stats(df, stats, keys).withColumns({c: F.coalesce(F.col(c), F.col(f"_mean_{c}")) for c in cols}) \
+        .select(*df.columns)
+
+
+def fill_and_mask(df: DataFrame, keys: list[str], cols: list[str], masked: list[str], scale: int | None = None) -> DataFrame:
+    """A2 then P15 from one grouped aggregate: a filled column is constant exactly when its
+    known values are all equal, so both need only mean, least, largest and row count."""
+    stats = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), *[exact_avg(c, scale).alias(f"_mean_{c}") for c in cols],
+                                  *[(F.min(c) == F.max(c)).alias(f"_same_{c}") for c in masked])
+    out = join_stats(df, stats, keys)
+
+    def value(c: str) -> Column:
+        filled = F.coalesce(F.col(c), F.col(f"_mean_{c}")) if c in cols else F.col(c)
+        constant = (F.col("_rows") > 1) & F.coalesce(F.col(f"_same_{c}"), F.lit(False)) if c in masked else F.lit(False)
+        return F.when(~constant, filled)
+    return out.withColumns({c: value(c) for c in dict.fromkeys([*cols, *masked])}).select(*df.columns)
 
 
 def fill_mode(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
@@ -168,13 +182,14 @@ def fill_mode(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
 
 
 def mask_constant(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
-    """A pollutant column whose sample std is 0 within a series becomes null.
+    """A pollutant column whose sample std is 0 within a series (at least two known
+    values, all equal) becomes null.
 
     (The reference fails the whole unit; we null the column and go on.)
     """
-    w = Window.partitionBy(*keys)
-    return df.withColumns({c: F.when(F.coalesce(F.stddev_samp(c).over(w) != 0, F.lit(True)), F.col(c))
-                           for c in cols})
+    stats = df.groupBy(*keys).agg(*[((F.count(c) > 1) & (F.min(c) == F.max(c))).alias(f"_same_{c}") for c in cols])
+    return join_stats(df, stats, keys).withColumns(
+        {c: F.when(~F.coalesce(F.col(f"_same_{c}"), F.lit(False)), F.col(c)) for c in cols}).select(*df.columns)
 
 
 def with_aqi(df: DataFrame) -> DataFrame:
@@ -205,9 +220,8 @@ def process(raw: DataFrame, processed: DataFrame | None, keys: list[str], time_c
     value_cols = [c for c in df.columns if c not in set(natural + NON_NUMERIC + ["_new"])]
     df = coerce(df, value_cols)
     df = drop_null_rows(df, value_cols, "all")
-    df = fill_mean(df, keys, value_cols, scale)
     pols = [p for p in POLLUTANTS if p != "aqi" and p in df.columns]
-    df = mask_constant(df, keys, pols)
+    df = fill_and_mask(df, keys, value_cols, pols, scale)
     if collection != "weather":
         df = with_aqi(df)
     return df.filter("_new").drop("_new")
