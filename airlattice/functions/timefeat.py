@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from airlattice.constants import DAYS_IN_MONTH, QUARTERS_IN_YEAR, SEASON_CODES, SEASONS, SESSION_LABELS
+from airlattice.session import cut_lineage
 
 
 def _c(x) -> Column:
@@ -119,18 +120,27 @@ def codes(df: DataFrame, cols: list[str]) -> DataFrame:
     """H9: text columns -> 0-based codes in sorted order of their distinct values; null
     -> -1 (pandas category codes).
 
-    ``StringIndexer(stringOrderType='alphabetAsc')``: the fit gathers the distinct
-    labels (bounded by the columns' cardinality), the transform is a map-side lookup
-    with no shuffle.
+    The distinct values are dealt to tasks by range, numbered inside each range, and shifted by
+    the sizes of the ranges before it (one number per task): neither the driver nor one
+    task ever holds all values. The codes are joined back by value.
     """
-    from pyspark.ml.feature import StringIndexer
-
-    outs = [f"_{c}_code" for c in cols]
-    model = StringIndexer(inputCols=cols, outputCols=outs, stringOrderType="alphabetAsc",
-                          handleInvalid="keep").fit(df)
-    out = model.transform(df)
-    return out.withColumns({c: F.when(F.col(c).isNull(), F.lit(-1)).otherwise(F.col(o).cast("int"))
-                            for c, o in zip(cols, outs)}).drop(*outs)
+    out = df
+    for c in cols:
+        codes_of = numbered(df.select(c).where(F.col(c).isNotNull()).distinct(), c, f"_{c}_code")
+        codes_of = codes_of.withColumnRenamed(c, f"_{c}_value")
+        out = out.join(codes_of, F.col(c) == F.col(f"_{c}_value"), "left") \
+                 .withColumn(c, F.coalesce(F.col(f"_{c}_code"), F.lit(-1)).cast("int")).drop(f"_{c}_value", f"_{c}_code")
+    return out
+
+
+def numbered(values: DataFrame, col: str, name: str) -> DataFrame:
+    """Distinct values of one column with their 0-based place in sorted order."""
+    placed = cut_lineage(values.repartitionByRange(col).withColumn("_range", F.spark_partition_id()))
+    sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)    # one row per task
+    shift = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    inside = Window.partitionBy("_range").orderBy(col)
+    return placed.join(shift, "_range").select(col, (F.row_number().over(inside) - 1 + F.col("_shift")).alias(name))
 
 
 def local_time(df: DataFrame, ts: str, zone_col: str) -> Column:

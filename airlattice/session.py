@@ -84,12 +84,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Have the file system that holds ``path`` remove it when the application ends (results
+    that are still lazy may read it until then)."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def cut_lineage(df):
     """Materialise ``df`` as parquet under the shared checkpoint folder and read it back.
 
     One job writes it (a reliable RDD checkpoint would compute the data twice unless
     cached); the returned frame's plan starts at those files, so it survives the loss
-    of any executor and stops the plan from growing in iterative loops.
+    of any executor and stops the plan from growing in iterative loops. The folder is
+    removed when the application ends.
     """
     import uuid
 
@@ -97,4 +105,5 @@ def cut_lineage(df):
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/lineage-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    delete_at_exit(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
