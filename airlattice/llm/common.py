@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airlattice.session import ensure_checkpoint_dir, ship_package
+from airlattice.session import delete_at_exit, ensure_checkpoint_dir, ship_package
 
 # A word is a run of anything but space, tab, newline, vertical tab, form feed and return.
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
@@ -35,7 +35,8 @@ def small_batches(spark: SparkSession) -> None:
 
 
 class Scratch:
-    """Tables written to the shared checkpoint folder; ``drop`` removes those not kept.
+    """Tables written to the shared checkpoint folder; ``drop`` removes those not kept, and what is
+    left goes when the application ends.
 
     A saved table cuts the lineage: it survives the loss of any executor, and whatever
     is read from it later is read the same way again.
@@ -57,6 +58,7 @@ class Scratch:
         old = self.made.get(name)
         path = self.path(name)
         df.write.parquet(path)
+        delete_at_exit(self.spark, path)
         if old:
             self._remove(old)
         return self.spark.read.schema(df.schema).parquet(path)

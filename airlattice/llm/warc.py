@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from airlattice.functions.grouped import groups
 from airlattice.llm.common import Scratch, small_batches
+from airlattice.session import delete_at_exit
 
 ARCHIVE_BYTES = 16 << 20       # payload of an archive on average
 ARCHIVE_MOST = 512 << 20       # and at most (a single larger payload apart)
@@ -263,5 +264,6 @@ def capture_history(captures: DataFrame, scratch: Scratch, *, min_bytes: int = 0
     small_batches(spark)
     path = scratch.path("archives")
     write(records(captures, scratch, min_bytes), path)
+    delete_at_exit(spark, path)
     runs = scratch.save(read_runs(spark, path), "runs")
     return scratch.save(merge_runs(runs, scratch), "history")
