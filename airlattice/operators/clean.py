@@ -205,18 +205,20 @@ def process(raw: DataFrame, processed: DataFrame | None, keys: list[str], time_c
     raw/processed carry the series keys; ``order`` is the ingest order of raw rows (a
     column of ``raw``, not returned): of copies of one reading the last ingested stays.
     Copies with equal order keep the one with the largest values, so the result does
-    not depend on how rows were read. Steps: keep new rows, union stored, rename, drop,
-    trim (W3), coerce, mean-fill, mask constant pollutants, AQI (pollution only), keep
-    only the new rows (marked once by the first step, no second look-up).
+    not depend on how rows were read. Steps: union stored and raw rows (a stored row wins
+    over raw copies of its reading), rename, drop, trim (W3), coerce, mean-fill, mask
+    constant pollutants, AQI (pollution only), keep only the rows that are new (marked at
+    the union: no look-up of the store, before or after).
     """
     natural = keys + [time_col]
     df = raw.withColumnRenamed(order, "_order").withColumn("_new", F.lit(True))
     if processed is not None:
-        df = unseen(df, processed, natural).select(*[c for c in df.columns if c in processed.columns], "_order", "_new")
+        # A stored row wins over raw copies of its reading, so no look-up of the stored keys is needed.
+        df = df.select(*[c for c in df.columns if c in processed.columns], "_order", "_new")
         df = union_sparse(processed.withColumn("_new", F.lit(False)), df)
-    df = drop_unneeded(rename(df))
-    values = [c for c in df.columns if c not in set(natural + ["_order", "_new"])]
-    df = dedup_keep_last(df, natural, ["_order", *values]).drop("_order")
+    df = drop_unneeded(rename(df)).withColumn("_kept", ~F.col("_new"))
+    values = [c for c in df.columns if c not in set(natural + ["_order", "_new", "_kept"])]
+    df = dedup_keep_last(df, natural, ["_kept", "_order", *values]).drop("_order", "_kept")
     value_cols = [c for c in df.columns if c not in set(natural + NON_NUMERIC + ["_new"])]
     df = coerce(df, value_cols)
     df = drop_null_rows(df, value_cols, "all")

@@ -267,9 +267,8 @@ def _neighbours(rows: DataFrame, id_col: str, target: str, k: int, distance: Mix
 def relative_frequency(df: DataFrame, col: str, alias: str | None = None) -> DataFrame:
     """Share of rows holding each value of ``col``: value, frequency.
 
-    Per-value counts and the one-row total are partial aggregations; no value list is
-    gathered in one task, however many values the column has."""
-    counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("_n")).withColumn("_one", F.lit(1))
-    total = df.agg(F.count(F.lit(1)).alias("_total")).withColumn("_one", F.lit(1))  # one row
-    return counts.join(F.broadcast(total), "_one").select(
-        col, (F.col("_n") / F.col("_total").cast("double")).alias(alias or f"{col}_freq"))
+    Per-value counts are a partial aggregation and the total is one number, counted first;
+    no value list is gathered in one task, however many values the column has."""
+    total = float(df.count())
+    counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
+    return counts.select(col, (F.col("_n") / F.lit(total)).alias(alias or f"{col}_freq"))
