@@ -31,7 +31,7 @@ ARCHIVE_BYTES = 16 << 20       # payload of an archive on average
 ARCHIVE_MOST = 512 << 20       # and at most (a single larger payload apart)
 SHARED_ROWS = 200_000          # shared payloads of some 60 bytes each sent to every task; above, a shuffle join
 RANGE_ROWS = 50_000            # index lines merged in one task
-PER_RANGE = 32                 # sampled lines per range for its borders
+PER_RANGE = 8                  # sampled lines per range for its borders
 INDEX = ("url_key string, captured timestamp, archive string, offset long, length long, page_id long, "
          "payload_bytes long, payload_digest string, record_type string, refers_to long")
 
