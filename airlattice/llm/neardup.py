@@ -37,6 +37,7 @@ TREES = 10             # misses a pair of similarity 0.8 with probability below
 LEVELS = 4
 NODE = 128             # sets compared exhaustively
 PIVOTS = 8
+PART = 1024            # sets of a block of a larger node, compared with another such block in one task
 GROUP_WORDS = 1 << 21  # shingles of a group confirmed in one task
 BLOCK_WORDS = 1 << 19  # shingles of a block of a larger group
 BROADCAST_ROWS = 200_000   # candidate rows of some 50 bytes each sent to every task; above, a shuffle join
@@ -66,8 +67,9 @@ def digest(hashes: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(hashes.tobytes())
 
 
-def _leaves(reps: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, doc_id): the nodes in which sets are compared, at least two sets each."""
+def _leaves(reps: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
+    """(node, doc_id): the nodes in which sets are compared, at least two sets each; and with their size n
+    those that are still large at the last level."""
     path = F.col("path")
     step = F.pmod(F.xxhash64(path, F.lit(1)), F.lit(COORDINATES)).cast("int")
     other = F.pmod(F.xxhash64(path, F.lit(2)), F.lit(COORDINATES)).cast("int")
@@ -80,25 +82,24 @@ def _leaves(reps: DataFrame, scratch: Scratch) -> DataFrame:
                 .select(F.xxhash64("path", "c", F.expr("element_at(low, c + 1)")).alias("node"), "doc_id"))
     roots = reps.select("doc_id", "low", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")) \
         .select("doc_id", "low", F.xxhash64(F.lit("tree"), "tree").alias("path"))
-    rows, done = children(roots), []
+    rows, done, large = children(roots), [], None
     for level in range(LEVELS):
         rows = scratch.save(rows, f"nodes-{level}")
         sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         sized = scratch.save(rows.join(sizes, "node"), f"sized-{level}")
         scratch.drop(f"nodes-{level}")
-        if level == LEVELS - 1:
-            done.append(sized.where(F.col("n") <= NODE).select("node", "doc_id"))
-            done.append(_blocks(sized.where(F.col("n") > NODE)))
-            break
         done.append(sized.where(F.col("n") <= NODE).select("node", "doc_id"))
         big = sized.where(F.col("n") > NODE)
         if big.isEmpty():
             break
+        if level == LEVELS - 1:
+            large = big.select("node", "doc_id", "n")
+            break
         rows = children(big.select(F.col("node").alias("path"), "doc_id").join(reps.select("doc_id", "low"), "doc_id"))
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out
+    return out, large
 
 
 def _blocks(big: DataFrame) -> DataFrame:
@@ -112,34 +113,77 @@ def _blocks(big: DataFrame) -> DataFrame:
     return own.unionByName(pivots).distinct().select(F.xxhash64("node", "block").alias("node"), "doc_id")
 
 
-def _alike(leaves: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): per node, a spanning forest of the pairs whose signatures look similar."""
+def _rest(large: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """(node, doc_id, known): units in which all sets of a large node meet that ``labels`` (id, component) do not join yet.
+
+    What is apart from the largest component of its node is dealt in parts; each part meets every other
+    part and every block of the largest component.
+    """
+    named = scratch.save(
+        large.select("node", "doc_id").join(labels.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
+        .select("node", "doc_id", F.coalesce("component", "doc_id").alias("known")), "nodes-named")
+    sizes = named.groupBy("node", "known").agg(F.count(F.lit(1)).alias("n"))
+    most = sizes.groupBy("node").agg(F.max(F.struct("n", "known")).alias("main"), F.sum("n").alias("n")).select(
+        "node", F.col("main.known").alias("main"), F.ceil(F.col("main.n") / PART).cast("long").alias("n_blocks"),
+        F.ceil((F.col("n") - F.col("main.n")) / PART).cast("long").alias("n_parts")).where("n_parts > 0")
+    dealt = scratch.save(named.join(most, "node").withColumn("h", F.xxhash64(F.lit(9), "node", "doc_id")), "nodes-dealt")
+    if dealt.isEmpty():
+        return None
+    every_part = F.expr("sequence(0L, n_parts - 1)")
+    apart = dealt.where("known <> main").withColumn("part", F.expr("pmod(h, n_parts)"))
+    with_main = (apart.select("node", "doc_id", "known", "part", F.explode(F.expr("sequence(0L, n_blocks - 1)")).alias("block"))
+                 .unionByName(dealt.where("known = main").withColumn("block", F.expr("pmod(h, n_blocks)"))
+                              .select("node", "doc_id", "known", F.explode(every_part).alias("part"), "block"))
+                 .select(F.xxhash64("node", F.lit("main"), "part", "block").alias("node"), "doc_id", "known"))
+    among = (apart.select("node", "doc_id", "known", "part", F.explode(every_part).alias("other"))
+             .select(F.xxhash64("node", F.least("part", "other"), F.greatest("part", "other")).alias("node"), "doc_id", "known"))
+    return with_main.unionByName(among)
+
+
+def _alike(leaves: DataFrame, large: DataFrame | None, reps: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """(a, b): links whose components join, in every node, all pairs whose signatures look similar."""
     need = int(np.floor((similarity - SLACK) * COORDINATES))
+    bytes_ = np.uint64(0x0101010101010101)
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a, b = [], []
         for pdf in groups(frames, "node"):
             ids = pdf["doc_id"].to_numpy()
             m = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(len(ids), COORDINATES)
-            left = np.arange(1, len(ids))
-            open_ = [0]
+            # Sets of one known component are joined already and reached together.
+            _, label = np.unique(pdf["known"].to_numpy(), return_inverse=True)
+            order = np.argsort(label, kind="stable")
+            at = np.searchsorted(label[order], np.arange(label.max() + 2))
+            left = np.arange(len(ids))
             while len(left):
-                if not open_:
-                    open_.append(int(left[0]))
-                    left = left[1:]
-                    continue
-                x = open_.pop()
-                near = (m[left] == m[x]).sum(1) >= need
-                for y in left[near].tolist():
-                    a.append(ids[x]), b.append(ids[y])
-                    open_.append(y)
-                left = left[~near]
+                own = int(label[left[0]])
+                open_ = order[at[own]:at[own + 1]].tolist()
+                left = left[label[left] != own]
+                while open_ and len(left):
+                    x = open_.pop()
+                    same = (m[left] == m[x]).view(np.uint64).sum(1, dtype=np.uint64)
+                    near = left[same * bytes_ >> np.uint64(56) >= need]
+                    if not len(near):
+                        continue
+                    new, one = np.unique(label[near], return_index=True)
+                    for y in near[one].tolist():
+                        a.append(ids[x]), b.append(ids[y])
+                    for c in new.tolist():
+                        open_ += order[at[c]:at[c + 1]].tolist()
+                    left = left[~np.isin(label[left], new)]
             if len(a) > 20_000:
                 yield pd.DataFrame({"a": a, "b": b})
                 a, b = [], []
         yield pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
-    rows = leaves.join(reps.select("doc_id", "sketch"), "doc_id").repartition("node").sortWithinPartitions("node")
-    return rows.select("node", "doc_id", "sketch").mapInPandas(compare, "a long, b long")
+
+    def linked(nodes: DataFrame) -> DataFrame:
+        rows = nodes.join(reps.select("doc_id", "sketch"), "doc_id").repartition("node").sortWithinPartitions("node")
+        return rows.select("node", "doc_id", "known", "sketch").mapInPandas(compare, "a long, b long")
+    if large is None:
+        return scratch.save(linked(leaves.withColumn("known", F.col("doc_id"))), "alike")
+    first = scratch.save(linked(leaves.unionByName(_blocks(large)).withColumn("known", F.col("doc_id"))), "alike-pivots")
+    rest = _rest(large, components(first, scratch, "alike-labels"), scratch)
+    return first if rest is None else first.unionByName(scratch.save(linked(rest), "alike-rest"))
 
 
 def _confirm_group(ids: np.ndarray, sets: list[np.ndarray], percent: int,
@@ -286,7 +330,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, *, words: int = 5, percen
         signed.join(member.where("doc_id = first AND n_shingles > 0").select("doc_id"), "doc_id", "left_semi"),
         "representatives")
     scratch.drop("signatures")
-    alike = scratch.save(_alike(_leaves(reps, scratch), reps, percent / 100), "alike")
+    alike = _alike(*_leaves(reps, scratch), reps, percent / 100, scratch)
     suspects = components(alike, scratch, "suspects").select(F.col("id").alias("doc_id"), "component") \
         .join(reps.select("doc_id", "n_shingles", "content"), "doc_id")
     links = confirm(texts, scratch.save(suspects, "suspect-groups"), words, percent, scratch)

@@ -112,3 +112,17 @@ def test_minima_estimate_similarity():
     b = shingles(" ".join(f"w{i}" for i in range(100, 600)), 4)
     real = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
     assert abs((minima(a, 1024) == minima(b, 1024)).mean() - real) < 0.06
+
+
+def test_short_copies_inside_a_large_family_of_long_documents(spark, monkeypatch):
+    """Nodes that stay large because of a shared passage are compared whole, also far from their pivots."""
+    for name, value in (("NODE", 2), ("PIVOTS", 1), ("TREES", 3), ("PART", 16)):
+        monkeypatch.setattr(neardup, name, value, raising=False)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    passage = [word() for _ in range(60)]
+    rows = [(i, " ".join([*passage, *(word() for _ in range(45))]), "en", "s", 0) for i in range(1200)]
+    rows += [(5000 + i, " ".join([*passage, word(), word()]), "en", "s", 0) for i in range(3)]
+    got = found(docs(spark, rows, clash=False), Scratch(spark))
+    assert {got[5000 + i][1] for i in range(3)} == {5000}
+    assert all(got[i][1] == i for i in range(1200))
