@@ -1,9 +1,10 @@
 """Secret scans: candidates by pattern, a random forest to drop false positives. Spark functions only.
 
-A candidate is a run of at least ``SHORTEST`` key-like characters with a digit in it. Its features are its
+A candidate is a run of at least ``SHORTEST`` key-like characters, or a shorter one assigned to a name for secrets.
+Only runs of plain words that are neither a known key shape nor assigned to such a name are passed over. Its features are its
 length, transitions between character classes, how much of it dictionary words cover, its
 path, and the words beside it. Labelled findings train the forest; what it rates at ``CUT`` or more
-is a secret. The dictionary holds the words that make up at least a ``DICTIONARY``-th of
+is a secret, as are known key shapes and quoted passwords whatever it rates them. The dictionary holds the words that make up at least a ``DICTIONARY``-th of
 all words of the corpus, so it has at most that many entries.
 
 Defined cases: null and empty texts have no candidate; a null path is the empty path; without labelled findings of
@@ -30,10 +31,17 @@ TREES, DEPTH = 40, 6
 LEFT, RIGHT = 48, 24   # characters looked at beside a candidate
 MASK = "[SECRET]"
 # Words that name a secret, words that mark an example, known key shapes.
-NAMES = "token|secret|passw(or)?d|passwd|pwd|api[_-]?key|apikey|access[_-]?key|auth|bearer|credential|private"
-EXAMPLES = "example|sample|dummy|placeholder|changeme|your[_-]|xxxx|test"
+NAMES = "token|secret|passw(or)?d|passwd|pwd|api[_-]?key|apikey|access[_-]?key|auth|bearer|credential|private|pass[_-]?phrase"
+PASSWORDS = "passw(or)?d|passwd|pwd|pass[_-]?phrase"
+EXAMPLES = "(?<![a-z])((examples?|samples?|dummy|placeholder|changeme|tests?|testing)(?![a-z])|your[_-])|xxxx"
 SHAPES = "^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]+[.][A-Za-z0-9_-]+[.][A-Za-z0-9_-]+)$"
-KEYLIKE = f"[A-Za-z0-9+/_.@-]{{{SHORTEST},}}+={{0,2}}"
+CHARS = "A-Za-z0-9+/_.@-"
+ASSIGNED = "[\"'`]?\\s{0,2}[:=]>?\\s{0,2}[\"'`]?"
+# Padding is no padding where a value follows. The cheap look back comes before the one for names.
+KEYLIKE = (f"[{CHARS}]{{{SHORTEST},}}+(?:={{1,2}}(?![=\"'`{CHARS}]))?"
+           f"|(?<![{CHARS}])(?<=[:=>]\\s{{0,2}}[\"'`]?)(?<=(?i:{NAMES}){ASSIGNED})[{CHARS}]{{4,{SHORTEST - 1}}}+")
+WORD = "(?:[A-Z]?[a-z]++(?:[A-Z][a-z]{2,}+)*+|[A-Z]++)"
+PLAIN = f"^[+/_.@=-]*+(?:{WORD}(?:[+/_.@=-]++{WORD})*+[+/_.@=-]*+)?+$"   # words and nothing else
 FEATURES = ["size", "transitions", "distinct", "digits", "uppers", "punctuation", "hexadecimal", "numeric", "address",
             "coverage", "assigned", "quoted", "named", "example", "path_depth", "path_size", "path_example"]
 
@@ -47,20 +55,33 @@ def word_counts(docs: DataFrame) -> DataFrame:
 def candidates(docs: DataFrame, *keep: str) -> DataFrame:
     """Every candidate: kept columns, path, start (0-based character), value, left and right context.
 
-    The text is split at the runs, so the pieces between them give both offsets and neighbours. Texts
-    without a digit have no candidate and are not split.
+    The text is split at the runs, so the pieces between them give both offsets and neighbours; the run
+    before a candidate may name it and belongs to its left context.
     """
-    runs = (docs.where(F.col("text").rlike("[0-9]"))
-            .withColumn("run", F.regexp_extract_all("text", F.lit(KEYLIKE), F.lit(0))).where(F.size("run") > 0)
+    runs = (docs.withColumn("run", F.regexp_extract_all("text", F.lit(KEYLIKE), F.lit(0))).where(F.size("run") > 0)
             .withColumn("piece", F.split("text", KEYLIKE, -1)))
     before = F.expr("aggregate(sequence(0, pos), 0L, (n, i) -> n + length(piece[i]) + if(i < pos, length(run[i]), 0))")
     return (runs.select(*keep, "path", "run", "piece", F.posexplode("run").alias("pos", "value"))
-            .where(F.col("value").rlike("[0-9]"))
-            .select(*keep, "path", before.alias("start"), "value",
-                    F.expr(f"right(piece[pos], {LEFT})").alias("left"),
+            .withColumn("left", F.expr(f"right(concat(if(pos > 0, run[pos - 1], ''), piece[pos]), {LEFT})"))
+            .where(~F.col("value").rlike(PLAIN) | F.col("value").rlike(SHAPES) | (_assigned() & _named()))
+            .select(*keep, "path", before.alias("start"), "value", "left",
                     F.expr(f"left(piece[pos + 1], {RIGHT})").alias("right")))
 
 
+def _assigned() -> Column:
+    return F.col("left").rlike("[:=]>?\\s*[\"'`]?$")
+
+
+def _named() -> Column:
+    return F.lower("left").rlike(f"({NAMES})[^\\n]{{0,16}}$")
+
+
+def _sure() -> Column:
+    """Known key shapes, and quoted values assigned to a name for passwords that nothing marks as an example."""
+    return F.col("value").rlike(SHAPES) | (
+        F.lower("left").rlike(f"({PASSWORDS})[\"'`]?\\s*[:=]>?\\s*[\"'`]$") & (F.col("quoted") == 1) & (F.col("example") == 0))
+
+
 def _share(value: Column, chars: str) -> Column:
     return F.length(F.regexp_replace(value, f"[^{chars}]", "")) / F.length(value)
 
@@ -83,9 +104,9 @@ def featured(found: DataFrame, known: DataFrame) -> DataFrame:
         v.rlike("^[0-9.-]+$").cast("double").alias("numeric"),
         v.rlike("@.*[.]|^[0-9]+([.][0-9]+){3}$|^(www[.]|/?[a-z]+[.](com|org|net)/)").cast("double").alias("address"),
         F.coalesce(F.col("covered") / F.length(v), F.lit(0.0)).alias("coverage"),
-        F.col("left").rlike("[:=]>?\\s*[\"'`]?$").cast("double").alias("assigned"),
+        _assigned().cast("double").alias("assigned"),
         (F.col("left").rlike("[\"'`]$") & F.col("right").rlike("^[\"'`]")).cast("double").alias("quoted"),
-        F.lower("left").rlike(f"({NAMES})[^\\n]{{0,16}}$").cast("double").alias("named"),
+        _named().cast("double").alias("named"),
         (beside.rlike(EXAMPLES) | F.lower(v).rlike(EXAMPLES)).cast("double").alias("example"),
         F.size(F.split("path", "[/\\\\]")).cast("double").alias("path_depth"),
         F.log1p(F.length("path")).alias("path_size"),
@@ -95,14 +116,13 @@ def featured(found: DataFrame, known: DataFrame) -> DataFrame:
 def ruled(rows: DataFrame) -> Column:
     """Label of a finding by clear rules, null where they are silent.
 
-    Secret: a known key shape, or an assigned quoted value beside a name for secrets that no
-    dictionary word explains. Not one: plain numbers, addresses, covered by words, or marked as example.
+    Secret: a known key shape, a quoted password, or an assigned quoted value beside a name for secrets that no
+    dictionary word explains. Not one of the others: plain numbers, addresses, covered by words, or marked as example.
     """
     clean = (F.col("example") == 0) & (F.col("coverage") < 0.3) & (F.col("numeric") == 0) & (F.col("address") == 0)
-    secret = F.col("value").rlike(SHAPES) | (
-        (F.col("named") == 1) & (F.col("assigned") == 1) & (F.col("quoted") == 1) & (F.length("value") >= 20))
+    secret = (F.col("named") == 1) & (F.col("assigned") == 1) & (F.col("quoted") == 1) & (F.length("value") >= 20)
     benign = (F.col("numeric") == 1) | (F.col("address") == 1) | (F.col("coverage") >= 0.6) | (F.col("example") == 1)
-    return F.when(secret & clean, 1).when(benign, 0)
+    return F.when(_sure() | (secret & clean), 1).when(benign, 0)
 
 
 def scan(docs: DataFrame, scratch: Scratch, *, path: str = "source", findings: DataFrame | None = None) -> DataFrame:
@@ -124,7 +144,7 @@ def scan(docs: DataFrame, scratch: Scratch, *, path: str = "source", findings: D
         marks = findings.groupBy("doc_id", "start").agg(F.max("label").cast("int").alias("label"))
         rows = rows.join(marks, ["doc_id", "start"], "left")
     sizes = {r["label"]: r["n"] for r in rows.where("label IN (0, 1)").groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    out = ["doc_id", "start", "value", "label", "probability"]
+    sure = _sure() & ~F.col("label").eqNullSafe(0)
     if len(sizes) < 2:
         rated = rows.withColumn("probability", F.coalesce(F.col("label").cast("double"), F.lit(0.5)))
     else:
@@ -140,7 +160,9 @@ def scan(docs: DataFrame, scratch: Scratch, *, path: str = "source", findings: D
         rated = forest.transform(vector.transform(rows)) \
             .withColumn("chance", vector_to_array("probability")).drop("probability") \
             .withColumn("probability", F.col("chance")[1])
-    return rated.select(*out).withColumn("is_secret", F.col("probability") >= CUT)
+    rated = rated.select("doc_id", "start", "value", "label",
+                         F.when(sure, 1.0).otherwise(F.col("probability")).alias("probability"))
+    return rated.withColumn("is_secret", F.col("probability") >= CUT)
 
 
 def redact(docs: DataFrame, found: DataFrame) -> DataFrame:
