@@ -15,6 +15,9 @@ threshold, and full scores only where both bounds hold.
 The index is made in slices of at most ``SLICE`` item words, each sent to all tasks; more test items make more
 slices and one scan of the corpus each, so what is broadcast is bounded.
 
+Words are runs of letters, marks and digits of any script, so numbers count: items that differ in them are
+different items, and a number can be an answer.
+
 Defined cases: null and empty documents have no passage; null, empty and wordless items are
 not indexed; an item without a second sentence has no answer and only its question
 counts; repeated items are each reported; repeated documents each count; rows without doc_id carry null; empty tables give
@@ -24,8 +27,11 @@ an empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -49,11 +55,24 @@ SLICE = 100_000        # item words of one index
 END = 1 << 60
 
 
+@lru_cache(maxsize=1)
+def _gaps() -> re.Pattern:
+    """Characters beyond ASCII that separate words: punctuation, symbols and spaces."""
+    other = [c for c in range(128, sys.maxunicode + 1) if unicodedata.category(chr(c))[0] in "PSZ"]
+    cut = np.flatnonzero(np.diff(other) > 1) + 1
+    return re.compile("[" + "".join(f"{chr(x[0])}-{chr(x[-1])}" for x in np.split(np.array(other), cut)) + "]")
+
+
+def plain(text: str | None) -> str | None:
+    """The text with spaces for separators beyond ASCII, whose bytes would count as letters."""
+    return text if text is None or text.isascii() else _gaps().sub(" ", text)
+
+
 def hashes(text: str | None) -> np.ndarray:
-    """64-bit hashes of the letter runs of a whole text, in order."""
+    """64-bit hashes of the runs of letters and digits of a whole text, in order."""
     out = []
-    for block in blocks([text]):
-        _, runs, found = hashed_words(block, (), 1)
+    for block in blocks([plain(text)]):
+        _, runs, found = hashed_words(block, (), 1, digits=True)
         out.append(found[0])
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
@@ -71,8 +90,8 @@ def shingled(h: np.ndarray, k: int = SHINGLE) -> np.ndarray:
 
 
 def question_and_answer(text: str) -> tuple[str, str]:
-    """The last sentence or line is the answer, what stands before it the question."""
-    parts = [m.end() for m in re.finditer(r"[.?!\n]+\s*(?=\S)", text.rstrip())]
+    """The last sentence or line is the answer, what stands before it the question; a point inside a number ends nothing."""
+    parts = [m.end() for m in re.finditer(r"(?:[?!\n]|\.(?!(?<=\d\.)\d))+\s*(?=\S)", text.rstrip())]
     cut = parts[-1] if parts else len(text)
     return text[:cut], text[cut:]
 
@@ -191,8 +210,8 @@ class Index:
     def hits(self, texts: list[str | None]) -> Iterator[tuple[int, int, float]]:
         """(text number, part number, best score) over all passages of all texts."""
         best: dict[tuple[int, int], float] = {}
-        for block in blocks(texts, overlap=WINDOW):
-            doc, _, found = hashed_words(block, (), 1)
+        for block in blocks(map(plain, texts), overlap=WINDOW):
+            doc, _, found = hashed_words(block, (), 1, digits=True)
             pos, term = self.lookup.find(found[0])
             if not len(pos):
                 continue

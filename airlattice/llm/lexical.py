@@ -56,12 +56,14 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def hashed_words(block: list[tuple[int, bytes]], prefixes: tuple[int, ...] = PREFIXES,
-                 shortest: int = 2) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """Of every letter run in a block: its text number, and per feature kind (whole word,
+                 shortest: int = 2, digits: bool = False) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Of every letter run (with ``digits``, run of letters and digits) in a block: its text number, and per feature kind (whole word,
     then each prefix length) the run numbers that have one and their 64-bit hashes."""
     letter, power, inverse = _tables()
     buf = np.frombuffer(b" ".join(p for _, p in block) + b" ", np.uint8)
     at = letter[buf]
+    if digits:
+        at |= (buf >= ord("0")) & (buf <= ord("9"))
     edge = np.flatnonzero(at[1:] != at[:-1]) + 1
     if at[0]:
         edge = np.concatenate([[0], edge])

@@ -96,3 +96,19 @@ def test_block_max_wand_finds_all(seed, least):
     clear = {n for n, s in scores.items() if s >= least + 1e-9}
     assert clear <= set(got) <= {n for n, s in scores.items() if s >= least - 1e-9}
     assert all(got[n] == pytest.approx(scores[n]) for n in got)
+
+
+def test_numbers_are_words(spark):
+    """Items that differ only in numbers are different items, a number is an answer, and so may a whole item be."""
+    asked = "Tom has {} apples and buys {} more at the market, so how many apples has he got now? {}"
+    items = [(1, asked.format(12, 30, 42)), (2, asked.format(57, 99, 156)), (3, "What is half of seven written with a point? 3.5"),
+             (4, "1618 0339 8874 9894. 8482")]
+    rows = [(10, f"as the book says: {items[0][1]} and so on", "en", "a", 0),
+            (11, "as the book says: " + asked.format(57, 99, "nobody knows"), "en", "a", 0),
+            (12, "\u201cWhat is half of seven written with a point?\u201d \u2013 \u201c3.5\u201d", "en", "a", 0),
+            (13, "half of seven? What is half of seven written with a point? 5", "en", "a", 0),
+            (14, "golden 1618 0339 8874 9894 8482", "en", "a", 0)]
+    df = spark.createDataFrame(items, ITEMS)
+    got = {(r["doc_id"], r["item_id"]) for r in find_leaks(docs(spark, rows), df).collect()}
+    assert got == {(10, 1), (12, 3), (14, 4)}
+    assert {r["doc_id"] for r in without_leaks(docs(spark, rows), df).collect()} == {11, 13}
