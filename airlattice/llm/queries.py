@@ -24,6 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def load_all() -> None:
-    from airlattice.llm import (q_clusters, q_decontam, q_langid, q_mixing, q_neardup, q_quality, q_repeats, q_scoring,  # noqa: F401
+    from airlattice.llm import (q_clusters, q_decontam, q_langid, q_mixing, q_neardup, q_quality, q_repeats, q_resample, q_scoring,  # noqa: F401
                                 q_secrets,
                                 q_toxicity, q_vectors, q_warc)
