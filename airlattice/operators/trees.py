@@ -217,6 +217,8 @@ def fit(rows: DataFrame, keys: list[str], row: list[str], features: list[str], l
 
     ``row`` names the columns that tell the rows of a series apart; draws depend on them and the seed alone.
     """
+    # read several times, so worked out once
+    rows = cut_lineage(rows.select(*dict.fromkeys([*keys, *row, *features, label, *(["_fold"] if "_fold" in rows.columns else [])])))
     data, ends = prepare(rows, keys, features, label, [*row, *(["_fold"] if any(g.skip is not None for g in families.values()) else [])], bins)
     ends = cut_lineage(ends)
     boosted = [m for m, g in families.items() if not g.forest]
