@@ -15,24 +15,24 @@ PREFIXES = (3, 4, 5, 6)       # bytes
 def blocks(texts: Iterable[str | None], size: int = BLOCK, overlap: int = 0) -> Iterator[list[tuple[int, bytes]]]:
     """(text number, lower-cased UTF-8 bytes) pieces, at most about ``size`` bytes at a time.
 
-    Long texts are cut at a space (a word longer than a block anywhere), never shortened; a piece
-    repeats the last ``overlap`` words before it.
+    Long texts are cut where a run of letters and digits ends (a longer run stays whole), never shortened; a piece
+    repeats the last ``overlap`` runs before it, whatever stands between them.
     """
     held: list[tuple[int, bytes]] = []
     n = 0
     for i, text in enumerate(texts):
-        rest = text.lower().encode("utf-8", "surrogatepass") if text else b""
-        while rest:
-            cut = len(rest)
-            if cut > size:
-                cut = rest.rfind(b" ", 1, size)
-                cut = cut if cut > 0 else size
-            back = cut
-            if cut < len(rest) and overlap:
-                for _ in range(overlap):
-                    back = max(rest.rfind(b" ", 0, back), 0)
-                back = back if back > cut // 2 else cut      # so that every piece gets on
-            part, rest = rest[:cut], rest[back:]
+        data = text.lower().encode("utf-8", "surrogatepass") if text else b""
+        at = 0
+        while at < len(data):
+            end, back = min(at + size, len(data)), len(data)
+            while end < len(data):
+                end = _run_end(data, end)
+                first = np.flatnonzero(np.diff(_in_run(data[at:end]), prepend=False) & _in_run(data[at:end]))
+                if end == len(data) or len(first) > overlap:
+                    back = end if end == len(data) or not overlap else at + int(first[-overlap])
+                    break
+                end = min(end + size, len(data))
+            part, at = data[at:end], back
             if held and n + len(part) > size:
                 yield held
                 held, n = [], 0
@@ -42,12 +42,27 @@ def blocks(texts: Iterable[str | None], size: int = BLOCK, overlap: int = 0) ->
         yield held
 
 
+def _in_run(data: bytes) -> np.ndarray:
+    """Which bytes belong to runs of letters (beyond ASCII: all) and digits."""
+    buf = np.frombuffer(data, np.uint8)
+    return (buf >= 128) | ((buf >= ord("a")) & (buf <= ord("z"))) | ((buf >= ord("0")) & (buf <= ord("9")))
+
+
+def _run_end(data: bytes, at: int) -> int:
+    """The first place from ``at`` on that is in no run."""
+    while at < len(data):
+        out = np.flatnonzero(~_in_run(data[at:at + 4096]))
+        if len(out):
+            return at + int(out[0])
+        at = min(at + 4096, len(data))
+    return at
+
+
 @lru_cache(maxsize=1)
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _tables(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     letter = np.zeros(256, bool)
     letter[128:] = True
     letter[ord("a"):ord("z") + 1] = True
-    n = 2 * BLOCK + 64
     power = np.full(n, ROOT, np.uint64)
     power[0] = 1
     inverse = np.full(n, pow(ROOT, -1, 1 << 64), np.uint64)
@@ -59,8 +74,8 @@ def hashed_words(block: list[tuple[int, bytes]], prefixes: tuple[int, ...] = PRE
                  shortest: int = 2, digits: bool = False) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
     """Of every letter run (with ``digits``, run of letters and digits) in a block: its text number, and per feature kind (whole word,
     then each prefix length) the run numbers that have one and their 64-bit hashes."""
-    letter, power, inverse = _tables()
     buf = np.frombuffer(b" ".join(p for _, p in block) + b" ", np.uint8)
+    letter, power, inverse = _tables(max(2 * BLOCK + 64, 1 << len(buf).bit_length()))
     at = letter[buf]
     if digits:
         at |= (buf >= ord("0")) & (buf <= ord("9"))
