@@ -21,13 +21,14 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from airlattice.llm.common import Scratch
+from airlattice.llm.common import Scratch, unused
 
 SHORTEST = 12
 CUT = 0.5
 DICTIONARY = 20_000
 PER_CLASS = 10_000     # labelled findings per class that train the forest
 TREES, DEPTH = 40, 6
+PART = 256             # runs of a text that are looked at together
 LEFT, RIGHT = 48, 24   # characters looked at beside a candidate
 MASK = "[SECRET]"
 # Words that name a secret, words that mark an example, known key shapes.
@@ -60,9 +61,17 @@ def candidates(docs: DataFrame, *keep: str) -> DataFrame:
     """
     runs = (docs.withColumn("run", F.regexp_extract_all("text", F.lit(KEYLIKE), F.lit(0))).where(F.size("run") > 0)
             .withColumn("piece", F.split("text", KEYLIKE, -1)))
-    before = F.expr("aggregate(sequence(0, pos), 0L, (n, i) -> n + length(piece[i]) + if(i < pos, length(run[i]), 0))")
-    return (runs.select(*keep, "path", "run", "piece", F.posexplode("run").alias("pos", "value"))
-            .withColumn("left", F.expr(f"right(concat(if(pos > 0, run[pos - 1], ''), piece[pos]), {LEFT})"))
+    # A text with very many runs comes in parts of a bounded number of them; a part knows its offset and the run before it.
+    parts = runs.select(*keep, "path", F.expr(
+        f"transform(sequence(0, (size(run) - 1) div {PART}), c -> named_struct('run', slice(run, c * {PART} + 1, {PART}), "
+        f"'piece', slice(piece, c * {PART} + 1, {PART} + 1), 'before', if(c = 0, '', run[greatest(c * {PART}, 1) - 1])))").alias("part"))
+    sizes = F.expr(f"transform(part, p -> aggregate(p.run, 0L, (n, s) -> n + length(s)) + aggregate(slice(p.piece, 1, {PART}), 0L, (n, s) -> n + length(s)))")
+    parts = parts.select(*keep, "path", "part", sizes.alias("sizes")).select(*keep, "path", F.explode(F.expr(
+        "transform(part, (p, c) -> named_struct('p', p, 'at', aggregate(slice(sizes, 1, c), 0L, (n, s) -> n + s)))")).alias("_part"))
+    parts = parts.select(*keep, "path", F.col("_part.at").alias("at"), "_part.p.*")
+    before = F.expr("at + aggregate(sequence(0, pos), 0L, (n, i) -> n + length(piece[i]) + if(i < pos, length(run[i]), 0))")
+    return (parts.select(*keep, "path", "at", "run", "piece", "before", F.posexplode("run").alias("pos", "value"))
+            .withColumn("left", F.expr(f"right(concat(if(pos > 0, run[greatest(pos, 1) - 1], before), piece[pos]), {LEFT})"))
             .where(~F.col("value").rlike(PLAIN) | F.col("value").rlike(SHAPES) | (_assigned() & _named()))
             .select(*keep, "path", before.alias("start"), "value", "left",
                     F.expr(f"left(piece[pos + 1], {RIGHT})").alias("right")))
@@ -98,7 +107,7 @@ def featured(found: DataFrame, known: DataFrame) -> DataFrame:
     return found.join(covered, "value", "left").select(
         *found.columns, F.log1p(F.length(v)).alias("size"),
         ((F.length(runs) - 1) / (F.length(v) - 1)).alias("transitions"),
-        (F.size(F.array_distinct(F.split(F.substring(v, 1, 256), ""))) / F.least(F.length(v), F.lit(256))).alias("distinct"),
+        (F.size(F.array_distinct(F.split(v, ""))) / F.length(v)).alias("distinct"),
         _share(v, "0-9").alias("digits"), _share(v, "A-Z").alias("uppers"), _share(v, "+/_.@=-").alias("punctuation"),
         v.rlike("^[0-9a-fA-F]+$").cast("double").alias("hexadecimal"),
         v.rlike("^[0-9.-]+$").cast("double").alias("numeric"),
@@ -165,20 +174,23 @@ def scan(docs: DataFrame, scratch: Scratch, *, path: str = "source", findings: D
     return rated.withColumn("is_secret", F.col("probability") >= CUT)
 
 
-def redact(docs: DataFrame, found: DataFrame) -> DataFrame:
+def redact(docs: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:
     """Documents with every confirmed secret masked wherever its text holds it; n_chars follows the text.
 
+    ``key`` is the column of ``docs`` whose values the findings have as doc_id.
+
     The secrets of one document are gathered as its own text holds them, longest first.
     """
     sure = found.where("is_secret")
-    secret = sure.groupBy("doc_id").agg(F.sort_array(
-        F.collect_set(F.struct(F.length("value").alias("n"), "value")), asc=False).alias("_secrets"))
+    held_in = unused(docs, "_secrets")
+    secret = sure.groupBy(F.col("doc_id").alias(key)).agg(F.sort_array(
+        F.collect_set(F.struct(F.length("value").alias("n"), "value")), asc=False).alias(held_in))
     # Sent to all tasks only while it is small; otherwise joined by document.
     if sure.count() <= 50_000:
         secret = F.broadcast(secret)
-    rows = docs.join(secret, "doc_id", "left")
-    held = F.col("_secrets").isNotNull()
-    new = F.when(held, F.aggregate(F.col("_secrets.value"), F.col("text"),
+    rows = docs.join(secret, key, "left")
+    held = F.col(held_in).isNotNull()
+    new = F.when(held, F.aggregate(F.col(f"{held_in}.value"), F.col("text"),
                                    lambda t, s: F.replace(t, s, F.lit(MASK)))).otherwise(F.col("text"))
     out = {c: F.col(c) for c in docs.columns}
     out["text"] = new.alias("text")
