@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from airlattice.session import delete_at_exit, ensure_checkpoint_dir, ship_package
 
@@ -34,6 +38,37 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def rated(rows: DataFrame, results: str, rate: Callable[[], Callable[[list[str | None]], list[pa.Array]]]) -> DataFrame:
+    """All columns but ``text``, as they are, and the columns ``results`` that a function of the texts gives.
+
+    ``rate`` is called once a task. The other columns stay Arrow arrays: numbers keep all their digits beside nulls.
+    """
+    keep = [f for f in rows.schema.fields if f.name != "text"]
+    more = StructType.fromDDL(results)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = rate()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in keep], *of(batch.column("text").to_pylist())],
+                                             names=[f.name for f in [*keep, *more.fields]])
+    return rows.mapInArrow(work, StructType([*keep, *more.fields]))
+
+
+def kept(docs: DataFrame, choose: Callable[[list[str | None]], np.ndarray]) -> DataFrame:
+    """The rows whose texts are chosen, with all their columns as they are."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(np.asarray(choose(batch.column("text").to_pylist()), bool)))
+    return docs.mapInArrow(work, docs.schema)
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column is called so."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name = "_" + name
+    return name
+
+
 class Scratch:
     """Tables written to the shared checkpoint folder; ``drop`` removes those not kept, and what is
     left goes when the application ends.

@@ -35,10 +35,11 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from airlattice.llm.common import small_batches
+from airlattice.llm.common import kept, small_batches
 from airlattice.llm.lexical import Lookup, blocks, hashed_words
 
 PART = 40              # words of an indexed part at most
@@ -282,15 +283,15 @@ def leaks_in(index: Index, texts: list[str | None], overlap: float) -> list[tupl
 
 
 def _scan(docs: DataFrame, index: Index, overlap: float) -> DataFrame:
-    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            ids = pdf["doc_id"].tolist()
-            rows = [(None if pd.isna(ids[d]) else int(ids[d]), index.items[item][0], s, question, answer)
-                    for d, item, s, question, answer in leaks_in(index, pdf["text"].tolist(), overlap)]
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("doc_id").to_pylist()
+            rows = [(ids[d], index.items[item][0], s, question, answer)
+                    for d, item, s, question, answer in leaks_in(index, batch.column("text").to_pylist(), overlap)]
             if rows:
-                out = pd.DataFrame(rows, columns=["doc_id", "item_id", "bm25", "question_overlap", "answer_overlap"])
-                yield out.astype({"doc_id": "Int64", "item_id": "Int64"})
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k < 2 else pa.float64()) for k, c in enumerate(zip(*rows))],
+                                                 names=["doc_id", "item_id", "bm25", "question_overlap", "answer_overlap"])
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         search, "doc_id long, item_id long, bm25 double, question_overlap double, answer_overlap double")
 
 
@@ -298,13 +299,12 @@ def without_leaks(docs: DataFrame, items: DataFrame, *, overlap: float = OVERLAP
     """The documents that leak no test item, with all their columns."""
     small_batches(docs.sparkSession)
 
-    def keep(index: Index):
-        def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in frames:
-                clean = np.ones(len(pdf), bool)
-                clean[[row[0] for row in leaks_in(index, pdf["text"].tolist(), overlap)]] = False
-                yield pdf[clean]
-        return work
+    def clean(index: Index):
+        def choose(texts: list[str | None]) -> np.ndarray:
+            out = np.ones(len(texts), bool)
+            out[[row[0] for row in leaks_in(index, texts, overlap)]] = False
+            return out
+        return choose
     for part in slices(items):
-        docs = docs.mapInPandas(keep(Index(part, threshold)), docs.schema)
+        docs = kept(docs, clean(Index(part, threshold)))
     return docs

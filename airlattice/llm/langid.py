@@ -17,10 +17,11 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from airlattice.llm.common import small_batches
+from airlattice.llm.common import rated, small_batches
 
 DIM = 4096
 PER_LANGUAGE = 400     # sampled training texts per language for the centroids
@@ -152,25 +153,22 @@ def predict(docs: DataFrame, model: dict, *extra: Column) -> DataFrame:
     names, idf = model["names"], model["idf"].astype(np.float64)
     centroids, own, low = model["centroids"], model["own"], model["low"]
 
-    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            best, conf, far = [], [], []
-            for text in pdf["text"]:
-                tf = counts(text) if names else None
-                if tf is None:
-                    best.append("und"), conf.append(0.0), far.append(True)
-                    continue
-                near = centroids @ vector(tf, idf)
-                each = np.array([near[own == j].max() for j in range(len(names))], np.float64)
-                j = int(np.argmax(each))
-                p = np.exp((each - each[j]) / TEMPERATURE)
-                best.append(names[j]), conf.append(float(p[j] / p.sum())), far.append(bool(each[j] < low[j]))
-            out = pdf.drop(columns="text")
-            out["lang_pred"], out["score"], out["rejected"] = best, conf, far
-            yield out
+    def score(texts: list[str | None]) -> list[pa.Array]:
+        best, conf, far = [], [], []
+        for text in texts:
+            tf = counts(text) if names else None
+            if tf is None:
+                best.append("und"), conf.append(0.0), far.append(True)
+                continue
+            near = centroids @ vector(tf, idf)
+            each = np.array([near[own == j].max() for j in range(len(names))], np.float64)
+            j = int(np.argmax(each))
+            p = np.exp((each - each[j]) / TEMPERATURE)
+            best.append(names[j]), conf.append(float(p[j] / p.sum())), far.append(bool(each[j] < low[j]))
+        return [pa.array(best, pa.string()), pa.array(conf, pa.float64()), pa.array(far, pa.bool_())]
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *extra, "text")
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text")
-    return rows.mapInPandas(score, f"{kinds}, lang_pred string, score double, rejected boolean")
+    return rated(rows, "lang_pred string, score double, rejected boolean", lambda: score)
 
 
 def identify(docs: DataFrame, train: DataFrame, *extra: Column) -> DataFrame:

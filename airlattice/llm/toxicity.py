@@ -19,10 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from airlattice.llm.common import Scratch, small_batches
+from airlattice.llm.common import Scratch, rated, small_batches
 from airlattice.llm.graph import Forest
 from airlattice.llm.labelled import sample
 from airlattice.llm.lexical import PREFIXES, Lookup, blocks, hashed_words, newton_logistic
@@ -249,19 +250,18 @@ def predict(docs: DataFrame, model: dict | None, *extra: Column) -> DataFrame:
     if model is not None:
         lexicons, offsets, w = model["lexicons"], model["offsets"], model["w"]
 
-    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scorer():
         lookups = [Lookup(h) for h, _ in lexicons] if model is not None else []
-        for pdf in frames:
-            texts = pdf["text"].tolist()
+
+        def score(texts: list[str | None]) -> list[pa.Array]:
             p = np.zeros(len(texts))
             if model is not None:
                 found, n = hits(texts, lookups)
                 for i, (f, k) in enumerate(zip(found, n)):
                     z = float(_row(f, int(k), lexicons, offsets) @ w[:-1] + w[-1]) if f else float(w[-1])
                     p[i] = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-            out = pdf.drop(columns="text")
-            out["score"], out["predicted"] = p, (p >= 0.3).astype(np.int32)
-            yield out
+            return [pa.array(p), pa.array((p >= 0.3).astype(np.int32))]
+        return score
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *extra, "text")
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text")
-    return rows.mapInPandas(score, f"{kinds}, score double, predicted int")
+    return rated(rows, "score double, predicted int", scorer)

@@ -34,6 +34,8 @@ RANGE_ROWS = 50_000            # index lines merged in one task
 PER_RANGE = 8                  # sampled lines per range for its borders
 INDEX = ("url_key string, captured timestamp, archive string, offset long, length long, page_id long, "
          "payload_bytes long, payload_digest string, record_type string, refers_to long")
+# Ids are text while lines pass through pandas, where a number beside a null would lose digits.
+LINES = INDEX.replace("page_id long", "page_id string").replace("refers_to long", "refers_to string")
 
 
 def base32_sha1(data):
@@ -129,9 +131,9 @@ def walk(data: bytes) -> Iterator[tuple[int, int, dict[str, str], memoryview]]:
         at = end + 8 + size
 
 
-def _capture(name: str | None) -> int | None:
+def _capture(name: str | None) -> str | None:
     number = (name or "").strip("<>").rpartition(":")[2]
-    return None if number in ("", "none") else int(number)
+    return None if number in ("", "none") else number
 
 
 def read_runs(spark, path: str) -> DataFrame:
@@ -158,15 +160,13 @@ def read_runs(spark, path: str) -> DataFrame:
                 rows.sort(key=lambda r: (r[0], r[1], r[3]))
                 out = pd.DataFrame(rows, columns=[c.split()[0] for c in INDEX.split(", ")])
                 out["captured"] = pd.to_datetime(out["captured"], utc=True).dt.tz_localize(None)
-                for c in ("page_id", "refers_to"):
-                    out[c] = out[c].astype("Int64")
                 out["place"] = range(len(out))
                 yield out
     small = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")     # one archive at a time in a worker
     try:
         files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-        return files.select("path", "content").mapInPandas(index, INDEX + ", place long")
+        return files.select("path", "content").mapInPandas(index, LINES + ", place long")
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", small)
 
@@ -241,10 +241,11 @@ def merge_runs(runs: DataFrame, scratch: Scratch) -> DataFrame:
             out = pdf.iloc[order].drop(columns="place").copy()
             out["position"] = range(len(out))
             yield out
-    kinds = INDEX + ", range int, position int"
-    cols = [c.split()[0] for c in INDEX.split(", ")]
-    return (placed.repartition("range").sortWithinPartitions("range", "archive", "place")
-            .select(*cols, "range", "place").mapInPandas(merge, kinds))
+    kinds = LINES + ", range int, position int"
+    cols = [c.split()[0] for c in LINES.split(", ")]
+    merged = (placed.repartition("range").sortWithinPartitions("range", "archive", "place")
+              .select(*cols, "range", "place").mapInPandas(merge, kinds))
+    return merged.withColumns({c: F.col(c).cast("long") for c in ("page_id", "refers_to")})
 
 
 def _place(runs: DataFrame, borders: list[tuple]) -> DataFrame:
@@ -255,7 +256,7 @@ def _place(runs: DataFrame, borders: list[tuple]) -> DataFrame:
             lines = zip(pdf["url_key"], pdf["captured"], pdf["archive"], pdf["offset"])
             pdf["range"] = [bisect_right(edges, line) for line in lines]
             yield pdf
-    return runs.mapInPandas(place, INDEX + ", place long, range int")
+    return runs.mapInPandas(place, LINES + ", place long, range int")
 
 
 def capture_history(captures: DataFrame, scratch: Scratch, *, min_bytes: int = 0) -> DataFrame:
