@@ -2,6 +2,7 @@ import shutil
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 import corpus_pipeline
@@ -10,7 +11,7 @@ from airlattice.llm.common import Scratch
 from tests.llm.test_neardup import brute
 from tests.llm.util import SF, awkward, docs, labels
 
-NAMES = [f"op{i}_" for i in range(1, 11)]
+NAMES = [f"op{i}_" for i in range(1, 14)]
 
 
 def test_registered():
@@ -69,6 +70,22 @@ def test_stages_take_effect(spark, folder):
     assert (mixed.taken <= 2 * mixed["size"]).all()
 
 
+def test_rows_without_or_with_repeated_ids(spark):
+    """Equal texts go and secrets are masked whatever the ids; texts that share an id are documents of their own."""
+    stages = dict(corpus_pipeline.STAGES)
+    text = " ".join(f"word{k}" for k in range(40))
+    secret = "password = 'kj3Hs92LmQx7Zt4P'"
+    rows = [(None, text, "en", "a", 1), (None, text, "en", "a", 1), (7, text, "en", "a", 1), (7, f"another one {secret} of that id", "en", "a", 1),
+            (None, f"nothing else {secret} to see", "en", "a", 1), (3, text, "en", "b", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("_secrets", F.lit(1)).withColumn("row_number", F.lit(2))
+    single = stages["near_dedup"](spark, df, SF)
+    assert single.columns == df.columns
+    assert sorted(((r["doc_id"], r["text"][:7]) for r in single.collect()), key=str) == [(3, "word0 w"), (7, "another"), (None, "nothing")]
+    masked = stages["secrets"](spark, df, SF)
+    assert masked.columns == df.columns and masked.count() == 6
+    assert masked.where("text LIKE '%kj3Hs92LmQx7Zt4P%'").count() == 0 and masked.where("text LIKE '%[SECRET]%'").count() == 2
+
+
 def test_run_equals_stages_and_empty(spark, folder, tmp_path):
     got = corpus_pipeline.run(spark, folder).toPandas()
     assert len(got) > 50 and set(got.columns) == {"doc_id", "size", "source", "source_size", "target", "taken"}
