@@ -2,7 +2,8 @@
 
 quality -> near duplicates -> decontamination -> secrets -> mixing. All stages but the last return the
 columns of documents. Null and empty texts: rated like any text, never duplicates, never
-leaks; documents without an id pass the stages that go by id. An empty table stays empty.
+leaks. Where ids repeat or are missing, the stages that go by id number the rows themselves: every
+row is a document of its own. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airlattice.llm.common import Scratch, fold
+from airlattice.llm.common import Scratch, fold, unused
 from airlattice.llm.decontam import without_leaks
 from airlattice.llm.mixing import mix
 from airlattice.llm.neardup import near_duplicates
@@ -26,16 +27,28 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_good(docs, learn(docs, labels.where(fold(F.col("doc_id"), 5) != 0)))
 
 
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The documents and a column that tells all their rows apart: doc_id, or a number written with them."""
+    again = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("doc_id IS NULL OR n > 1")
+    if again.isEmpty():
+        return docs, "doc_id"
+    key = unused(docs, "row_number")
+    return Scratch(docs.sparkSession).save(docs.withColumn(key, F.monotonically_increasing_id()), "numbered"), key
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group (5-word shingles, similarity 0.8): the smallest id."""
-    found = near_duplicates(docs, Scratch(spark), words=5, percent=80)
-    again = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("doc_id IS NOT NULL AND n > 1")
-    if not again.isEmpty():     # rows that repeat an id are one document
-        docs = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
-    dropped = found.where("NOT kept").select("doc_id")
+    """One document of each near-duplicate group (5-word shingles, similarity 0.8): that of the smallest id."""
+    rows, key = _keyed(docs)
+    found = near_duplicates(rows.select(F.col(key).alias("doc_id"), "text"), Scratch(spark), words=5, percent=80)
+    dropped = found.where("NOT kept").select(F.col("doc_id").alias(key))
+    if key != "doc_id":     # numbers do not follow the ids
+        own = found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group")).join(
+            rows.select(F.col(key).alias("_row"), F.col("doc_id").alias("_id")), "_row")
+        first = own.groupBy("_group").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_row")).alias("_first"))
+        dropped = own.join(first.select(F.col("_first._row").alias("_row")), "_row", "left_anti").select(F.col("_row").alias(key))
     if dropped.count() <= DROPPED_ROWS:
         dropped = F.broadcast(dropped)
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    return rows.join(dropped, key, "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +58,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with confirmed secrets masked."""
-    return redact(docs, scan(docs, Scratch(spark)))
+    rows, key = _keyed(docs)
+    found = scan(rows.select(F.col(key).alias("doc_id"), "text", "source"), Scratch(spark))
+    return redact(rows, found, key).select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
