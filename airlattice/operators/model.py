@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from airlattice.constants import (FORECAST_STEPS, SEARCH_DRAWS, SEARCH_FOLDS, SEARCH_SEED)
 from airlattice.functions import timefeat as T
+from airlattice.operators import direct
 from airlattice.operators import evaluate as E
 from airlattice.operators.forecast import non_negative
 from airlattice.operators.series import chrono_split
@@ -287,47 +288,6 @@ def recursive_forecast(spark, history: DataFrame, model, keys: list[str], ts: st
 
 def direct_forecast(series: DataFrame, keys: list[str], ts: str, value: str, lags: int,
                     steps: int = FORECAST_STEPS - 1) -> DataFrame:
-    """One linear model per horizon h (label = value h rows ahead), fitted on
-    every series at once and applied to each series' last row.
-
-    All horizons are fitted from ONE aggregation: per h the normal-equation sums
-    X'X and X'y over the rows that have a label h steps ahead. The driver receives a
-    fixed number of sums (one row per horizon, independent of the data size), solves
-    the small systems, and the predictions are column expressions on the last rows.
-    """
-    import numpy as np
-
-    frame, cols = feature_frame(series, keys, ts, value, lags)
-    w = Window.partitionBy(*keys).orderBy(ts)
-    frame = frame.withColumns({f"label_{h}": F.lead(value, h).over(w) for h in range(1, steps + 1)})
-    xs = [F.lit(1.0)] + [F.col(c) for c in cols]
-    p = len(xs)
-    # long form: each row once per horizon it has a label for; one grouped pass
-    labels = F.array(*[F.struct(F.lit(h).alias("h"), F.col(f"label_{h}").alias("y")) for h in range(1, steps + 1)])
-    long = frame.select(*[x.alias(f"_x{i}") for i, x in enumerate(xs)],
-                        F.explode(F.filter(labels, lambda e: e["y"].isNotNull())).alias("_e"))
-    xi = [F.col(f"_x{i}") for i in range(p)]
-    y = F.col("_e.y")
-    aggs = [F.sum(xi[i] * xi[j]).alias(f"g_{i}_{j}") for i in range(p) for j in range(i, p)] + \
-           [F.sum(xi[i] * y).alias(f"b_{i}") for i in range(p)]
-    rows = {r["_h"]: r.asDict() for r in long.groupBy(F.col("_e.h").alias("_h")).agg(*aggs).collect()}
-    coefs = []
-    for h in range(1, steps + 1):
-        g = np.zeros((p, p))
-        b = np.zeros(p)
-        r = rows.get(h, {})
-        for i in range(p):
-            b[i] = r.get(f"b_{i}") or 0.0
-            for j in range(i, p):
-                g[i, j] = g[j, i] = r.get(f"g_{i}_{j}") or 0.0
-        coefs.append(np.linalg.pinv(g) @ b)
-    last = frame.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(ts).desc()))) \
-                .filter("_rn = 1").drop("_rn")
-    beta = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in coefs])
-    out = last.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(steps))))
-    bh = F.element_at(beta, F.col("step"))
-    pred = xs[0] * F.element_at(bh, 1)
-    for i in range(1, p):
-        pred = pred + xs[i] * F.element_at(bh, i + 1)
-    return out.select(*keys, "step", (F.col(ts) + F.make_interval(hours=F.col("step"))).alias(ts),
-                      non_negative(pred).alias("value"))
+    """One linear model per horizon h (label = value h rows ahead), fitted on every series at
+    once and applied to each series' last row; see ``operators.direct``."""
+    return direct.direct_forecast(series, keys, ts, value, lags, steps)

@@ -171,8 +171,32 @@ def stream_aqi(spark, sf_dir):
 
 @query("direct_forecast")
 def direct_forecast(spark, sf_dir):
-    """One model per horizon (24) fitted on all series, applied to each sensor's last row."""
-    return M.direct_forecast(V.series_long(spark, sf_dir), K, "ts", "value", 3)
+    """One model per horizon (24) of 25 lags, fitted on the sensors' series and the network's, applied to each
+    series' last row; a series no longer than the lags has none."""
+    history = V.series_long(spark, sf_dir).select(*K, "ts", "value").unionByName(_network(spark, sf_dir))
+    return M.direct_forecast(history, K, "ts", "value", FORECAST_LAGS)
+
+
+@query("direct_sums", f"""
+WITH n AS ({V.SQL_SERIES_LONG} UNION ALL SELECT -1, pollutant, ts, value FROM ({V.SQL_NETWORK_SERIES}) w),
+l AS (SELECT *, lag(value, 1) OVER w AS l1, lag(value, {FORECAST_LAGS}) OVER w AS l25, {", ".join(f"lead(value, {h}) OVER w AS y{h}" for h in range(1, FORECAST_STEPS))}
+      FROM n WHERE value IS NOT NULL WINDOW w AS (PARTITION BY sensor_id, pollutant ORDER BY ts)),
+u AS (SELECT l1, l25, unnest(range(1, {FORECAST_STEPS})) AS step, unnest([{", ".join(f"y{h}" for h in range(1, FORECAST_STEPS))}]) AS y FROM l WHERE l25 IS NOT NULL)
+SELECT CAST(step AS INTEGER) AS step, CAST(count(*) AS BIGINT) AS n, round(sum(l1), 2) AS s1, round(sum(l1 * l25), 2) AS s1_25, round(sum(l25 * l25), 2) AS s25,
+       round(sum(y), 2) AS sy, round(sum(l1 * y), 2) AS s1_y, round(sum(l25 * y), 2) AS s25_y
+FROM u WHERE y IS NOT NULL GROUP BY step
+""")
+def direct_sums(spark, sf_dir):
+    """Some of the cross-products of every horizon, as the direct forecast takes them from one pass."""
+    from airlattice.operators import direct
+    steps = FORECAST_STEPS - 1
+    history = V.series_long(spark, sf_dir).select(*K, "ts", "value").unionByName(_network(spark, sf_dir))
+    gram, cross = direct.sums(direct.frame(history, K, "ts", "value", FORECAST_LAGS, steps), FORECAST_LAGS, steps)
+    a, b = 1, FORECAST_LAGS          # the first and the last lag; 0 is the constant
+    found = [(h + 1, int(round(g[0, 0])), *map(float, (g[0, a], g[a, b], g[b, b], c[0], c[a], c[b]))) for h, (g, c) in enumerate(zip(gram, cross))]
+    names = ["s1", "s1_25", "s25", "sy", "s1_y", "s25_y"]
+    out = spark.createDataFrame(found, "step int, n long, " + ", ".join(f"{c} double" for c in names)).where("n > 0")
+    return out.withColumns({c: F.round(c, 2) for c in names})
 
 
 # Oracles for the file / stream round trips whose end state SQL can state.

@@ -71,6 +71,27 @@ def test_direct_forecast_matches_least_squares(spark):
         assert abs(out[h - 1].value - X[-1] @ beta) < 1e-6
 
 
+def test_direct_sums_equal_those_of_every_horizon(spark):
+    """Series of many lengths, some shorter than the lags or the horizon, null values, partitions."""
+    from airlattice.operators import direct
+    rng = np.random.default_rng(2)
+    rows = [(s, i, None if (s + i) % 13 == 0 else float(np.round(rng.normal() + s, 4))) for s, n in enumerate([1, 3, 5, 6, 9, 40]) for i in range(n)]
+    series = spark.createDataFrame(rows, "s int, i int, v double").withColumn("ts", F.timestamp_seconds(F.col("i") * 3600)).repartition(4)
+    gram, cross = direct.sums(direct.frame(series, ["s"], "ts", "v", 3, 5), 3, 5)
+    want_g, want_c = np.zeros((5, 8, 8)), np.zeros((5, 8))
+    for s in range(6):
+        own = [(i, v) for k, i, v in rows if k == s and v is not None]
+        for at in range(3, len(own)):
+            hour, day = own[at][0] % 24, (own[at][0] // 24 + 3) % 7
+            x = np.array([1.0, *[own[at - k][1] for k in (1, 2, 3)], *[f(2 * math.pi * p / m) for p, m in ((hour, 24), (day, 7)) for f in (math.cos, math.sin)]])
+            for h in range(1, 6):
+                if at + h < len(own):
+                    want_g[h - 1] += np.outer(x, x)
+                    want_c[h - 1] += x * own[at + h][1]
+    assert np.allclose(gram, want_g, atol=1e-9) and np.allclose(cross, want_c, atol=1e-9)
+    assert direct.direct_forecast(series.limit(0), ["s"], "ts", "v", 3, 5).count() == 0
+
+
 def test_register_round_trip(spark, tmp_path):
     from pyspark.ml import PipelineModel
     from pyspark.ml.feature import VectorAssembler
