@@ -26,6 +26,8 @@ from airlattice.constants import (FORECAST_STEPS, SEARCH_DRAWS, SEARCH_FOLDS, SE
 from airlattice.functions import timefeat as T
 from airlattice.operators import direct
 from airlattice.operators import evaluate as E
+from airlattice.operators import linear as L
+from airlattice.operators import trees
 from airlattice.operators.forecast import non_negative
 from airlattice.operators.series import chrono_split
 from airlattice.session import cut_lineage
@@ -38,7 +40,10 @@ FAMILIES = {
     "RandomForest": RandomForestRegressor,
     "LightGBM": GBTRegressor,
     "XGBoost": GBTRegressor,
+    "ElasticNet": L.ElasticNet,
 }
+# Families whose loss is ``linear``'s: their draws are scored from fold sums.
+FROM_SUMS = {"Linear", "ElasticNet"}
 
 
 # Every grid has more points than a search draws (50), so no draw is lost.
@@ -52,6 +57,19 @@ GRIDS = {
     "XGBoost": {"maxIter": [100, 300, 500], "maxDepth": [6, 8, 10], "stepSize": [0.1, 0.2, 0.3], "minInfoGain": [0.0, 0.1]},
 }
 
+GRIDS["ElasticNet"] = GRIDS["Linear"]
+
+
+def register_family(name: str, estimator, params: dict[str, list]) -> None:
+    """add a family. ``estimator`` is a class of the pipeline contract: it takes featuresCol and labelCol, has ``setSeed``
+    and a param per key of ``params``, and its model has a writer; then it is searched, saved and loaded as the others."""
+    lacking = [p for p in params if not hasattr(estimator, p)]
+    if lacking:
+        raise ValueError(f"{estimator.__name__} lacks the params {lacking}")
+    if name in FAMILIES:
+        raise ValueError(f"there is a family {name!r} already")
+    FAMILIES[name], GRIDS[name] = estimator, dict(params)
+
 
 def make(name: str, features: str = "features", label: str = "label"):
     """M9: an estimator of the named family."""
@@ -72,25 +90,23 @@ def grid(name: str, est) -> list:
     return g.build()
 
 
-def time_block_folds(df: DataFrame, ts: str, folds: int, col: str = "fold") -> DataFrame:
-    """Unshuffled folds as contiguous time blocks (one min/max aggregate, no global sort)."""
-    lo, hi = df.agg(F.min(F.unix_seconds(ts)), F.max(F.unix_seconds(ts))).first()
-    width = max((hi - lo + 1) / folds, 1.0) if lo is not None else 1.0
-    return df.withColumn(col, F.least(F.floor((F.unix_seconds(ts) - F.lit(lo)) / F.lit(width)),
-                                      F.lit(folds - 1)).cast("int"))
-
-
-def random_search(name: str, df: DataFrame, ts: str, n: int = SEARCH_DRAWS, folds: int = SEARCH_FOLDS,
-                  seed: int = SEARCH_SEED, parallelism: int = 4):
-    """``n`` seeded draws from the family grid, scored by R^2 over unshuffled
-    time-block folds; returns the best fitted model on all of ``df``."""
+def random_search(name: str, df: DataFrame, keys: list[str], ts: str, features: list[str], n: int = SEARCH_DRAWS,
+                  folds: int = SEARCH_FOLDS, seed: int = SEARCH_SEED, parallelism: int = 4):
+    """``n`` seeded draws from the family grid, scored by R^2 over unshuffled folds (blocks of time of each
+    series); returns the best fitted model on all of ``df``. Linear families read the rows once for all
+    draws (``linear.search``), others are cross-validated."""
     est = make(name)
     maps = grid(name, est)
     draws = random.Random(seed).sample(maps, min(n, len(maps)))
-    data = time_block_folds(df, ts, folds)
+    data = trees.folds(df, keys, ts, folds)
+    if name in FROM_SUMS:
+        sums = L.fold_sums(data, [], "_fold", features, "label")
+        points = [(d[est.regParam], d[est.elasticNetParam]) for d in draws]
+        best_params = draws[L.search(sums, [], features, "label", points).where("is_best").first()["draw"]]
+        return est.fit(df, best_params), best_params
     cv = CrossValidator(estimator=est, estimatorParamMaps=draws, numFolds=folds, seed=seed,
                         evaluator=RegressionEvaluator(metricName="r2", labelCol="label"),
-                        foldCol="fold", parallelism=parallelism)
+                        foldCol="_fold", parallelism=parallelism)
     fitted = cv.fit(data)
     scores = fitted.avgMetrics
     best_params = draws[max(range(len(scores)), key=lambda i: scores[i])]
@@ -142,7 +158,7 @@ def train_best(frame: DataFrame, feature_cols: list[str], keys: list[str], ts: s
     train, test = data.filter("is_train"), data.filter("NOT is_train")
     models, preds = {}, []
     for i, name in enumerate(families):
-        m, params = random_search(name, train, ts, draws, folds)
+        m, params = random_search(name, train, keys, ts, feature_cols, draws, folds)
         models[name] = (m, params)
         preds.append(m.transform(test).select(*keys, F.lit(name).alias("model"), F.lit(i).alias("family_order"),
                                               F.col("label").alias("actual"), F.col("prediction").alias("predicted")))

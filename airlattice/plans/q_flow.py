@@ -184,26 +184,39 @@ def sorted_sink(spark, sf_dir):
     return back.select(*K, "ts", "value", place.cast("long").alias("place"))
 
 
-@query("model_round_trip", f"""
+_SQL_ROUND_TRIP = f"""
 SELECT pollutant, ts, true AS same FROM (
   SELECT pollutant, ts, value, lag(value, 1) OVER w AS a, lag(value, 2) OVER w AS b FROM ({V.SQL_NETWORK_SERIES}) n
   WINDOW w AS (PARTITION BY pollutant ORDER BY ts)) t WHERE value IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL
-""")
-def model_round_trip(spark, sf_dir):
-    """S17 + P23: a fitted model saved with its feature list, loaded, and applied to the projected frame."""
+"""
+
+
+def _round_trip(spark, sf_dir, family):
     from pyspark.ml import PipelineModel
     from pyspark.ml.feature import VectorAssembler
 
     frame, cols = M.feature_frame(V.network_series(spark, sf_dir), ["pollutant"], "ts", "value", 2)
     asm = VectorAssembler(inputCols=cols, outputCol="features")
-    fitted = PipelineModel(stages=[asm, M.make("Linear").fit(asm.transform(frame))])
-    saved = M.register(spark, fitted, cols, scratch(spark, "model"), {"pollutant": "all", "model": "Linear"}).first()
+    fitted = PipelineModel(stages=[asm, M.make(family).fit(asm.transform(frame))])
+    saved = M.register(spark, fitted, cols, scratch(spark, "model"), {"pollutant": "all", "model": family}).first()
     keep = ["pollutant", "ts"]
     again = M.load(saved["path"]).transform(M.project(frame, saved["features"], keep)).select(*keep, F.col("prediction").alias("again"))
     first = fitted.transform(frame).select(*keep, F.col("prediction").alias("first"))
     return first.join(again, keep).select(*keep, (F.col("first") == F.col("again")).alias("same"))
 
 
+@query("model_round_trip", _SQL_ROUND_TRIP)
+def model_round_trip(spark, sf_dir):
+    """S17 + P23: a fitted model saved with its feature list, loaded, and applied to the projected frame."""
+    return _round_trip(spark, sf_dir, "Linear")
+
+
+@query("plugin_round_trip", _SQL_ROUND_TRIP)
+def plugin_round_trip(spark, sf_dir):
+    """F3 + S17: the same for a family that is not Spark ML's own (``linear.ElasticNet``)."""
+    return _round_trip(spark, sf_dir, "ElasticNet")
+
+
 @query("feature_projection", f"""
 SELECT sensor_id, pollutant, ts, lag(value, 3) OVER w AS lag_3, lag(value, 1) OVER w AS lag_1
 FROM ({V.SQL_SERIES_LONG}) s WINDOW w AS (PARTITION BY sensor_id, pollutant ORDER BY ts)

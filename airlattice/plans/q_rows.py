@@ -47,8 +47,13 @@ def _network(spark, sf_dir):
     return V.network_series(spark, sf_dir).select(F.lit(-1).cast("long").alias("sensor_id"), "pollutant", "ts", "value")
 
 
+def _history(spark, sf_dir):
+    """The sensors' series and the network's; rows without all their lags fall out of a frame."""
+    return V.series_long(spark, sf_dir).select(*K, "ts", "value").unionByName(_network(spark, sf_dir))
+
+
 def _training(spark, sf_dir, lags):
-    return M.feature_frame(_network(spark, sf_dir), K, "ts", "value", lags, {"pollutant": POLLUTANT_VALUES})
+    return M.feature_frame(_history(spark, sf_dir), K, "ts", "value", lags, {"pollutant": POLLUTANT_VALUES})
 
 
 @query("train_best")
@@ -62,13 +67,13 @@ def train_best(spark, sf_dir):
 @query("recursive_forecast")
 def recursive_forecast(spark, sf_dir):
     """25 recursive hourly steps for every series at once with a linear model of 25 lags
-    fitted on the network's; series shorter than that get null steps; first step dropped."""
+    fitted on all of them; series shorter than that get null steps; first step dropped."""
     frame, cols = _training(spark, sf_dir, FORECAST_LAGS)
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import LinearRegression
     lr = LinearRegression(featuresCol="features", labelCol="label", regParam=0.01, solver="normal")
     fitted = lr.fit(VectorAssembler(inputCols=cols, outputCol="features").transform(frame))
-    history = V.series_long(spark, sf_dir).select(*K, "ts", "value").unionByName(_network(spark, sf_dir))
+    history = _history(spark, sf_dir)
     return M.recursive_forecast(spark, history, fitted, K, "ts", "value", FORECAST_LAGS, {"pollutant": POLLUTANT_VALUES})
 
 
@@ -94,7 +99,7 @@ SELECT sensor_id, pollutant, step, t0 + step * INTERVAL 1 HOUR AS ts, round(CASE
 def recursive_linear(spark, sf_dir):
     """M13 with 25 lags and given coefficients: every sensor's series (most are shorter than the lags and
     get null steps) and, as sensor -1, the network's."""
-    long = V.series_long(spark, sf_dir).select(*K, "ts", "value").unionByName(_network(spark, sf_dir))
+    long = _history(spark, sf_dir)
     out = M.recursive_forecast(spark, long, M.Coefficients(2.5, FIXED), K, "ts", "value", FORECAST_LAGS)
     return out.withColumn("value", F.round("value", 6)).withColumn("step", F.col("step").cast("int"))
 
@@ -173,7 +178,7 @@ def stream_aqi(spark, sf_dir):
 def direct_forecast(spark, sf_dir):
     """One model per horizon (24) of 25 lags, fitted on the sensors' series and the network's, applied to each
     series' last row; a series no longer than the lags has none."""
-    history = V.series_long(spark, sf_dir).select(*K, "ts", "value").unionByName(_network(spark, sf_dir))
+    history = _history(spark, sf_dir)
     return M.direct_forecast(history, K, "ts", "value", FORECAST_LAGS)
 
 
@@ -190,7 +195,7 @@ def direct_sums(spark, sf_dir):
     """Some of the cross-products of every horizon, as the direct forecast takes them from one pass."""
     from airlattice.operators import direct
     steps = FORECAST_STEPS - 1
-    history = V.series_long(spark, sf_dir).select(*K, "ts", "value").unionByName(_network(spark, sf_dir))
+    history = _history(spark, sf_dir)
     gram, cross = direct.sums(direct.frame(history, K, "ts", "value", FORECAST_LAGS, steps), FORECAST_LAGS, steps)
     a, b = 1, FORECAST_LAGS          # the first and the last lag; 0 is the constant
     found = [(h + 1, int(round(g[0, 0])), *map(float, (g[0, a], g[a, b], g[b, b], c[0], c[a], c[b]))) for h, (g, c) in enumerate(zip(gram, cross))]

@@ -27,4 +27,4 @@ def query(name: str, oracle: str | None = None):
 def load_all() -> None:
     # Importing the modules registers their queries.
     from airlattice.plans import (q_ingest, q_store, q_geo, q_time, q_series,  # noqa: F401
-                                  q_distance, q_evaluate, q_serve, q_rows, q_flow, q_trees, q_recursion)
+                                  q_distance, q_evaluate, q_serve, q_rows, q_flow, q_trees, q_recursion, q_linear)

@@ -100,3 +100,25 @@ def test_estimator_is_saved_and_loaded(spark):
     assert [r.prediction for r in a.orderBy("t").collect()] == [r.prediction for r in b.orderBy("t").collect()]
     spark_ml = LinearRegression(regParam=0.1, elasticNetParam=0.5, solver="normal", tol=1e-10, maxIter=1000).fit(asm.transform(df))
     assert np.allclose(fitted.stages[1].getOrDefault("coefficients"), spark_ml.coefficients.toArray(), atol=1e-5)
+
+
+def test_a_family_is_registered_searched_and_chosen(spark):
+    from airlattice.operators import model as M
+
+    class Mine(L.ElasticNet):
+        pass
+    M.register_family("Mine", Mine, {"regParam": [0.0, 100.0], "elasticNetParam": [0.0]})
+    try:
+        with pytest.raises(ValueError):
+            M.register_family("Mine", Mine, {"regParam": [0.0]})
+        with pytest.raises(ValueError):
+            M.register_family("Other", Mine, {"maxDepth": [1]})
+        x, y = _rows(seed=7, n=120)
+        df = _frame(spark, {1: (x, y)}).withColumns({"label": F.col("y"), "ts": F.timestamp_seconds(F.col("t") * 3600)})
+        res = M.train_best(df, X, ["k"], "ts", ["Mine", "ElasticNet", "Linear"], draws=2, folds=3)
+        errors = {r.model: r for r in res.errors.collect()}
+        assert set(errors) == {"Mine", "ElasticNet", "Linear"} and sum(r.is_best for r in errors.values()) == 1
+        assert all(r.mae < 1.2 for r in errors.values())
+        assert res.models["Mine"][1][Mine().regParam] == 0.0
+    finally:
+        M.FAMILIES.pop("Mine", None), M.GRIDS.pop("Mine", None)
