@@ -173,7 +173,9 @@ def train_best(frame: DataFrame, feature_cols: list[str], keys: list[str], ts: s
     errors = (errors.join(per_series, on=keys + ["model"], how="left")
                     .withColumn("is_best", F.coalesce("is_best", F.lit(False))).drop("family_order"))
     # the pooled winner is fitted once more, on every row, with its tuned parameters
-    refit = make(best_name).fit(asm.transform(frame), models[best_name][1])
+    # (a parameter belongs to the estimator it was drawn for, so they are set anew by name)
+    fresh = make(best_name)
+    refit = fresh.fit(asm.transform(frame), {fresh.getParam(p.name): v for p, v in models[best_name][1].items()})
     models["_best"] = PipelineModel(stages=[asm, refit])
     models["_best_raw"] = refit
     errors = cut_lineage(errors)   # read while the predictions are still cached

@@ -1,120 +1,27 @@
 """Feature selection by OLS p-values (M6) and backward elimination (M7).
 
 The data are read once: ``series.gram_sums`` reduces every series to its sufficient
-statistics (n, sums, cross-products) in one grouped aggregation. The elimination
-then runs on those few numbers per series (one row per series, numpy inside
-``mapInPandas``), so it never rescans the readings however many rounds it takes.
+statistics (n, sums, cross-products) in one grouped aggregation. The elimination then
+runs on those few numbers per series by sweeping features out (``sweep``), so it never
+rescans the readings however many rounds it takes, and stays in the JVM.
 """
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 
 from airlattice.constants import SIGNIFICANCE_LEVEL
+from airlattice.operators import sweep
 from airlattice.operators.series import gram_sums
 
 
-def _tail_fraction(a: float, b: float, x: float, depth: int = 400) -> float:
-    """The continued fraction 1 / (1 + d1 x / (1 + d2 x / ...)) of the incomplete beta.
-
-    d(2m) = m (b - m) / ((a + 2m - 1)(a + 2m)),
-    d(2m + 1) = -(a + m)(a + b + m) / ((a + 2m)(a + 2m + 1)); evaluated from the far end.
-    """
-    value = 1.0
-    for n in range(depth, 0, -1):
-        m = n // 2
-        if n % 2:
-            d = -(a + m) * (a + b + m) / ((a + 2 * m) * (a + 2 * m + 1))
-        else:
-            d = m * (b - m) / ((a + 2 * m - 1) * (a + 2 * m))
-        value = 1.0 + d * x / value
-    return 1.0 / value
-
-
-def betainc(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta: x^a (1 - x)^b / (a B(a, b)) times the fraction, which
-    converges fast below the mean; above it the symmetric form is used."""
-    if x <= 0.0 or x >= 1.0:
-        return float(x >= 1.0)
-    if x > (a + 1.0) / (a + b + 2.0):
-        return 1.0 - betainc(b, a, 1.0 - x)
-    log_scale = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
-    return math.exp(log_scale) * _tail_fraction(a, b, x) / a
-
-
-def t_two_sided(t: float, dof: float) -> float:
-    """Two-sided p-value of Student's t."""
-    if not np.isfinite(t):
-        return 0.0 if abs(t) == np.inf else float("nan")
-    return betainc(dof / 2.0, 0.5, dof / (dof + t * t))
-
-
-def ols_pvalues(xtx: np.ndarray, xty: np.ndarray, yty: float, n: float) -> np.ndarray:
-    """p-values of an OLS fit from its Gram matrix (first column = constant).
-    Singular systems use the pseudo-inverse."""
-    inv = np.linalg.pinv(xtx)
-    beta = inv @ xty
-    rss = max(yty - 2.0 * beta @ xty + beta @ xtx @ beta, 0.0)
-    dof = n - xtx.shape[0]
-    if dof <= 0:
-        return np.full(xtx.shape[0], np.nan)
-    sigma2 = rss / dof
-    se = np.sqrt(np.maximum(np.diag(inv) * sigma2, 0.0))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        t = beta / se
-    return np.array([t_two_sided(float(v), dof) if se[i] > 0 else (0.0 if beta[i] != 0 else 1.0)
-                     for i, v in enumerate(t)])
-
-
-def backward(xtx: np.ndarray, xty: np.ndarray, yty: float, n: float, names: list[str],
-             alpha: float = SIGNIFICANCE_LEVEL) -> tuple[list[str], list[float]]:
-    """M7: drop the feature with the largest p-value while it exceeds ``alpha``."""
-    keep = list(range(len(names)))
-    while keep:
-        idx = [0] + [i + 1 for i in keep]
-        p = ols_pvalues(xtx[np.ix_(idx, idx)], xty[idx], yty, n)[1:]
-        worst = int(np.nanargmax(p)) if not np.all(np.isnan(p)) else 0
-        if np.isnan(p[worst]) or p[worst] > alpha:
-            keep.pop(worst)
-        else:
-            return [names[i] for i in keep], [float(v) for v in p]
-    return [], []
-
-
-def _matrices(row: pd.Series, x: list[str], y: str):
-    m = len(x)
-    xtx = np.zeros((m + 1, m + 1))
-    xty = np.zeros(m + 1)
-    xtx[0, 0] = row["n"]
-    xty[0] = row[f"s_{y}"]
-    for i, a in enumerate(x):
-        xtx[0, i + 1] = xtx[i + 1, 0] = row[f"s_{a}"]
-        xty[i + 1] = row[f"s_{a}_{y}"]
-        for j in range(i, m):
-            b = x[j]
-            xtx[i + 1, j + 1] = xtx[j + 1, i + 1] = row[f"s_{a}_{b}"]
-    return xtx, xty, float(row[f"s_{y}_{y}"]), float(row["n"])
-
-
-def select_features(df: DataFrame, keys: list[str], x: list[str], y: str,
-                    alpha: float = SIGNIFICANCE_LEVEL) -> DataFrame:
+def select_features(df: DataFrame, keys: list[str], x: list[str], y: str, alpha: float = SIGNIFICANCE_LEVEL,
+                    scale: int | None = None, digits: int | None = None) -> DataFrame:
     """M6 + M7 per series: keys, selected (array<string>), p_values (array<double>)."""
-    g = gram_sums(df, keys, x, y)
-    schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys) + \
-        ", selected array<string>, p_values array<double>"
+    return sweep.select(gram_sums(df, keys, x, y, scale, digits), keys, x, y, alpha)
 
-    def run(frames):
-        for pdf in frames:
-            rows = []
-            for _, row in pdf.iterrows():
-                xtx, xty, yty, n = _matrices(row, x, y)
-                sel, pv = backward(xtx, xty, yty, n, x, alpha)
-                rows.append({**{k: row[k] for k in keys}, "selected": sel, "p_values": pv})
-            yield pd.DataFrame(rows, columns=keys + ["selected", "p_values"])
 
-    # the grouped sums are one row per series already: no further grouping
-    return g.mapInPandas(run, schema)
+def feature_statistics(df: DataFrame, keys: list[str], x: list[str], y: str,
+                       scale: int | None = None, digits: int | None = None) -> DataFrame:
+    """M6: keys, feature, coefficient, t, p of the fit on all features."""
+    return sweep.statistics(gram_sums(df, keys, x, y, scale, digits), keys, x, y)

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from airlattice.constants import FORECAST_LAGS, FORECAST_STEPS, TRAIN_LAGS
 from airlattice.operators import model as M
-from airlattice.operators import select as SEL
 from airlattice.operators import series as S
 from airlattice.plans import views as V
 from airlattice.plans.registry import query
@@ -25,17 +24,6 @@ def scratch(spark, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-@query("backward_elimination")
-def backward_elimination(spark, sf_dir):
-    """M6 + M7 per network series: candidate features lags 1-6 and hour encodings."""
-    lg = S.lags(V.network_series(spark, sf_dir), ["pollutant"], "ts", "value", 6)
-    from airlattice.functions.timefeat import cyclic
-    hc, hs = cyclic(F.hour("ts"), 24)
-    lg = lg.withColumns({"hour_cos": hc, "hour_sin": hs})
-    x = [f"lag_{k}" for k in range(1, 7)] + ["hour_cos", "hour_sin"]
-    return SEL.select_features(lg, ["pollutant"], x, "value")
-
-
 # The families whose whole search (50 draws x 5 folds) one node finishes in minutes.
 TRAIN_FAMILIES = ["Linear", "DecisionTree"]
 POLLUTANT_VALUES = V.MEASURED

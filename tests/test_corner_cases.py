@@ -12,8 +12,8 @@ from airlattice import session
 from airlattice.functions.geo import haversine
 from airlattice.operators import clean, impute, serve
 from airlattice.operators import model as M
-from airlattice.operators import select as SEL
 from airlattice.operators.nearest import nearest
+from airlattice.operators.sweep import p_value
 from airlattice.sources import files, landing, store
 from airlattice.streaming import ingest as R
 
@@ -179,14 +179,16 @@ def test_history_bounds_reach_the_scan(spark):
     assert "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts" in out._jdf.queryExecution().executedPlan().toString()
 
 
-def test_incomplete_beta_against_integration():
-    for a, b in ((0.5, 0.5), (2.0, 0.5), (15.0, 0.5), (3.0, 7.0)):
-        n = 200_000
-        for x in (0.05, 0.3, 0.8, 0.99):
-            # substitution t = x u^2 takes the singularity at 0 away
-            total = sum(2 * x * u * (x * u * u) ** (a - 1) * (1 - x * u * u) ** (b - 1) for u in ((i + 0.5) / n for i in range(n))) / n
-            want = total / math.exp(math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b))
-            assert SEL.betainc(a, b, x) == pytest.approx(want, abs=2e-5)
+def test_incomplete_beta_against_integration(spark):
+    """A p-value is the regularised incomplete beta of (dof / 2, 1 / 2) at dof / (dof + t^2)."""
+    cases = {(a, x): math.sqrt(2 * a * (1 - x) / x) for a in (0.5, 2.0, 15.0) for x in (0.05, 0.3, 0.8, 0.99)}
+    df = spark.createDataFrame([(a, x, 2 * a, t) for (a, x), t in cases.items()], "a double, x double, dof double, t double")
+    n, b = 200_000, 0.5
+    for r in df.select("a", "x", F.expr(p_value("t", "dof")).alias("p")).collect():
+        # substitution t = x u^2 takes the singularity at 0 away
+        total = sum(2 * r.x * u * (r.x * u * u) ** (r.a - 1) * (1 - r.x * u * u) ** (b - 1) for u in ((i + 0.5) / n for i in range(n))) / n
+        want = total / math.exp(math.lgamma(r.a) + math.lgamma(b) - math.lgamma(r.a + b))
+        assert r.p == pytest.approx(want, abs=2e-5)
 
 
 def test_a_cluster_must_name_its_shared_folder():

@@ -119,6 +119,10 @@ def test_a_family_is_registered_searched_and_chosen(spark):
         errors = {r.model: r for r in res.errors.collect()}
         assert set(errors) == {"Mine", "ElasticNet", "Linear"} and sum(r.is_best for r in errors.values()) == 1
         assert all(r.mae < 1.2 for r in errors.values())
-        assert res.models["Mine"][1][Mine().regParam] == 0.0
+        assert {p.name: v for p, v in res.models["Mine"][1].items()} == {"regParam": 0.0, "elasticNetParam": 0.0}
+        M.register_family("Strong", L.ElasticNet, {"regParam": [1e6], "elasticNetParam": [1.0]})
+        heavy = M.train_best(df, X, ["k"], "ts", ["Strong"], draws=1, folds=3)
+        assert heavy.models["_best_raw"].getOrDefault("coefficients") == [0.0, 0.0, 0.0]     # the refit is tuned too
     finally:
-        M.FAMILIES.pop("Mine", None), M.GRIDS.pop("Mine", None)
+        for name in ("Mine", "Strong"):
+            M.FAMILIES.pop(name, None), M.GRIDS.pop(name, None)

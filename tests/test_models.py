@@ -6,11 +6,14 @@ from pyspark.sql import functions as F
 
 from airlattice.operators import model as M
 from airlattice.operators import select as SEL
+from airlattice.operators.sweep import p_value
 
 
-def test_t_pvalue():
-    assert abs(SEL.t_two_sided(2.0, 10) - 0.0733880347707) < 1e-9
-    assert abs(SEL.t_two_sided(0.0, 5) - 1.0) < 1e-12
+def test_t_pvalue(spark):
+    p = spark.createDataFrame([(2.0, 10.0), (0.0, 5.0)], "t double, dof double").select(F.expr(p_value("t", "dof")).alias("p"))
+    two, zero = [r.p for r in p.collect()]
+    assert abs(two - 0.0733880347707) < 1e-9
+    assert abs(zero - 1.0) < 1e-12
 
 
 def test_backward_elimination_keeps_signal(spark):
