@@ -243,13 +243,19 @@ def _neighbours(rows: DataFrame, id_col: str, target: str, k: int, distance: Mix
                 has, wants = pdf[~ask], pdf[ask]
                 x, q = _arrays(has), _arrays(wants)
                 ids, t = has[id_col].to_numpy(), has[target].to_numpy()
-                parts = []
+                found = []
                 for i, own in enumerate(wants[id_col].to_numpy()):
                     d = distance(tuple(a[i] for a in q), x)
-                    order = np.lexsort((ids, d))[:k + 1]
+                    near = np.arange(len(d))
+                    if len(d) > k + 1:
+                        near = np.flatnonzero(d <= np.partition(d, k)[k])      # ties with the last one stay
+                    order = near[np.lexsort((ids[near], d[near]))][:k + 1]
                     order = order[ids[order] != own][:k]
-                    parts.append(pd.DataFrame({id_col: own, "_j": ids[order], "_t": t[order], "_dist": d[order]}))
-                yield pd.concat(parts, ignore_index=True)
+                    found.append((i, order, d[order]))
+                of = np.repeat([i for i, _, _ in found], [len(o) for _, o, _ in found])
+                at = np.concatenate([o for _, o, _ in found])
+                yield pd.DataFrame({id_col: wants[id_col].to_numpy()[of], "_j": ids[at], "_t": t[at],
+                                    "_dist": np.concatenate([v for _, _, v in found])})
         ordered = both.repartition("_unit").sortWithinPartitions("_unit")
         return ordered.mapInPandas(compare, f"{id_col} {kinds[id_col]}, _j {kinds[id_col]}, _t {kinds[target]}, _dist double")
 

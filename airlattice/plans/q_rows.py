@@ -149,6 +149,22 @@ def stream_dedup(spark, sf_dir):
     return spark.read.parquet(out)
 
 
+@query("stream_keep_last")
+def stream_keep_last(spark, sf_dir):
+    """R2 + W3: the last event of each (user, type, hour). The events land in two parts, the second after the stream has
+    ended once, so it goes on from its checkpoint; files come in no time order and the delay covers the input."""
+    land, out, state = (scratch(spark, n) for n in ("landing", "changes", "ckpt"))
+    ev = V.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    keys, order = ["user_id", "event_type", "hour"], ["event_id"]
+    for part in range(2):
+        ev.where(F.pmod(F.xxhash64("event_id"), F.lit(2)) == part).withColumn("day", F.to_date("ts")).repartition("day") \
+            .write.mode("append").partitionBy("day").parquet(land)
+        stream = R.read_landing(spark, land, ev.schema.add("day", "date"), max_files=24)
+        hourly = stream.select("event_id", "user_id", "event_type", "ts", "value", F.date_trunc("hour", "ts").alias("hour"))
+        R.sink_changes(R.keep_last(hourly, keys[:2], "hour", order, "366 days"), out, state).awaitTermination()
+    return R.read_last(spark, out, keys, order)
+
+
 @query("stream_aqi")
 def stream_aqi(spark, sf_dir):
     """AQI on a stream of hourly wide readings."""
@@ -204,6 +220,10 @@ ORACLE["stream_dedup"] = """
 SELECT event_id, user_id, event_type, CAST(ts AS TIMESTAMP) AS ts, value
 FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type, ts ORDER BY event_id) = 1
 """
+ORACLE["stream_keep_last"] = """
+SELECT event_id, user_id, event_type, CAST(ts AS TIMESTAMP) AS ts, value, date_trunc('hour', CAST(ts AS TIMESTAMP)) AS hour
+FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type, date_trunc('hour', ts) ORDER BY event_id DESC) = 1
+"""
 ORACLE["stream_aqi"] = (
     f"SELECT *, greatest({', '.join(sub_index_sql(p, p) for p in V.WIDE_POLLUTANTS)}) AS aqi "
     f"FROM ({V.SQL_HOURLY_WIDE}) hw")

@@ -175,6 +175,16 @@ query("scale_minmax", _scale_sql("min_max"))(_scaled("min_max"))
 query("scale_standard", _scale_sql("standard"))(_scaled("standard"))
 query("scale_robust", _scale_sql("robust"))(_scaled("robust"))
 
+
+
+@query("scale_robust_bounded", _scale_sql("robust"))
+def scale_robust_bounded(spark, sf_dir):
+    """A4 + M4: the robust scaler from exact quantiles by counted bins, for series of any length."""
+    from airlattice.operators.quantiles import robust_stats
+    rows = V.series_long(spark, sf_dir)
+    out = S.apply_scale(rows.select(*K, "ts", "value"), robust_stats(rows, K, ["value"]), K, ["value"])
+    return out.withColumn("value", F.round("value", 9) + F.lit(0.0))
+
 _X = ["lag_1", "lag_2", "lag_3"]
 
 
