@@ -7,7 +7,6 @@ how many raw readings a sensor sends, so no window partition grows with data vol
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -162,39 +161,24 @@ def gram_sums(df: DataFrame, keys: list[str], x: list[str], y: str, scale: int |
     return complete.groupBy(*keys).agg(*aggs)
 
 
-def _durbin_levinson(r: list[float]) -> list[float]:
-    """PACF values 0..L from autocovariances r_0..r_L (Yule-Walker recursion)."""
-    L = len(r) - 1
-    out = [1.0]
-    if L < 1 or not r[0]:
-        return out + [float("nan")] * L
-    phi_prev: list[float] = []
-    for k in range(1, L + 1):
-        num = r[k] - sum(phi_prev[j] * r[k - 1 - j] for j in range(k - 1))
-        den = r[0] - sum(phi_prev[j] * r[j + 1] for j in range(k - 1))
-        kk = num / den if den else float("nan")
-        phi = [phi_prev[j] - kk * phi_prev[k - 2 - j] for j in range(k - 1)] + [kk]
-        out.append(kk)
-        phi_prev = phi
-    return out
-
-
 def pacf(acov: DataFrame, keys: list[str], max_lag: int) -> DataFrame:
-    """Partial autocorrelations per series from ``autocov`` output (one row per
-    series, so the Python step handles arrays of at most max_lag + 1 numbers).
+    """Partial autocorrelations 0..L per series from ``autocov`` output, by the Durbin-Levinson recursion as array
+    expressions: each step keeps the coefficients of the order before (``phi``).
 
-    The lag count follows the reference: max_lag if max_lag < n // 2, else n // 2 - 1.
+    The lag count follows the reference: max_lag if max_lag < n // 2, else n // 2 - 1. A series without variance
+    has NaN beyond lag 0, one too short for a lag has lag 0 only.
     """
-    @F.pandas_udf("array<double>")
-    def dl(ac: pd.Series, n: pd.Series) -> pd.Series:
-        res = []
-        for a, m in zip(ac, n):
-            lags = max_lag if max_lag < m // 2 else m // 2 - 1
-            vals = [float(v) if v is not None else float("nan") for v in list(a)[: max(lags, 0) + 1]]
-            res.append(_durbin_levinson(vals) if lags >= 1 else [1.0])
-        return pd.Series(res)
-
-    return acov.select(*keys, "n", dl(F.col("acov"), F.col("n")).alias("pacf"))
+    nan = "double('NaN')"
+    lags_ = f"CAST(CASE WHEN {max_lag} < n div 2 THEN {max_lag} ELSE n div 2 - 1 END AS INT)"
+    step = (f"transform(array(named_struct('num', r[k] - aggregate(transform(s.phi, (p, j) -> p * r[k - 1 - j]), 0D, (u, v) -> u + v), "
+            "'den', r[0] - aggregate(transform(s.phi, (p, j) -> p * r[j + 1]), 0D, (u, v) -> u + v))), "
+            f"q -> transform(array(CASE WHEN q.den = 0 THEN {nan} ELSE q.num / q.den END), "
+            "c -> named_struct('phi', array_append(transform(s.phi, (p, j) -> p - c * s.phi[k - 2 - j]), c), 'out', array_append(s.out, c)))[0])[0]")
+    start = "named_struct('phi', CAST(array() AS array<double>), 'out', array(1D))"
+    whole = (f"CASE WHEN l < 1 THEN array(1D) WHEN r[0] = 0 THEN concat(array(1D), array_repeat({nan}, l)) "
+             f"ELSE aggregate(sequence(1, l), {start}, (s, k) -> {step}, s -> s.out) END")
+    known = acov.select(*keys, "n", F.expr(lags_).alias("l"), F.expr(f"transform(acov, v -> coalesce(v, {nan}))").alias("r"))
+    return known.select(*keys, "n", F.expr(whole).alias("pacf"))
 
 
 def selected_lags(pacf_df: DataFrame, keys: list[str], threshold: float) -> DataFrame:
