@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from airlattice.functions import timefeat as T
@@ -79,3 +80,14 @@ def test_lag_selection_small_series_uses_half_length(spark):
                                "k int, t int, v double")
     ac = S.autocov(df, ["k"], "t", "v", 24)
     assert len(S.pacf(ac, ["k"], 24).first()["pacf"]) == 8 // 2 - 1 + 1
+
+
+def test_pacf_of_flat_short_and_missing(spark):
+    ac = spark.createDataFrame([("flat", 40, [0.0, 0.0, 0.0]), ("short", 3, [1.0, 0.5, 0.2]), ("hole", 40, [1.0, None, 0.2]),
+                                ("exact", 40, [1.0, 1.0, 1.0]), ("plain", 40, [2.0, 1.0, 0.8])], "k string, n int, acov array<double>")
+    got = {r.k: list(r.pacf) for r in S.pacf(ac, ["k"], 2).collect()}
+    assert got["flat"][0] == 1.0 and np.isnan(got["flat"][1:]).all() and len(got["flat"]) == 3
+    assert got["short"] == [1.0]
+    assert got["hole"][0] == 1.0 and np.isnan(got["hole"][1:]).all()
+    assert got["exact"][:2] == [1.0, 1.0] and np.isnan(got["exact"][2])     # nothing is left to explain
+    assert got["plain"] == pytest.approx([1.0, 0.5, (0.8 - 0.5) / (2.0 - 0.5)])
