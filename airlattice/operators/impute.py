@@ -1,14 +1,13 @@
 """Imputation by nearest rows (M5, J11, W6, A3, A8, A14) without a pair product.
 
 Exact K nearest neighbours of every row with a missing target, over numeric, categorical
-or mixed attributes. Candidates are dealt to their nearest of a bounded number of pivots; a
-query first searches the partitions of its nearest pivots until they hold K rows, which bounds
-its K-th distance, and then only those partitions that the triangle inequality leaves possible
-(distance to the pivot minus the partition's radius not above the bound). Large
-partitions are dealt in blocks and queries in blocks too, so a task holds two bounded
-blocks, compares them with numpy and emits at most K rows per query. The number of visited
-partitions follows the data, not 3^d cells: for attributes without structure it grows to all
-of them, which is the query set against all rows in blocks. The weighted Hamming
+or mixed attributes. Candidates are dealt to the leaves of a tree of pivots that grows with
+their number (``operators/pivots``); a query first searches its nearest leaves until they hold
+K rows, which bounds its K-th distance, and then only those leaves that the triangle inequality
+leaves possible. Leaves are dealt in blocks and queries in blocks too, so a task holds
+two bounded blocks, compares them with numpy and emits at most K rows per query, none beyond its bound. The
+number of visited leaves follows the data, not 3^d cells: for attributes without structure it grows
+to all of them, which is the query set against all rows in blocks. The weighted Hamming
 distance is no metric, so it always visits all.
 
 Duplicates are pre-aggregated: of rows with identical attributes only the K + 1
@@ -26,11 +25,13 @@ from pyspark.sql import functions as F
 from airlattice.constants import KNN_MISSING_THRESHOLD
 from airlattice.functions import distance as D
 from airlattice.functions.grouped import groups
+from airlattice.operators.pivots import VECTORS, PivotTree, arrays, widen
 from airlattice.session import cut_lineage
 
 METHODS = ("mean", "median", "mode")
-PIVOTS = 256          # partitions at most; about sqrt(n) / 2 for fewer rows
+PIVOTS = 256          # children of a node of the tree at most; about sqrt(n) / 2 for fewer rows
 BLOCK = 2048          # candidates, and queries, of a block
+LEAF = 4 * BLOCK      # a node of more rows gets pivots of its own
 COPIES = 50_000       # identical rows ordered in one task
 
 
@@ -96,10 +97,6 @@ class Mixed:
         return num if self.n_num else cat
 
 
-def _arrays(pdf: pd.DataFrame) -> tuple:
-    return tuple(np.array(pdf[c].tolist()).reshape(len(pdf), -1) for c in ("_num", "_cat", "_freq"))
-
-
 def _rows(df: DataFrame, id_col: str, target: str, numeric: list[str], categorical: list[str], stats) -> DataFrame:
     """id, target, numbers (missing ones at the mean; scaled when mixed), category codes
     (missing ones at the mode) and the categories' relative frequencies."""
@@ -166,110 +163,66 @@ def knn(df: DataFrame, id_col: str, target: str, attrs: list[str], k: int, how:
 
 def _neighbours(rows: DataFrame, id_col: str, target: str, k: int, distance: Mixed) -> DataFrame:
     """The K nearest other rows of every row without a target: id, _j, _t, _dist."""
-    spark = rows.sparkSession
     rows = cut_lineage(rows)
     cands = cut_lineage(_lowest_ids(rows, ["_num", "_cat"], id_col, k + 1))
-    n = cands.count()
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    few = int(min(PIVOTS, max(1, round(n ** 0.5 / 2))))
-    # pivots: the candidates of lowest hash, a bounded number
-    pivots = _arrays(cands.orderBy(F.xxhash64(F.lit(41), id_col), id_col).limit(few).select("_num", "_cat", "_freq").toPandas())
-    few = len(pivots[0])
-
-    def pivot_row(i: int) -> tuple:
-        return tuple(p[i] for p in pivots)
-
-    def to_pivots(x: tuple) -> np.ndarray:
-        """(rows, pivots) distances."""
-        return np.stack([distance(pivot_row(i), x) for i in range(few)], 1)
-
-    def assign(frames):
-        for pdf in frames:
-            d = to_pivots(_arrays(pdf))
-            pdf["_p"] = d.argmin(1).astype(np.int32)
-            pdf["_pd"] = d.min(1)
-            yield pdf
-    cols = f"{id_col} {kinds[id_col]}, {target} {kinds[target]}, _num array<double>, _cat array<bigint>, _freq array<double>"
-    dealt = cut_lineage(cands.mapInPandas(assign, f"{cols}, _p int, _pd double"))
-    size = dealt.groupBy("_p").agg(F.count(F.lit(1)).alias("n"), F.max("_pd").alias("r")).toPandas().set_index("_p")
-    count = np.array([size["n"].get(i, 0) for i in range(few)])
-    radius = np.array([size["r"].get(i, 0.0) for i in range(few)])
-    slack = 1e-9
-
-    def first(frames):
-        """Partitions of the nearest pivots, until they hold K rows besides the query."""
-        for pdf in frames:
-            near = np.argsort(to_pivots(_arrays(pdf)), 1, kind="stable")
-            enough = (np.cumsum(count[near], 1) >= k + 1).argmax(1)
-            full = np.cumsum(count[near], 1)[:, -1] >= k + 1
-            pdf["_visit"] = [v[:e + 1] if f else v for v, e, f in zip(near.astype(np.int32), enough, full)]
-            pdf["_bound"] = np.inf
-            yield pdf
-
-    def second(frames):
-        """All other partitions that can hold a row within the bound."""
-        for pdf in frames:
-            d = to_pivots(_arrays(pdf))
-            bound = pdf["_bound"].fillna(np.inf).to_numpy(float)
-            can = (d - radius <= (bound * (1 + slack) + slack)[:, None]) if distance.is_metric else np.ones_like(d, bool)
-            can &= count > 0
-            for i, seen in enumerate(pdf["_visit"]):
-                can[i, np.asarray(seen, np.int64)] = False
-            pdf["_visit"] = [np.flatnonzero(c).astype(np.int32) for c in can]
-            yield pdf
-
-    blocks = [max(1, -(-int(c) // BLOCK)) for c in count]
-    n_blocks = F.element_at(F.array(*[F.lit(b).cast("long") for b in blocks]), F.col("_p") + 1)
-    query = f"{id_col} {kinds[id_col]}, _num array<double>, _cat array<bigint>, _freq array<double>, _visit array<int>, _bound double"
-
-    def search(queries: DataFrame) -> DataFrame:
-        """The K nearest of every query in each block of the partitions it visits."""
-        asked = queries.select("*", F.explode("_visit").alias("_p")).drop("_visit")
-        load = asked.groupBy("_p").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("_q"))
-        asked = asked.join(load, "_p").withColumn("_part", F.pmod(F.xxhash64(F.lit(43), id_col), F.col("_q"))) \
-            .withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)))
-        held = dealt.join(load, "_p").withColumn("_block", F.pmod(F.xxhash64(id_col), n_blocks)) \
-            .withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_q") - 1)))
-        unit = F.xxhash64("_p", "_block", "_part").alias("_unit")
-        keep = [id_col, "_num", "_cat", "_freq"]
-        both = held.select(unit, *keep, target, F.lit(False).alias("_ask")).unionByName(
-            asked.select(unit, *keep, F.lit(None).cast(kinds[target]).alias(target), F.lit(True).alias("_ask")))
-
-        def compare(frames):
-            for pdf in groups(frames, "_unit"):
-                ask = pdf["_ask"].to_numpy(bool)
-                if ask.all() or not ask.any():
-                    continue
-                has, wants = pdf[~ask], pdf[ask]
-                x, q = _arrays(has), _arrays(wants)
-                ids, t = has[id_col].to_numpy(), has[target].to_numpy()
-                found = []
-                for i, own in enumerate(wants[id_col].to_numpy()):
-                    d = distance(tuple(a[i] for a in q), x)
-                    near = np.arange(len(d))
-                    if len(d) > k + 1:
-                        near = np.flatnonzero(d <= np.partition(d, k)[k])      # ties with the last one stay
-                    order = near[np.lexsort((ids[near], d[near]))][:k + 1]
-                    order = order[ids[order] != own][:k]
-                    found.append((i, order, d[order]))
-                of = np.repeat([i for i, _, _ in found], [len(o) for _, o, _ in found])
-                at = np.concatenate([o for _, o, _ in found])
-                yield pd.DataFrame({id_col: wants[id_col].to_numpy()[of], "_j": ids[at], "_t": t[at],
-                                    "_dist": np.concatenate([v for _, _, v in found])})
-        ordered = both.repartition("_unit").sortWithinPartitions("_unit")
-        return ordered.mapInPandas(compare, f"{id_col} {kinds[id_col]}, _j {kinds[id_col]}, _t {kinds[target]}, _dist double")
-
-    queries = rows.filter(F.col(target).isNull()).select(id_col, "_num", "_cat", "_freq")
-    at_first = cut_lineage(queries.mapInPandas(first, query))
-    near = cut_lineage(search(at_first))
+    tree = PivotTree(cands, id_col, distance, k, PIVOTS, BLOCK, LEAF, cut_lineage)
+    queries = rows.filter(F.col(target).isNull()).select(id_col, *VECTORS)
+    at_first = cut_lineage(tree.nearest(queries.withColumn("_bound", F.lit(None).cast("double"))))
+    near = cut_lineage(_search(tree, at_first, target))
     nearest = Window.partitionBy(id_col).orderBy("_dist", "_j")
     bound = (near.withColumn("_r", F.row_number().over(nearest)).filter(F.col("_r") == k)
              .select(id_col, F.col("_dist").alias("_bound")))
-    rest = at_first.drop("_bound").join(bound, id_col, "left").select(*at_first.columns)
-    both = near.unionByName(search(rest.mapInPandas(second, query)))
+    rest = tree.possible(queries.join(bound, id_col, "left"), at_first)
+    both = near.unionByName(_search(tree, cut_lineage(rest), target))
     return cut_lineage(both.withColumn("_r", F.row_number().over(nearest)).filter(F.col("_r") <= k).drop("_r"))
 
 
+def _search(tree: PivotTree, asked: DataFrame, target: str) -> DataFrame:
+    """The K nearest of every query, and none beyond its bound, in each block of the leaves it visits."""
+    id_col, k, distance = tree.id_col, tree.k, tree.distance
+    kinds = {f.name: f.dataType.simpleString() for f in tree.dealt.schema.fields}
+    load = asked.groupBy("_p").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("_q")).join(
+        tree.leaves.select("_p", F.ceil(F.col("_n") / BLOCK).cast("long").alias("_b")), "_p")
+    asked = asked.join(load, "_p").withColumn("_part", F.pmod(F.xxhash64(F.lit(43), id_col), F.col("_q"))) \
+        .withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_b") - 1)))
+    held = tree.dealt.join(load, "_p").withColumn("_block", F.pmod(F.xxhash64(id_col), F.col("_b"))) \
+        .withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_q") - 1)))
+    unit = F.xxhash64("_p", "_block", "_part").alias("_unit")
+    keep = [id_col, *VECTORS]
+    both = held.select(unit, *keep, target, F.lit(False).alias("_ask"), F.lit(None).cast("double").alias("_bound")).unionByName(
+        asked.select(unit, *keep, F.lit(None).cast(kinds[target]).alias(target), F.lit(True).alias("_ask"), "_bound"))
+
+    def compare(frames):
+        for pdf in groups(frames, "_unit"):
+            ask = pdf["_ask"].to_numpy(bool)
+            if ask.all() or not ask.any():
+                continue
+            has, wants = pdf[~ask], pdf[ask]
+            x, q = arrays(has), arrays(wants)
+            ids, t = has[id_col].to_numpy(), has[target].to_numpy()
+            reach = widen(wants["_bound"].fillna(np.inf).to_numpy(float))
+            found = []
+            for i, own in enumerate(wants[id_col].to_numpy()):
+                d = distance(tuple(a[i] for a in q), x)
+                near = np.flatnonzero(d <= reach[i])
+                if not len(near):
+                    continue
+                if len(near) > k + 1:
+                    v = d[near]
+                    near = near[v <= np.partition(v, k)[k]]      # ties with the last one stay
+                order = near[np.lexsort((ids[near], d[near]))][:k + 1]
+                order = order[ids[order] != own][:k]
+                found.append((i, order, d[order]))
+            if not found:
+                continue
+            of = np.repeat([i for i, _, _ in found], [len(o) for _, o, _ in found])
+            at = np.concatenate([o for _, o, _ in found])
+            yield pd.DataFrame({id_col: wants[id_col].to_numpy()[of], "_j": ids[at], "_t": t[at],
+                                "_dist": np.concatenate([v for _, _, v in found])})
+    ordered = both.repartition("_unit").sortWithinPartitions("_unit")
+    return ordered.mapInPandas(compare, f"`{id_col}` {kinds[id_col]}, _j {kinds[id_col]}, _t {kinds[target]}, _dist double")
+
+
 def relative_frequency(df: DataFrame, col: str, alias: str | None = None) -> DataFrame:
     """Share of rows holding each value of ``col``: value, frequency.
 
