@@ -17,8 +17,8 @@ from airlattice.plans import views as V
 from airlattice.plans.q_geo import _sql_nearest
 from airlattice.plans.q_ingest import NEW_FROM, OLD_CUT
 from airlattice.plans.q_rows import scratch
-from airlattice.plans.registry import query
-from airlattice.sources import catalogue, files, landing, store
+from airlattice.plans.registry import ORACLE, query
+from airlattice.sources import catalogue, files, landing, records, store
 
 POLS = V.WIDE_POLLUTANTS
 K = ["sensor_id", "pollutant"]
@@ -96,6 +96,20 @@ def weather_landing(spark, sf_dir):
     return landing.land_weather(payload, ["user_id", "day"])
 
 
+@query("weather_records", ORACLE["weather_landing"])
+def weather_records(spark, sf_dir):
+    """S4 over JSON text whose records have different keys, in one scan: no schema, no sizing pass."""
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    hour = F.struct(F.unix_seconds(F.col("ts").cast("timestamp")).alias("dt"), F.col("value").alias("temperature"),
+                    k.alias("windSpeed"), F.lit("clear").alias("weather_text"), F.lit(1).alias("ozone"),
+                    F.transform(F.sequence(F.lit(0).cast("long"), k % 6), lambda i: F.col("event_id") + i).alias("gusts"))
+    landed = V.table(spark, sf_dir, "events").groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(
+        F.to_json(F.struct(F.collect_list(hour).alias("hourly"))).alias("payload"))
+    wanted = {"dt": "bigint", "temperature": "double", "windSpeed": "bigint", "weather_text": "string", "ozone": "bigint",
+              "gusts": "bigint"} | {f"gusts_{i}": "bigint" for i in range(6)}
+    return records.land_weather(landed, "payload", ["user_id", "day"], wanted)
+
+
 _KEYED = "SELECT user_id, CAST(ts AS TIMESTAMP) AS ts, value FROM events"
 
 

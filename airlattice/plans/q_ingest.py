@@ -9,8 +9,8 @@ from airlattice.functions.aqi import aqi, sub_index, sub_index_sql
 from airlattice.functions.stats import sql_exact_avg
 from airlattice.operators import clean
 from airlattice.plans import views as V
-from airlattice.plans.registry import query
-from airlattice.sources import landing
+from airlattice.plans.registry import ORACLE, query
+from airlattice.sources import landing, records
 
 POLS = V.MEASURED  # pm2_5, pm10, no2, o3, so2
 WIDE = V.WIDE_POLLUTANTS  # co + measured
@@ -158,6 +158,22 @@ def flatten_props(spark, sf_dir):
     return landing.flatten(nested, exclude=("secret",))
 
 
+@query("flatten_records", ORACLE["flatten_props"])
+def flatten_records(spark, sf_dir):
+    """P3 over JSON text of differing keys, in one scan."""
+    ev = V.table(spark, sf_dir, "events")
+    payload = F.to_json(F.struct(
+        F.from_json("props", "k INT").alias("props"),
+        F.struct("value", F.col("event_type").alias("secret")).alias("main"),
+        F.when(F.col("event_id") % 2 == 0, F.array("user_id")).otherwise(F.array("user_id", "event_id")).alias("tags"),
+        F.array(F.struct(F.col("value").alias("v"), F.col("event_type").alias("secret")),
+                F.struct((F.col("value") * 2).alias("v"), F.col("event_type").alias("secret"))).alias("pair")))
+    wanted = {"props_k": "int", "main_value": "double", "tags": "bigint", "tags_0": "bigint", "tags_1": "bigint",
+              "pair_0_v": "double", "pair_1_v": "double"}
+    landed = ev.select(F.col("event_id").alias("id"), payload.alias("payload"))
+    return records.flatten_records(landed, "payload", wanted, ["id"], exclude=["secret"])
+
+
 # ------------------------------------------------------------------ S5
 @query("payload_merge", f"""
 WITH hw AS ({V.SQL_HOURLY_WIDE})
