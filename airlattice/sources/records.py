@@ -20,6 +20,11 @@ def _entry(name: Column, value: Column) -> Column:
     return F.struct(name.alias("p"), value.alias("v"))
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once: an expression named inside a lambda runs for every element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _open(entry: Column, exclude: tuple) -> Column:
     """The entries one level below: fields joined by '_', a list of one item without an index, longer lists with it."""
     name, value = entry["p"], entry["v"]
@@ -27,9 +32,8 @@ def _open(entry: Column, exclude: tuple) -> Column:
     if exclude:
         fields = F.filter(fields, lambda f: ~f["key"].isin(*exclude))
     fields = F.transform(fields, lambda f: _entry(F.when(name == "", f["key"]).otherwise(F.concat(name, F.lit("_"), f["key"])), f["value"]))
-    items = F.try_variant_get(value, "$", "array<variant>")
-    items = F.transform(items, lambda x, i: _entry(F.when(F.size(items) == 1, name)
-                                                   .otherwise(F.concat_ws("_", F.when(name != "", name), i.cast("string"))), x))
+    items = _once(F.try_variant_get(value, "$", "array<variant>"), lambda xs: F.transform(xs, lambda x, i: _entry(
+        F.when(F.size(xs) == 1, name).otherwise(F.concat_ws("_", F.when(name != "", name), i.cast("string"))), x)))
     return F.coalesce(fields, items, F.array(entry))
 
 
@@ -42,8 +46,8 @@ def flat_record(value: Column, exclude: list[str] | tuple = (), depth: int = DEP
     entries = F.array(_entry(F.lit(""), value))
     for _ in range(depth):
         entries = F.flatten(F.transform(entries, lambda e: _open(e, tuple(exclude))))
-    names = F.transform(entries, lambda e: e["p"])
-    first = F.filter(entries, lambda e, i: F.array_position(names, e["p"]) == i + 1)
+    first = _once(entries, lambda es: _once(F.transform(es, lambda e: e["p"]), lambda names: F.filter(
+        es, lambda e, i: F.array_position(names, e["p"]) == i + 1)))
     return F.when(value.isNotNull(), F.map_from_entries(first))
 
 
