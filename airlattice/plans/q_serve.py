@@ -124,9 +124,9 @@ SELECT sensor_id, pollutant,
 FROM j
 """)
 def fresh_or_stored(spark, sf_dir):
+    first = F.get("data", F.lit(0))     # null for an empty list
     return served(spark, sf_dir).select(
-        *K, "source", F.size("data").cast("int").alias("n_points"),
-        F.col("data")[0]["ts"].alias("first_ts"), F.col("data")[0]["value"].alias("first_value"))
+        *K, "source", F.size("data").cast("int").alias("n_points"), first["ts"].alias("first_ts"), first["value"].alias("first_value"))
 
 
 def served(spark, sf_dir):
