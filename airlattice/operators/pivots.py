@@ -24,6 +24,7 @@ from airlattice.functions.grouped import groups
 VECTORS = ("_num", "_cat", "_freq")
 VECTOR_SCHEMA = "_num array<double>, _cat array<bigint>, _freq array<double>"
 SLACK = 1e-9        # distances are rounded, so bounds are widened by this
+VISITS = 4096       # rows of a frame that leaves a task: every visit carries the query's vectors
 LEVELS = 6          # node numbers of six levels of 256 stay below 2^53, exact as doubles too
 
 
@@ -40,6 +41,18 @@ def between(distance, piv: tuple, x: tuple) -> np.ndarray:
     return np.stack([distance(tuple(a[i] for a in piv), x) for i in range(len(piv[0]))], 1)
 
 
+def visits(pdf: pd.DataFrame, keep: list[str], nodes: np.ndarray, possible, rows: int):
+    """A row (``keep``, _p) per row of ``pdf`` and node it visits, in frames of at most ``VISITS`` rows. ``possible`` tells
+    the visits of at most ``rows`` rows at once, so a task's memory does not follow the number of visits."""
+    for start in range(0, len(pdf), rows):
+        some = pdf.iloc[start:start + rows]
+        row, node = np.nonzero(possible(some))
+        for at in range(0, len(row), VISITS):
+            found = some.iloc[row[at:at + VISITS]][keep].reset_index(drop=True)
+            found["_p"] = nodes[node[at:at + VISITS]]
+            yield found
+
+
 class PivotTree:
     """``dealt``: the candidates with their leaf ``_p``; ``leaves``: rows per leaf (_p, _n)."""
 
@@ -88,7 +101,7 @@ class PivotTree:
                 d = between(distance, arrays(piv), arrays(pdf))
                 pdf = pdf.drop(columns=["_c", "_r0", "_r1", "_n"])
                 pdf["_p"], pdf["_pd"] = piv["_c"].to_numpy()[d.argmin(1)], d.min(1)
-                return pdf
+                yield pdf
             children = pivots.select("*", F.lit(0.0).alias("_r0"), F.lit(0.0).alias("_r1"), F.lit(0).cast("long").alias("_n"))
             level = self.cut(self._meet(inside.drop("_n", "_pd"), children, deal, f"{self.cand_schema}, _p long, _pd double"))
             sizes = self.cut(self._sizes(level))
@@ -112,7 +125,7 @@ class PivotTree:
         return self.cut(ranked.where(F.col("_i") <= few).select("_p", child.cast("long").alias("_c"), self.id_col, *VECTORS))
 
     def _meet(self, rows: DataFrame, children: DataFrame, act, schema: str) -> DataFrame:
-        """``act(rows, children)`` in units of one node's children and about a block of its rows.
+        """The frames of ``act(rows, children)`` in units of one node's children and about a block of its rows.
         Children carry their pivot's own id: a null among the ids would make doubles of them all."""
         id_col, cols = self.id_col, rows.columns
         load = rows.groupBy("_p").agg(F.ceil(F.count(F.lit(1)) / self.block).cast("long").alias("_q"))
@@ -130,21 +143,20 @@ class PivotTree:
                     is_child = one["_c"].notna().to_numpy()
                     if is_child.all() or not is_child.any():
                         continue
-                    yield act(one[~is_child].drop(columns="_unit").reset_index(drop=True),
-                              one[is_child].astype({"_c": "int64", "_n": "int64"}).reset_index(drop=True))
+                    yield from act(one[~is_child].drop(columns="_unit").reset_index(drop=True),
+                                   one[is_child].astype({"_c": "int64", "_n": "int64"}).reset_index(drop=True))
         return both.repartition("_unit").sortWithinPartitions("_unit").mapInPandas(each, schema)
 
     def _descend(self, asked: DataFrame, choose) -> DataFrame:
         """From top nodes to leaves: at each level ``choose`` names the children a row visits."""
-        id_col, distance, out = self.id_col, self.distance, []
+        distance, block, out = self.distance, self.block, []
+        keep = [self.id_col, *VECTORS, "_bound"]
 
         def act(pdf, piv):
-            can = choose(between(distance, arrays(piv), arrays(pdf)), pdf["_bound"].fillna(np.inf).to_numpy(float),
-                         piv["_n"].to_numpy(), piv["_r0"].to_numpy(), piv["_r1"].to_numpy())
-            row, child = np.nonzero(can)
-            found = pdf.iloc[row][[id_col, *VECTORS, "_bound"]].reset_index(drop=True)
-            found["_p"] = piv["_c"].to_numpy()[child]
-            return found
+            x = arrays(piv)
+            n, inner, outer = (piv[c].to_numpy() for c in ("_n", "_r0", "_r1"))
+            yield from visits(pdf, keep, piv["_c"].to_numpy(), lambda some: choose(
+                between(distance, x, arrays(some)), some["_bound"].fillna(np.inf).to_numpy(float), n, inner, outer), block)
         for children in self.levels:
             split = children.select("_p").distinct()
             out.append(asked.join(split, "_p", "left_anti").select(*asked.columns))
@@ -154,16 +166,14 @@ class PivotTree:
         return asked
 
     def _from_top(self, queries: DataFrame, choose) -> DataFrame:
-        distance, top, id_col = self.distance, self.top, self.id_col
+        distance, top, block = self.distance, self.top, self.block
         count, inner, outer = self.count, self.inner, self.outer
+        keep, nodes = [self.id_col, *VECTORS, "_bound"], np.arange(len(count), dtype=np.int64)
 
         def start(frames):
             for pdf in frames:
-                can = choose(between(distance, top, arrays(pdf)), pdf["_bound"].fillna(np.inf).to_numpy(float), count, inner, outer)
-                row, node = np.nonzero(can)
-                found = pdf.iloc[row][[id_col, *VECTORS, "_bound"]].reset_index(drop=True)
-                found["_p"] = node.astype(np.int64)
-                yield found
+                yield from visits(pdf, keep, nodes, lambda some: choose(
+                    between(distance, top, arrays(some)), some["_bound"].fillna(np.inf).to_numpy(float), count, inner, outer), block)
         asked = queries.mapInPandas(start, self.ask_schema)
         return self._descend(asked if not self.levels else self.cut(asked), choose)
 

@@ -81,3 +81,31 @@ def test_rows_that_no_pivot_tells_apart(spark, monkeypatch):
     for r in impute._neighbours(df, "id", "t", 3, impute.Mixed(0, 1, "euclidean", "hamming")).collect():
         got.setdefault(r.id, []).append(r._j)
     assert {i: sorted(v) for i, v in got.items()} == {0: [1, 2, 3], 30: [0, 1, 2], 59: [0, 1, 2]}
+
+
+def test_a_task_emits_visits_in_bounded_frames():
+    """Every row visits every node: the visits leave the task whole, but in frames of bounded size."""
+    import pandas as pd
+
+    from airlattice.operators import pivots
+
+    class Captured:
+        def mapInPandas(self, task, schema):
+            return task
+
+    tree = object.__new__(PivotTree)
+    n, nodes, dim = 3000, 64, 8
+    rng = np.random.default_rng(3)
+    empty = np.zeros((nodes, 0))
+    tree.id_col, tree.block, tree.levels, tree.ask_schema = "id", 512, [], ""
+    tree.distance = impute.Mixed(dim, 0, "euclidean", "jaccard")
+    tree.top, tree.count = (rng.normal(size=(nodes, dim)), empty.astype(np.int64), empty), np.ones(nodes, np.int64)
+    tree.inner, tree.outer = np.zeros(nodes), np.ones(nodes)
+    rows = pd.DataFrame({"id": np.arange(n) + 2 ** 53 + 1, "_num": list(rng.normal(size=(n, dim))), "_cat": [np.zeros(0, np.int64)] * n,
+                         "_freq": [np.zeros(0)] * n, "_bound": [None] * n})
+    task = tree._from_top(Captured(), lambda d, bound, n, inner, outer: np.ones_like(d, bool))
+    seen, largest = set(), 0
+    for frame in task(iter([rows])):
+        largest = max(largest, len(frame))
+        seen |= set(zip(frame["id"].tolist(), frame["_p"].tolist()))
+    assert len(seen) == n * nodes and largest <= pivots.VISITS < n * nodes
