@@ -1,8 +1,8 @@
 """Quality classifier: Bradley-Terry scores from preference pairs, cut at a score quantile.
 
 A labelled good text is preferred to a labelled bad one. The strength of a text is linear in its
-features, and the weights minimise the logistic loss of feature differences over seeded
-pairs. The quantile of the labelled strengths that separates the classes best becomes the
+features, and the weights minimise the logistic loss of feature differences over all pairs of a
+good and a bad text, summed through moments by strength. The quantile of the labelled strengths that separates the classes best becomes the
 cut; the reported score is a logistic curve that passes 0.3 exactly there.
 
 Defined cases: null and empty texts are scored from zero features; without both labels every
@@ -21,14 +21,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from airlattice.llm.common import kept, rated, small_batches
-from airlattice.llm.labelled import sample
-from airlattice.llm.lexical import newton_logistic
+from airlattice.llm.common import Scratch, kept, rated, small_batches
 
-PER_CLASS = 3000       # sampled labelled texts per class
-PAIRS = 60_000         # preference pairs
+PAIRS = 60_000         # weight of all preference pairs together, against the ridge
+RIDGE = 5.0
+ROUNDS = 25            # Newton steps at most
 CUT = 0.3              # score at the cut
 FEATURES = 20
+MOMENTS = np.triu_indices(FEATURES + 1)
+GRID = 1 << 16         # features are learned from in whole steps of 1 / GRID
+BINS_PER_UNIT = 32     # strength bins of the pair sums
+TOP_BIN = 1024
+CELLS = 1 << 12        # strength steps that are counted for the cut, per unit
+TOP_CELL = 1 << 18
 PIECE = 1 << 20        # bytes counted at once
 
 
@@ -77,29 +82,134 @@ def features(text: str | None) -> np.ndarray:
     return x
 
 
-def fit(some: pd.DataFrame, *, pairs: int = PAIRS, seed: int = 11) -> dict:
-    """(text, label) rows -> weights, scale and cut."""
-    some = some.sort_values("doc_id", kind="stable")
-    y = some["label"].to_numpy()
-    if len(y) == 0 or y.min() == y.max():
-        return {"share": float(y.mean()) if len(y) else 0.5}
-    x = np.vstack([features(t) for t in some["text"]])
-    mean, spread = x.mean(0), x.std(0) + 1e-6
-    z = (x - mean) / spread
-    rng = np.random.default_rng(seed)
-    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    win, lose = rng.choice(good, pairs), rng.choice(bad, pairs)
-    # Every labelled text is in some pair.
-    win[:len(good)], lose[-len(bad):] = good[:pairs], bad[:pairs]
-    w = newton_logistic(z[win] - z[lose], np.ones(pairs), ridge=5.0, intercept=False)
-    s = z @ w
-    # The cut is a quantile of the strengths: the one where both classes are told apart best.
+def _binned(s: np.ndarray) -> np.ndarray:
+    """The strength bins of the pair sums."""
+    return np.clip(np.rint(s * BINS_PER_UNIT), -TOP_BIN, TOP_BIN).astype(np.int64)
+
+
+def _moments(q: np.ndarray) -> np.ndarray:
+    """Rows, sums and sums of products of whole-number features: exact in doubles, as in longs."""
+    x = np.hstack([np.ones((len(q), 1)), q])
+    return (x.T @ x)[MOMENTS].astype(np.int64)
+
+
+def moments(rows: DataFrame, model: dict) -> pd.DataFrame:
+    """Per label and strength bin the moments of all rows; without weights one bin. Sums are of whole numbers, so
+    they do not depend on the order of rows."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            q = batch.column("q").flatten().to_numpy().reshape(-1, FEATURES).astype(float)
+            y = batch.column("label").to_numpy()
+            of = _binned(_strengths(q / GRID, model)) if "w" in model else np.zeros(len(q), np.int64)
+            order = np.lexsort((of, y))
+            first = np.flatnonzero(np.diff(y[order], prepend=-1) | np.diff(of[order], prepend=TOP_BIN + 1))
+            for rows_of in np.split(order, first[1:]):
+                key = int(y[rows_of[0]]), int(of[rows_of[0]])
+                held[key] = held.get(key, 0) + _moments(q[rows_of])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in held], pa.int32()), pa.array([k[1] for k in held], pa.int64()),
+                                              pa.array(list(held.values()), pa.list_(pa.int64()))], names=["label", "bin", "m"])
+
+    def total(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple[int, int], np.ndarray] = {}
+        for pdf in frames:
+            for label, place, m in zip(pdf["label"], pdf["bin"], pdf["m"]):
+                held[label, place] = held.get((label, place), 0) + m
+        if held:
+            yield pd.DataFrame({"label": [k[0] for k in held], "bin": [k[1] for k in held], "m": list(held.values())})
+    kind = "label int, bin long, m array<long>"
+    # at most two labels and 2 * TOP_BIN + 1 bins of 231 numbers come to the driver, whatever the rows
+    return rows.mapInArrow(work, kind).repartition("bin").mapInPandas(total, kind).toPandas().sort_values(["label", "bin"])
+
+
+def _by_label(found: pd.DataFrame, model: dict) -> list[tuple[np.ndarray, ...]]:
+    """Per label: strengths of the bins, rows, sums and sums of products of the standardised features."""
+    out = []
+    for label in (0, 1):
+        own = found[found["label"] == label]
+        full = np.zeros((len(own), FEATURES + 1, FEATURES + 1))
+        full[:, MOMENTS[0], MOMENTS[1]] = np.vstack(own["m"].to_numpy()).astype(float)
+        full = full + np.triu(full, 1).transpose(0, 2, 1)
+        # x = (1, q) -> (1, z), z = (q / GRID - mean) / spread
+        turn = np.eye(FEATURES + 1)
+        turn[1:, 1:] = np.diag(1 / (GRID * model["spread"]))
+        turn[1:, 0] = -model["mean"] / model["spread"]
+        z = turn @ full @ turn.T
+        out.append((own["bin"].to_numpy() / BINS_PER_UNIT, z[:, 0, 0], z[:, 0, 1:], z[:, 1:, 1:]))
+    return out
+
+
+def pair_step(bad: tuple, good: tuple) -> tuple[np.ndarray, np.ndarray, float]:
+    """Slope, curvature and number of the Bradley-Terry loss over every pair of a good and a bad row."""
+    (sb, nb, xb, xxb), (sg, ng, xg, xxg) = bad, good
+    p = 1 / (1 + np.exp(-np.clip(sg[:, None] - sb[None, :], -30, 30)))
+    miss, curve = 1 - p, np.maximum(p * (1 - p), 1e-6)
+    slope = (miss @ nb) @ xg - (ng @ miss) @ xb
+    cross = xg.T @ curve @ xb
+    second = np.tensordot(curve @ nb, xxg, 1) + np.tensordot(ng @ curve, xxb, 1) - cross - cross.T
+    return slope, second, float(ng.sum() * nb.sum())
+
+
+def fit(rows: DataFrame, *, pairs: int = PAIRS) -> dict:
+    """All (label, q) rows -> weights, scale and cut.
+
+    The loss is over every pair of a good and a bad row, with the total weight of ``pairs`` pairs against the ridge. A
+    pair's slope and curvature depend on its two strengths alone, so the sums over all pairs follow from the
+    moments of the rows by label and strength bin (1/32 of a unit): each Newton step is one pass over the rows.
+    """
+    found = moments(rows, {})
+    n = {int(r.label): int(r.m[0]) for r in found.itertuples()}
+    if len(n) < 2:
+        return {"share": float(next(iter(n))) if n else 0.5}
+    both = np.zeros((FEATURES + 1, FEATURES + 1), object)
+    both[MOMENTS] = sum(np.array([int(v) for v in m], object) for m in found["m"])
+    size, sums, squares = both[0, 0], both[0, 1:], np.diag(both)[1:]      # whole numbers, so the variance does not cancel
+    mean = np.array([float(a) / size / GRID for a in sums])
+    spread = np.array([float(size * b - a * a) ** 0.5 / size / GRID for a, b in zip(sums, squares)]) + 1e-6
+    model = {"w": np.zeros(FEATURES), "mean": mean, "spread": spread}
+    for _ in range(ROUNDS):
+        slope, second, count = pair_step(*_by_label(found, model))
+        slope = slope * (pairs / count) - RIDGE * model["w"]
+        step = np.linalg.solve(second * (pairs / count) + RIDGE * np.eye(FEATURES), slope)
+        largest = np.abs(step).max()
+        model["w"] = model["w"] + step * min(1.0, 5.0 / max(largest, 1e-12))
+        if largest < 1e-3:
+            break
+        found = moments(rows, model)
+    return model | cut_of(rows, model)
+
+
+def cut_of(rows: DataFrame, model: dict) -> dict:
+    """The cut is a quantile of the strengths of all rows: the one where both classes are told apart best."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            q = batch.column("q").flatten().to_numpy().reshape(-1, FEATURES).astype(float)
+            s = np.clip(np.rint(_strengths(q / GRID, model) * CELLS), -TOP_CELL, TOP_CELL).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(s)], names=["label", "cell"])
+    # counted by strength in steps of 1 / CELLS: at most 2 * TOP_CELL + 1 cells come to the driver
+    counts = (rows.select("label", "q").mapInArrow(work, "label int, cell long").groupBy("cell")
+              .agg(F.count_if(F.col("label") == 0).alias("bad"), F.count_if(F.col("label") == 1).alias("good")).toPandas().sort_values("cell"))
+    at, bad, good = counts["cell"].to_numpy() / CELLS, counts["bad"].to_numpy(), counts["good"].to_numpy()
+    upto = np.cumsum(bad + good)
+
+    def quantile(level):
+        place = np.asarray(level) * (upto[-1] - 1)
+        low = np.floor(place).astype(np.int64)
+        a, b = (at[np.searchsorted(upto, i, "right")] for i in (low, np.minimum(low + 1, upto[-1] - 1)))
+        return a + (b - a) * (place - low)
     levels = np.linspace(0.001, 0.999, 999)
-    cuts = np.quantile(s, levels)
-    right = np.array([(s[y == 1] >= c).mean() + (s[y == 0] < c).mean() for c in cuts])
-    best = np.flatnonzero(right >= right.max() - 1e-12)
-    level = float(levels[best].mean())
-    return {"w": w, "mean": mean, "spread": spread, "cut": float(np.quantile(s, level)), "level": level}
+    below = np.searchsorted(at, quantile(levels), "left")
+    bad_below, good_below = (np.concatenate([[0], np.cumsum(c)])[below] for c in (bad, good))
+    right = (good.sum() - good_below) / good.sum() + bad_below / bad.sum()
+    level = float(levels[right >= right.max() - 1e-12].mean())
+    return {"cut": float(quantile(level)), "level": level}
+
+
+def _strengths(x: np.ndarray, model: dict) -> np.ndarray:
+    return ((x - model["mean"]) / model["spread"]) @ model["w"]
 
 
 def strength_to_score(s: np.ndarray, cut: float) -> np.ndarray:
@@ -112,7 +222,7 @@ def rate(texts: list[str | None], model: dict) -> tuple[np.ndarray, np.ndarray]:
         p = np.full(len(texts), model.get("share", 0.5))
         return p, (p >= CUT).astype(np.int32)
     x = np.vstack([features(t) for t in texts])
-    s = ((x - model["mean"]) / model["spread"]) @ model["w"]
+    s = _strengths(x, model)
     said = (s >= model["cut"]).astype(np.int32)
     p = strength_to_score(s, model["cut"])
     return np.where(said == 1, np.maximum(p, CUT), np.minimum(p, np.nextafter(CUT, 0))), said
@@ -131,7 +241,21 @@ def predict(docs: DataFrame, model: dict, *extra: Column) -> DataFrame:
                  lambda: lambda texts: [pa.array(a, t) for a, t in zip(rate(texts, model), (pa.float64(), pa.int32()))])
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, label: str = "quality", per_class: int = PER_CLASS) -> dict:
-    """Fit on a bounded sample of labelled rows; the caller withholds rows by filtering ``labels``."""
+def learn(docs: DataFrame, labels: DataFrame, *, label: str = "quality") -> dict:
+    """Fit on every labelled document; the caller withholds rows by filtering ``labels``.
+
+    Only classes 0 and 1 count; conflicting repeated labels of a document keep the largest, and a
+    repeated document counts once. Texts stay where they are read: only their features are joined.
+    """
     small_batches(docs.sparkSession)
-    return fit(sample(docs, labels, label, per_class).toPandas())
+    y = labels.where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+
+    def shape(texts: list[str | None]) -> list[pa.Array]:
+        q = np.rint(np.vstack([features(t) for t in texts]) * GRID).astype(np.int64) if texts else np.zeros((0, FEATURES), np.int64)
+        return [pa.array(list(q), pa.list_(pa.int64()))]
+    shapes = rated(docs.where("doc_id IS NOT NULL").select("doc_id", "text"), "q array<bigint>", lambda: shape)
+    rows = y.join(shapes, "doc_id").groupBy("doc_id").agg(F.first("label").alias("label"), F.min("q").alias("q")).select("label", "q")
+    scratch = Scratch(docs.sparkSession)
+    model = fit(scratch.save(rows, "shapes"))
+    scratch.close()
+    return model

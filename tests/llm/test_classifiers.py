@@ -150,3 +150,36 @@ def test_word_hashes_and_blocks():
     table = lexical.Lookup(np.array(sorted(set(h)), np.uint64))
     assert len(table.find(np.array(h, np.uint64))[0]) == 200
     assert len(table.find(np.arange(1000, dtype=np.uint64))[0]) == 0
+
+
+def test_quality_learns_from_every_labelled_text(spark):
+    """More labelled texts per class than were once sampled: means, spreads and the cut are those of all of them."""
+    rng = random.Random(5)
+    rows = [(i, sentence(rng, 4 + i % 9) + (" ALL CAPS!!! 99" if i % 2 and i % 5 else ""), "en", "a", 0) for i in range(7000)]
+    model = quality.learn(docs(spark, rows), labels(spark, [(i, 1 - i % 2, 0) for i in range(7000)]))
+    x = np.vstack([quality.features(r[1]) for r in rows])
+    assert np.abs(model["mean"] - x.mean(0)).max() < 1e-5 and np.abs(model["spread"] - x.std(0)).max() < 1e-4
+    said = quality.rate([r[1] for r in rows], model)[1]
+    y = np.array([1 - i % 2 for i in range(7000)])
+    s = ((x - model["mean"]) / model["spread"]) @ model["w"]
+    # no cut anywhere tells the classes of all rows better apart
+    best = max((s[y == 1] >= c).mean() + (s[y == 0] < c).mean() for c in np.quantile(s, np.linspace(0.001, 0.999, 999)))
+    assert said[y == 1].mean() + 1 - said[y == 0].mean() >= best - 5e-3
+
+
+def test_bradley_terry_over_all_pairs(spark):
+    """Weights from moments by strength equal those of all pairs, one by one; the order of rows does not matter."""
+    rng = np.random.default_rng(2)
+    x = np.zeros((120, quality.FEATURES))
+    x[:, :4] = rng.random((120, 4))
+    y = (x[:, 0] + 0.5 * x[:, 1] + 0.4 * rng.normal(size=120) > 0.8).astype(int)
+    q = np.rint(x * quality.GRID).astype(int)
+    df = spark.createDataFrame([(int(a), [int(v) for v in b]) for a, b in zip(y, q)], "label int, q array<long>")
+    model = quality.fit(df.repartition(3))
+    again = quality.fit(df.orderBy(F.desc("q")).repartition(5))
+    assert (model["w"] == again["w"]).all() and model["cut"] == again["cut"]
+    z = (q / quality.GRID - model["mean"]) / model["spread"]
+    win, lose = (a.ravel() for a in np.meshgrid(np.flatnonzero(y == 1), np.flatnonzero(y == 0)))
+    w = lexical.newton_logistic(z[win] - z[lose], np.ones(len(win)), np.full(len(win), quality.PAIRS / len(win)), ridge=quality.RIDGE, intercept=False)
+    assert model["w"] == pytest.approx(w, abs=5e-3)
+    assert quality.fit(df.where("label = 1")) == {"share": 1.0} and quality.fit(df.where("false")) == {"share": 0.5}
