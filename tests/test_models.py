@@ -108,3 +108,30 @@ def test_register_round_trip(spark, tmp_path):
     assert row.features == cols and row.sensor == "1"
     again = M.load(row.path)
     assert again.transform(frame).count() == frame.count()
+
+
+def test_trees_of_all_depths_are_scored_from_one(spark, monkeypatch):
+    """Scores of every draw equal those of cross-validation, with a tree per fold and leaf size."""
+    from pyspark.ml.evaluation import RegressionEvaluator
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import DecisionTreeRegressor
+    from pyspark.ml.tuning import CrossValidator
+
+    from airlattice.operators import trees
+
+    monkeypatch.setitem(M.GRIDS, "DecisionTree", {"maxDepth": [1, 3, 6], "minInstancesPerNode": [1, 20]})
+    frame, cols = M.feature_frame(_sine(spark, 160), ["sensor_id", "pollutant"], "ts", "value", 3)
+    df = VectorAssembler(inputCols=cols, outputCol="features").transform(frame).persist()
+    est = M.make("DecisionTree")
+    draws = M.grid("DecisionTree", est)
+    cv = CrossValidator(estimator=est, estimatorParamMaps=draws, numFolds=2, foldCol="_fold",
+                        evaluator=RegressionEvaluator(metricName="r2", labelCol="label"))
+    want = cv.fit(trees.folds(df, ["sensor_id", "pollutant"], "ts", 2)).avgMetrics
+    fits, fit = [], DecisionTreeRegressor._fit
+    monkeypatch.setattr(DecisionTreeRegressor, "_fit", lambda self, data: fits.append(1) or fit(self, data))
+    data = trees.folds(df, ["sensor_id", "pollutant"], "ts", 2)
+    assert np.allclose(M.tree_scores(est, draws, data, 2), want, rtol=0, atol=1e-12)
+    assert len(fits) == 4
+    fits.clear()
+    _, params = M.random_search("DecisionTree", df, ["sensor_id", "pollutant"], "ts", cols, n=6, folds=2)
+    assert len(fits) == 5 and want[draws.index(next(d for d in draws if {p.name: v for p, v in d.items()} == {p.name: v for p, v in params.items()}))] == max(want)
