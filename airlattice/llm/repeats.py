@@ -3,14 +3,17 @@
 Documents are packed in parcels, a written table. Every window of ``length`` bytes belongs to a context (see
 ``suffixes``). Four steps:
 
-1. Each parcel sends the distinct hashes of its anchors, dealt in buckets; a bucket finds those that occur in several
-   documents and answers each parcel.
+1. Each parcel sends the distinct hashes of its anchors, dealt in buckets that stand on shelves; a shelf finds those that
+   occur in several documents and answers each parcel.
 2. Each parcel sends its distinct contexts around such anchors, with the smallest and largest document they occur in.
-3. A bucket builds the enhanced suffix array of its distinct contexts. A stack scan walks the common-prefix
+3. For each bucket a shelf builds the enhanced suffix array of its distinct contexts. A stack scan walks the common-prefix
    interval tree; an interval in several documents whose members follow different bytes (or begin
    their context) is a repeat, and every member of it, not just neighbours, is answered to the parcels.
 4. Each parcel maps the answers back to its places.
 
+A parcel and a shelf exchange one message a step. Buckets grow in number with the text and so do parcels, but shelves do
+not before each holds ``FULL`` buckets, so there are no messages for every parcel and bucket.
+
 A repeat longer than a context comes as a chain of overlapping groups, one for each context on its way. A
 hash only decides where strings meet; repeats are found by comparing bytes.
 
@@ -27,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -41,8 +45,10 @@ from airlattice.functions.grouped import groups
 from airlattice.llm.common import Scratch, small_batches
 from airlattice.llm.suffixes import contexts, repeats
 
-PARCEL = 1 << 21         # bytes of text that are packed together (a longer text is a parcel of its own)
-BUCKET = 1 << 17         # anchors that are compared in one task at a time, about
+PARCEL = 1 << 22         # bytes of text that are packed together (a longer text is a parcel of its own)
+BUCKET = 1 << 17         # anchors whose contexts are compared in one task at a time, about
+SHELVES = 256            # groups of buckets that get messages of their own
+FULL = 16                # buckets of a shelf from which there are more shelves
 HEAVY = 50_000           # occurrences from which an anchor's windows are dealt by their own bytes
 LAST = (1 << 63) - 1     # stands for a missing id
 
@@ -92,97 +98,142 @@ def parcels(docs: DataFrame, parcel: int = PARCEL) -> DataFrame:
         work, "parcel long, n_bytes long, ids binary, known binary, sizes binary, body binary")
 
 
+@dataclass(frozen=True)
+class Deal:
+    """How anchors are dealt: ``buckets`` in all, each shelf holds ``each`` neighbouring ones."""
+    length: int
+    buckets: int
+    each: int
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        return ((h >> np.uint64(40)) % np.uint64(self.buckets)).astype(np.int32)
+
+
+def dealt(total: int, length: int, bucket: int, shelves: int) -> Deal:
+    """The deal for ``total`` bytes of text."""
+    buckets = max(1, -(-4 * total // (length * bucket)))
+    return Deal(length, buckets, -(-buckets // max(min(buckets, shelves), -(-buckets // FULL))))
+
+
+@dataclass
+class Shared:
+    """The distinct contexts of a parcel that are told, ordered by bucket; occurrences in the order of their contexts."""
+    bucket: np.ndarray       # of a context
+    start: np.ndarray        # of a context's first occurrence
+    end: np.ndarray
+    head: np.ndarray         # place of a context's first occurrence in ``place``, and the number of all at the end
+    place: np.ndarray        # of an occurrence
+    doc: np.ndarray
+
+
+def _runs(n: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """The places of runs of lengths ``n`` that begin at ``head``, one after the other."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(head, n)
+
+
+def _parts(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, behind the last) place of every run of equal numbers."""
+    edge = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]]) if len(sorted_) else np.empty(0, np.int64)
+    return edge, np.r_[edge[1:], len(sorted_)] if len(edge) else edge
+
+
 class Parcel:
     """The texts of one parcel and their contexts."""
 
-    def __init__(self, row: dict, length: int, n_buckets: int):
-        self.number, self.length, self.n_buckets = row["parcel"], length, n_buckets
+    def __init__(self, row: dict, deal: Deal):
+        self.number, self.deal = row["parcel"], deal
         self.ids, self.sizes = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["sizes"], "<i8")
         self.known = row["known"]
         self.body = zstandard.ZstdDecompressor().decompress(row["body"]) if row["n_bytes"] else b""
         buf = np.frombuffer(self.body, np.uint8)
         doc = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
-        self.start, self.end, sig = contexts(buf, doc, length)
+        self.start, self.end, sig = contexts(buf, doc, deal.length)
         self.id = self.ids[doc[self.start]] if len(self.start) else self.ids[:0]
         self.sigs, self.which = np.unique(sig, return_inverse=True)
-        bucket = self.deal(self.sigs)
+        bucket = deal.of(self.sigs)
         self.order = np.argsort(bucket, kind="stable")     # distinct anchors as they are sent
-        self.bucket = bucket[self.order]
-
-    def deal(self, h: np.ndarray) -> np.ndarray:
-        return ((h >> np.uint64(40)) % np.uint64(self.n_buckets)).astype(np.int32)
+        self.shelf = bucket[self.order] // deal.each
 
     def anchors(self) -> Iterator[tuple[int, bytes]]:
-        """(bucket, anchors): the low 6 bytes of each hash, its occurrences (as far as 65535) and whether several documents hold it."""
+        """(shelf, anchors): the low 6 bytes of each hash, its occurrences (as far as 65535) and whether several documents hold it."""
         n = np.bincount(self.which, minlength=len(self.sigs))
         lo, hi = np.full(len(n), LAST), np.full(len(n), -LAST - 1)
         np.minimum.at(lo, self.which, self.id)
         np.maximum.at(hi, self.which, self.id)
         low = self.sigs.view(np.uint8).reshape(-1, 8)[:, :6]
-        edge = np.flatnonzero(np.r_[True, self.bucket[1:] != self.bucket[:-1]]) if len(n) else np.empty(0, int)
-        for a, b in zip(edge.tolist(), [*edge.tolist()[1:], len(n)]):
+        for a, b in zip(*(e.tolist() for e in _parts(self.shelf))):
             at = self.order[a:b]
-            yield int(self.bucket[a]), b"".join((low[at].tobytes(), np.minimum(n[at], 65535).astype("<u2").tobytes(),
-                                                  (lo[at] < hi[at]).astype(np.uint8).tobytes()))
+            yield int(self.shelf[a]), b"".join((low[at].tobytes(), np.minimum(n[at], 65535).astype("<u2").tobytes(),
+                                                 (lo[at] < hi[at]).astype(np.uint8).tobytes()))
 
-    def shared(self, states: list[tuple[int, bytes]]) -> dict[int, list[list]]:
-        """bucket -> distinct contexts [bytes, [places], [ids]], in the order of their first places, given the buckets' answers."""
+    def shared(self, states: list[tuple[int, bytes]]) -> Shared:
+        """The distinct contexts given the shelves' answers; those of one bucket in the order of their first places."""
         state = np.zeros(len(self.sigs), np.uint8)
-        for bucket, blob in states:
-            a, b = np.searchsorted(self.bucket, [bucket, bucket + 1])
+        for shelf, blob in states:
+            a, b = np.searchsorted(self.shelf, [shelf, shelf + 1])
             state[self.order[a:b]] = unpack(blob, "u1")[0]
         state = state[self.which]
+        body, length = self.body, self.deal.length
         own = np.flatnonzero(state == 1)
-        body, seen = self.body, {}
-        for b, s, e, i in zip(self.deal(self.sigs[self.which[own]]).tolist(), self.start[own].tolist(), self.end[own].tolist(), self.id[own].tolist()):
-            self._add(seen, b, body[s:e], s, i)
-        for k in np.flatnonzero(state == 2).tolist():
-            i = int(self.id[k])
-            for s in range(int(self.start[k]), int(self.end[k]) - self.length + 1):
-                window = body[s:s + self.length]
-                self._add(seen, (xxhash.xxh3_64_intdigest(window) >> 40) % self.n_buckets, window, s, i)
-        return {b: list(found.values()) for b, found in seen.items()}
-
-    @staticmethod
-    def _add(seen: dict, bucket: int, string: bytes, place: int, doc: int) -> None:
-        held = seen.setdefault(bucket, {}).get(string)
-        if held is None:
-            seen[bucket][string] = [string, [place], [doc]]
-        else:
-            held[1].append(place)
-            held[2].append(doc)
-
-
-def _in_parcels(rows: DataFrame, length: int, n_buckets: int, schema: str, out: Callable) -> DataFrame:
+        # Equal contexts have one anchor, so those of an anchor that comes once are alone.
+        anchor = self.which[own]
+        group = np.arange(len(own))
+        seen: dict[bytes, int] = {}
+        for k in np.flatnonzero(np.bincount(anchor, minlength=len(self.sigs))[anchor] > 1).tolist():
+            group[k] = seen.setdefault(body[self.start[own[k]]:self.end[own[k]]], k)
+        start, end, doc, bucket = self.start[own], self.end[own], self.id[own], self.deal.of(self.sigs[anchor])
+        heavy = np.flatnonzero(state == 2)
+        if len(heavy):
+            n = self.end[heavy] - self.start[heavy] - length + 1
+            at = _runs(n, self.start[heavy])
+            seen, same, home = {}, [], []
+            for k, s in enumerate(at.tolist(), len(own)):
+                window = body[s:s + length]
+                held = seen.setdefault(window, k)
+                same.append(held)
+                home.append((xxhash.xxh3_64_intdigest(window) >> 40) % self.deal.buckets if held == k else home[held - len(own)])
+            start, end = np.concatenate([start, at]), np.concatenate([end, at + length])
+            doc, bucket = np.concatenate([doc, np.repeat(self.id[heavy], n)]), np.concatenate([bucket, np.array(home, np.int32)])
+            group = np.concatenate([group, np.array(same, np.int64)])
+        order = np.lexsort((group, bucket))
+        first, stop = _parts(group[order])
+        lead = order[first]
+        return Shared(bucket[lead], start[lead], end[lead], np.r_[first, len(order)], start[order], doc[order])
+
+
+def _in_parcels(rows: DataFrame, deal: Deal, schema: str, out: Callable) -> DataFrame:
     """Rows of ``out(parcel, row)`` for each parcel."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
-                yield out(Parcel(row, length, n_buckets), row)
+                yield out(Parcel(row, deal), row)
     return rows.mapInArrow(work, schema)
 
 
 def _answered(answers: DataFrame, name: str) -> DataFrame:
-    return answers.groupBy("parcel").agg(F.collect_list(F.struct("bucket", "blob")).alias(name))
+    return answers.groupBy("parcel").agg(F.collect_list(F.struct("shelf", "blob")).alias(name))
 
 
-def find(docs: DataFrame, scratch: Scratch, length: int, *, parcel: int = PARCEL, bucket: int = BUCKET, heavy: int = HEAVY) -> tuple[DataFrame, int]:
-    """Parcels with the buckets' answers (``states``: shared anchors, ``found``: repeats by context), and the number of buckets."""
+def find(docs: DataFrame, scratch: Scratch, length: int, *, parcel: int | None = None, bucket: int | None = None,
+         heavy: int | None = None, shelves: int | None = None) -> tuple[DataFrame, Deal]:
+    """Parcels with the shelves' answers (``states``: shared anchors, ``found``: repeats by context), and the deal."""
+    parcel, bucket = PARCEL if parcel is None else parcel, BUCKET if bucket is None else bucket
+    heavy, shelves = HEAVY if heavy is None else heavy, SHELVES if shelves is None else shelves
     if length < 8:
         raise ValueError("repeats shorter than 8 bytes are not looked for")
     small_batches(docs.sparkSession)
     packed = scratch.save(parcels(docs, parcel), "parcels")
     total = packed.agg(F.sum("n_bytes").alias("n")).first()["n"] or 0
-    n_buckets = max(1, -(-4 * total // (length * bucket)))
+    deal = dealt(total, length, bucket, shelves)
 
     def send(parcel: Parcel, row: dict) -> pa.RecordBatch:
         sent = list(parcel.anchors())
         return pa.record_batch([pa.array([b for b, _ in sent], pa.int32()), pa.array([parcel.number] * len(sent), pa.int64()),
-                                pa.array([x for _, x in sent], pa.binary())], names=["bucket", "parcel", "blob"])
+                                pa.array([x for _, x in sent], pa.binary())], names=["shelf", "parcel", "blob"])
 
     def match(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in groups(frames, "bucket"):
+        for pdf in groups(frames, "shelf"):
             blobs = pdf["blob"].tolist()
             sizes = np.array([len(b) // 9 for b in blobs])
             keys = np.zeros((sizes.sum(), 8), np.uint8)
@@ -195,69 +246,87 @@ def find(docs: DataFrame, scratch: Scratch, length: int, *, parcel: int = PARCEL
             ends = np.cumsum(sizes).tolist()
             parts = [state[e - s:e] for s, e in zip(sizes.tolist(), ends)]
             hit = [k for k, p in enumerate(parts) if p.any()]
-            yield pd.DataFrame({"parcel": pdf["parcel"].to_numpy()[hit], "bucket": pdf["bucket"].to_numpy()[hit],
+            yield pd.DataFrame({"parcel": pdf["parcel"].to_numpy()[hit], "shelf": pdf["shelf"].to_numpy()[hit],
                                 "blob": [pack(parts[k]) for k in hit]})
-    sent = _in_parcels(packed, length, n_buckets, "bucket int, parcel long, blob binary", send)
-    states = scratch.save(sent.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(
-        match, "parcel long, bucket int, blob binary"), "states")
+    sent = _in_parcels(packed, deal, "shelf int, parcel long, blob binary", send)
+    states = scratch.save(sent.repartition("shelf").sortWithinPartitions("shelf").mapInPandas(
+        match, "parcel long, shelf int, blob binary"), "states")
     rows = packed.join(_answered(states, "states"), "parcel")
 
     def tell(parcel: Parcel, row: dict) -> pa.RecordBatch:
-        shared = parcel.shared([(s["bucket"], s["blob"]) for s in row["states"]])
-        blobs = [pack(np.array([len(c[0]) for c in found], "<u2"), np.array([min(c[2]) for c in found], "<i8"),
-                      np.array([max(c[2]) for c in found], "<i8")) for found in shared.values()]
-        bodies = [zstandard.ZstdCompressor(level=1).compress(b"".join(c[0] for c in found)) for found in shared.values()]
-        return pa.record_batch([pa.array(list(shared), pa.int32()), pa.array([parcel.number] * len(shared), pa.int64()),
-                                pa.array(blobs, pa.binary()), pa.array(bodies, pa.binary())], names=["bucket", "parcel", "blob", "body"])
+        own, body = parcel.shared([(s["shelf"], s["blob"]) for s in row["states"]]), parcel.body
+        n = len(own.bucket)
+        lo, hi = (f.reduceat(own.doc, own.head[:-1]) if n else own.doc for f in (np.minimum, np.maximum))
+        start, end, shelf = own.start.tolist(), own.end.tolist(), own.bucket // deal.each
+        first, stop = _parts(shelf)
+        cuts = list(zip(first.tolist(), stop.tolist()))
+        blobs = [pack((own.end[a:b] - own.start[a:b]).astype("<u2"), (own.bucket[a:b] % deal.each).astype("<u4"),
+                      lo[a:b].astype("<i8"), hi[a:b].astype("<i8")) for a, b in cuts]
+        bodies = [zstandard.ZstdCompressor(level=1).compress(b"".join([body[s:e] for s, e in zip(start[a:b], end[a:b])])) for a, b in cuts]
+        return pa.record_batch([pa.array(shelf[first], pa.int32()), pa.array([parcel.number] * len(cuts), pa.int64()),
+                                pa.array(blobs, pa.binary()), pa.array(bodies, pa.binary())], names=["shelf", "parcel", "blob", "body"])
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in groups(frames, "bucket"):
-            seen: dict[bytes, int] = {}
-            least: list[np.ndarray] = []
-            most: list[np.ndarray] = []
-            members: list[np.ndarray] = []
-            for blob, body in zip(pdf["blob"], pdf["body"]):
-                size, lo, hi = unpack(blob, "<u2", "<i8", "<i8")
-                raw, ends = zstandard.ZstdDecompressor().decompress(body), np.cumsum(size, dtype=np.int64)
-                members.append(np.array([seen.setdefault(raw[a:b], len(seen)) for a, b in zip((ends - size).tolist(), ends.tolist())]))
-                least.append(lo)
-                most.append(hi)
-            lo, hi = np.full(len(seen), LAST), np.full(len(seen), -LAST - 1)
-            np.minimum.at(lo, np.concatenate(members), np.concatenate(least))
-            np.maximum.at(hi, np.concatenate(members), np.concatenate(most))
-            string, start, end, first = repeats(list(seen), lo, hi, length)
-            order = np.argsort(string, kind="stable")
-            string, start, end, first = string[order], start[order], end[order], first[order]
-            out = []
-            for parcel, bucket, own in zip(pdf["parcel"].tolist(), pdf["bucket"].tolist(), members):
-                a, b = np.searchsorted(string, own), np.searchsorted(string, own, "right")
-                n = b - a
-                at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)
-                if len(at):
-                    out.append((parcel, bucket, pack(np.repeat(np.arange(len(own)), n).astype("<i4"), start[at].astype("<u2"),
-                                                     end[at].astype("<u2"), first[at].astype("<i8"))))
-            yield pd.DataFrame(out, columns=["parcel", "bucket", "blob"])
-    told = _in_parcels(rows, length, n_buckets, "bucket int, parcel long, blob binary, body binary", tell)
-    found = scratch.save(told.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(
-        scan, "parcel long, bucket int, blob binary"), "found")
-    return packed.join(_answered(states, "states").join(_answered(found, "found"), "parcel"), "parcel", "left"), n_buckets
+        for pdf in groups(frames, "shelf"):
+            told = [unpack(b, "<u2", "<u4", "<i8", "<i8") for b in pdf["blob"]]
+            counts = np.array([len(t[0]) for t in told])
+            size, part, lo, hi = (np.concatenate(c) for c in zip(*told))
+            raw, ends = b"".join([zstandard.ZstdDecompressor().decompress(b) for b in pdf["body"]]), np.cumsum(size, dtype=np.int64)
+            begin, order = ends - size, np.argsort(part, kind="stable")
+            found = []
+            for a, b in zip(*(e.tolist() for e in _parts(part[order]))):
+                own = order[a:b]
+                seen: dict[bytes, int] = {}
+                member = np.array([seen.setdefault(raw[s:e], len(seen)) for s, e in zip(begin[own].tolist(), ends[own].tolist())])
+                least, most = np.full(len(seen), LAST), np.full(len(seen), -LAST - 1)
+                np.minimum.at(least, member, lo[own])
+                np.maximum.at(most, member, hi[own])
+                string, start, end, first = repeats(list(seen), least, most, length)
+                by = np.argsort(string, kind="stable")
+                a, b = np.searchsorted(string, member, sorter=by), np.searchsorted(string, member, "right", sorter=by)
+                at = by[_runs(b - a, a)]
+                found.append((np.repeat(own, b - a), start[at].astype("<u2"), end[at].astype("<u2"), first[at].astype("<i8")))
+            own, start, end, first = (np.concatenate(c) for c in zip(*found))
+            by = np.argsort(own, kind="stable")
+            own, start, end, first = own[by], start[by], end[by], first[by]
+            head = np.cumsum(counts) - counts
+            cuts = np.searchsorted(own, np.r_[head, counts.sum()]).tolist()
+            out = [(parcel, shelf, pack((own[a:b] - h).astype("<i4"), start[a:b], end[a:b], first[a:b]))
+                   for parcel, shelf, h, a, b in zip(pdf["parcel"].tolist(), pdf["shelf"].tolist(), head.tolist(), cuts, cuts[1:]) if a < b]
+            yield pd.DataFrame(out, columns=["parcel", "shelf", "blob"])
+    told = _in_parcels(rows, deal, "shelf int, parcel long, blob binary, body binary", tell)
+    found = scratch.save(told.repartition("shelf").sortWithinPartitions("shelf").mapInPandas(
+        scan, "parcel long, shelf int, blob binary"), "found")
+    return packed.join(_answered(states, "states").join(_answered(found, "found"), "parcel"), "parcel", "left"), deal
 
 
 def _places(parcel: Parcel, row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, smallest document, own document) of every occurrence of every repeat in a parcel."""
     none = np.empty(0, np.int64)
-    out = [(none, none, none, none)]
-    if row["found"]:
-        shared = parcel.shared([(s["bucket"], s["blob"]) for s in row["states"]])
-        for answer in row["found"]:
-            held = shared[answer["bucket"]]
-            which, start, end, first = unpack(answer["blob"], "<i4", "<u2", "<u2", "<i8")
-            n = np.array([len(c[1]) for c in held])
-            place, own = np.concatenate([c[1] for c in held]), np.concatenate([c[2] for c in held])
-            head, times = (np.cumsum(n) - n)[which], n[which]
-            at = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(head, times)
-            out.append((place[at] + np.repeat(start, times), place[at] + np.repeat(end, times), np.repeat(first, times), own[at]))
-    return tuple(np.concatenate(c).astype(np.int64) for c in zip(*out))
+    if not row["found"]:
+        return none, none, none, none
+    own = parcel.shared([(s["shelf"], s["blob"]) for s in row["states"]])
+    shelf = own.bucket // parcel.deal.each
+    answers = [unpack(a["blob"], "<i4", "<u2", "<u2", "<i8") for a in row["found"]]
+    head = np.searchsorted(shelf, [a["shelf"] for a in row["found"]])
+    which = np.repeat(head, [len(a[0]) for a in answers]) + np.concatenate([a[0] for a in answers])
+    start, end, first = (np.concatenate([a[c] for a in answers]).astype(np.int64) for c in (1, 2, 3))
+    times = own.head[which + 1] - own.head[which]
+    at = _runs(times, own.head[which])
+    place = own.place[at]
+    return place + np.repeat(start, times), place + np.repeat(end, times), np.repeat(first, times), own.doc[at]
+
+
+def _covered(start: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
+    """Whether each of ``n`` bytes lies in a span."""
+    steps = np.zeros(n + 1, np.int8)
+    if len(start):
+        order = np.argsort(start, kind="stable")
+        start, reach = start[order], np.maximum.accumulate(end[order])
+        edge = np.flatnonzero(np.r_[True, start[1:] > reach[:-1]])
+        steps[start[edge]] = 1
+        steps[reach[np.r_[edge[1:], len(start)] - 1]] = -1
+    return np.cumsum(steps[:n], dtype=np.int8).view(bool)
 
 
 def repeat_groups(docs: DataFrame, scratch: Scratch, *, length: int = 50, **limits: int) -> DataFrame:
@@ -265,7 +334,7 @@ def repeat_groups(docs: DataFrame, scratch: Scratch, *, length: int = 50, **limi
 
     ``repeat_id`` is the SHA-1 of the repeated bytes, ``start`` a byte offset, ``first_id`` the smallest document that holds it.
     """
-    rows, n_buckets = find(docs, scratch, length, **limits)
+    rows, deal = find(docs, scratch, length, **limits)
 
     def work(parcel: Parcel, row: dict) -> pa.RecordBatch:
         start, end, first, _ = _places(parcel, row)
@@ -274,20 +343,19 @@ def repeat_groups(docs: DataFrame, scratch: Scratch, *, length: int = 50, **limi
         digests = [hashlib.sha1(parcel.body[a:b]).hexdigest() for a, b in zip(start.tolist(), end.tolist())]
         return pa.record_batch([pa.array(digests, pa.string()), pa.array([int(parcel.ids[d]) if parcel.known[d] else None for d in doc.tolist()], pa.int64()),
                                 pa.array(start - begin[doc]), pa.array(end - start), pa.array(first)], names=["repeat_id", "doc_id", "start", "n_bytes", "first_id"])
-    return _in_parcels(rows, length, n_buckets, "repeat_id string, doc_id long, start long, n_bytes long, first_id long", work)
+    return _in_parcels(rows, deal, "repeat_id string, doc_id long, start long, n_bytes long, first_id long", work)
 
 
 def without_repeats(docs: DataFrame, scratch: Scratch, *, length: int = 50, **limits: int) -> DataFrame:
     """(doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept: the text's bytes without those of a repeat
     that a document of smaller id holds too. All repeats are judged on the input."""
-    rows, n_buckets = find(docs, scratch, length, **limits)
+    rows, deal = find(docs, scratch, length, **limits)
 
     def work(parcel: Parcel, row: dict) -> pa.RecordBatch:
         start, end, first, own = _places(parcel, row)
         again = first < own
         n = len(parcel.body)
-        steps = np.bincount(start[again], minlength=n + 1) - np.bincount(end[again], minlength=n + 1)
-        gone = np.cumsum(steps)[:n] > 0
+        gone = _covered(start[again], end[again], n)
         buf = np.frombuffer(parcel.body, np.uint8)
         removed, spans, kept = [], [], []
         at = 0
@@ -300,4 +368,4 @@ def without_repeats(docs: DataFrame, scratch: Scratch, *, length: int = 50, **li
         return pa.record_batch([pa.array([i if k else None for i, k in zip(parcel.ids.tolist(), parcel.known)], pa.int64()),
                                 pa.array(parcel.sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()),
                                 pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
-    return _in_parcels(rows, length, n_buckets, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary", work)
+    return _in_parcels(rows, deal, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary", work)

@@ -138,3 +138,38 @@ def test_groups_hold_all_occurrences(spark):
             o = r["start"] - at[11]
             union[max(o, 0):o + r["n_bytes"]] = True
     assert union.all()
+
+
+def test_messages_follow_the_parcels(spark, monkeypatch):
+    """A parcel and a shelf exchange one message a step, however many buckets there are; the result stays that of brute force."""
+    from airlattice.llm import repeats as R
+
+    class Counted(Scratch):
+        def save(self, df, name):
+            saved = super().save(df, name)
+            counts[name] = saved.count()
+            return saved
+    monkeypatch.setattr(R, "SHELVES", 4, raising=False)
+    rng = random.Random(11)
+    shared = ["".join(rng.choice("abcdefghij ") for _ in range(90)) for _ in range(150)]
+    rows = [(i, "".join(rng.sample(shared, 12)), "en", "a", 1) for i in range(40)]
+    counts = {}
+    found = without_repeats(docs(spark, rows).repartition(2), Counted(spark), parcel=6000, bucket=64).collect()
+    buckets = -(-4 * sum(len(t) for _, t, *_ in rows) // (50 * 64))
+    assert buckets > 40 and counts["parcels"] < 12
+    assert counts["states"] <= 4 * counts["parcels"] and counts["found"] <= 4 * counts["parcels"]
+    got = sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in found), key=str)
+    assert got == brute(rows, 50)
+
+
+def test_spans_that_meet_are_one(spark):
+    from airlattice.llm.repeats import _covered
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 40):
+        start = rng.integers(0, max(n, 1), 8 if n else 0)
+        end = np.minimum(start + rng.integers(1, 6, len(start)), n)
+        want = np.zeros(n, bool)
+        for a, b in zip(start, end):
+            want[a:b] = True
+        assert (_covered(start, end, n) == want).all()
+    assert _covered(np.array([0, 3, 3]), np.array([3, 9, 5]), 9).all()
