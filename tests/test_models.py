@@ -135,3 +135,36 @@ def test_trees_of_all_depths_are_scored_from_one(spark, monkeypatch):
     fits.clear()
     _, params = M.random_search("DecisionTree", df, ["sensor_id", "pollutant"], "ts", cols, n=6, folds=2)
     assert len(fits) == 5 and want[draws.index(next(d for d in draws if {p.name: v for p, v in d.items()} == {p.name: v for p, v in params.items()}))] == max(want)
+
+
+def test_every_draw_is_fitted_on_every_fold(spark, monkeypatch):
+    """The training of the best family grows a tree for each draw and fold, also for draws that differ in depth only."""
+    from pyspark.ml.regression import DecisionTreeRegressor
+    monkeypatch.setitem(M.GRIDS, "DecisionTree", {"maxDepth": [1, 2, 3], "minInstancesPerNode": [1, 20]})
+    frame, cols = M.feature_frame(_sine(spark, 120), ["sensor_id", "pollutant"], "ts", "value", 2)
+    fits, fit = [], DecisionTreeRegressor._fit
+    monkeypatch.setattr(DecisionTreeRegressor, "_fit", lambda self, data: fits.append((self.getMaxDepth(), self.getMinInstancesPerNode())) or fit(self, data))
+    res = M.train_best(frame, cols, ["sensor_id", "pollutant"], "ts", ["DecisionTree"], draws=6, folds=2)
+    best = {p.name: v for p, v in res.models["DecisionTree"][1].items()}
+    want = [(d, m) for d in (1, 2, 3) for m in (1, 20)] * 2 + [(best["maxDepth"], best["minInstancesPerNode"])] * 2   # fitted at the end, and on every row
+    assert sorted(fits) == sorted(want)
+
+
+def test_pooled_frame_splits_scales_and_selects(spark):
+    from airlattice.operators.frame import pooled_frame
+    rng = np.random.default_rng(8)
+    n = 300
+    a, b, noise = rng.normal(50, 9, n), rng.normal(50, 9, n), rng.normal(50, 9, n)
+    y = a - 0.5 * b + 0.1 * rng.normal(size=n)
+    y[240:] += 1000.0       # of the holdout, so no statistic sees it
+    rows = spark.createDataFrame([(1, i, *map(float, r)) for i, r in enumerate(zip(a, noise, b, y))], "k int, i int, lag_1 double, lag_2 double, lag_3 double, label double")
+    got = pooled_frame(rows.withColumn("ts", F.timestamp_seconds(F.col("i") * 3600)), ["k"], "ts", ["lag_1", "lag_2", "lag_3"])
+    assert got.features == ["lag_1", "lag_3"]
+    pdf = got.rows.orderBy("ts").toPandas()
+    train = pdf["is_train"].to_numpy()
+    assert train.sum() == 225 and train[:225].all() and "lag_2" not in pdf.columns
+    low, mid, high = np.percentile(y[:225], [25, 50, 75])
+    assert np.allclose(pdf["lag_1"], (a - mid) / (high - low)) and np.allclose(pdf["lag_3"], (b - mid) / (high - low))
+    assert np.allclose(pdf["label"], y)
+    flat = rows.withColumns({"label": F.lit(3.0), "ts": F.timestamp_seconds(F.col("i") * 3600)})
+    assert pooled_frame(flat, ["k"], "ts", ["lag_1", "lag_2"]).features == ["lag_1", "lag_2"]
